@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op2_lm_scoring import op2
 from .op3_packing import op3
 from .op4_url_filters import op4
 from .op6_mixing import op6
@@ -15,7 +16,7 @@ from .op10_language_id import op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3, "op4_url_filters": op4, "op6_source_mixing": op6, "op7_substring_dedup": op7, "op9_fingerprints": op9, "op10_language_id": op10}
+    return {"op2_lm_scoring": op2, "op3_packing": op3, "op4_url_filters": op4, "op6_source_mixing": op6, "op7_substring_dedup": op7, "op9_fingerprints": op9, "op10_language_id": op10}
 
 
 def oracle_sql() -> dict[str, str]:
