@@ -65,7 +65,8 @@ class Words:
     ``first[i]:first[i + 1]``; ``begin``/``end``: byte range of each word in ``data``.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool):
+    def __init__(self, texts: pa.Array, lower: bool, split=None):
+        """``split`` takes the bytes and tells before which of them a word is cut as well."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -80,10 +81,11 @@ class Words:
         before[1:] = word[:-1]
         inner = off[(off > 0) & (off < size)]
         before[inner] = False
+        if split is not None:
+            before &= ~split(self.data)
         self.begin = np.flatnonzero(word & ~before)
         after = np.zeros(size, dtype=bool)
-        after[:-1] = word[1:]
-        after[inner - 1] = False
+        after[:-1] = word[1:] & before[1:]
         self.end = np.flatnonzero(word & ~after) + 1
         self.first = np.searchsorted(self.begin, off).astype(np.int64)
         if len(self.begin):

@@ -7,8 +7,11 @@ emitted.  At the end a partition joins its open windows, leaving one partial win
 windows of ``fan_in`` partitions are joined in a second step, and what is left is cut at powers of two,
 so nothing is padded.
 
-Tokenising: the vocabulary splits text at white space, so each white-space-free unit is encoded once
-per worker and looked up afterwards (64-bit hash of its bytes, at most ``_UNITS`` kept).
+Tokenising: the vocabulary lower-cases text and splits it at white space, between letters and other
+signs, and around digits, so each unit between such places is encoded once per worker and looked up
+afterwards (64-bit hash of its lower-cased bytes, at most ``_UNITS`` kept).  Places beside an apostrophe
+(contractions) and beside most non-ASCII signs are left to the tokenizer, as are texts that may hold
+the string of a special token.
 
 Defined cases: a null or empty text gives the end token alone; repeated rows are packed once each; a
 null doc_id is carried along; a text of any length is cut; an empty table gives an empty result.
@@ -33,7 +36,29 @@ CAPACITY = 4096
 WINDOWS = 16
 FAN_IN = 256
 END = 2
-_UNITS = 1_000_000
+_UNITS = 2_000_000
+
+_KIND = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 ASCII sign; 0 for the apostrophe, white space and non-ASCII
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[ord("'")] = 0
+
+
+def unit_cuts(data: np.ndarray) -> np.ndarray:
+    """True before bytes at which the tokenizer splits as well, whatever stands around them."""
+    kind = _KIND[data]
+    # the second byte of a two-byte letter of U+00C0 to U+017F ends a letter; without the two signs among
+    # them and U+0130, whose lower case ends in a combining dot
+    ends = kind.copy()
+    lead = (data >= 0xC3) & (data <= 0xC5)
+    latin = np.zeros(len(data), bool)
+    latin[1:] = lead[:-1] & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))) & ~((data[:-1] == 0xC4) & (data[1:] == 0xB0))
+    ends[latin] = 1
+    out = np.zeros(len(data), bool)
+    left, right = ends[:-1], kind[1:]
+    out[1:] = (left > 0) & (right > 0) & ((left != right) | (left == 2))
+    return out
 
 
 class UnitEncoder:
@@ -69,7 +94,8 @@ class UnitEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text with the end token after them."""
-        words = Words(texts, lower=False)
+        plain = any("<|" in x for x in texts.to_pylist() if x)
+        words = Words(texts, lower=not plain, split=None if plain else unit_cuts)
         unique, sample, back = np.unique(words.hash, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, unique)
         there = np.zeros(len(unique), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] == unique
