@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_jaccard_join import op1
 from .op2_lm_scoring import op2
 from .op3_packing import op3
 from .op4_url_filters import op4
+from .op5_html_extraction import op5
 from .op6_mixing import op6
 from .op7_substring_dedup import op7
+from .op8_exact_topk import op8
 from .op9_fingerprints import op9
 from .op10_language_id import op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_lm_scoring": op2, "op3_packing": op3, "op4_url_filters": op4, "op6_source_mixing": op6, "op7_substring_dedup": op7, "op9_fingerprints": op9, "op10_language_id": op10}
+    return {"op1_ngram_jaccard_join": op1, "op2_lm_scoring": op2, "op3_packing": op3, "op4_url_filters": op4, "op5_html_extraction": op5, "op6_source_mixing": op6, "op7_substring_dedup": op7, "op8_exact_topk": op8, "op9_fingerprints": op9, "op10_language_id": op10}
 
 
 def oracle_sql() -> dict[str, str]:
