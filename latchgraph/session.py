@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -39,3 +39,17 @@ def ship(spark: SparkSession) -> SparkSession:
             z.write(f, f.relative_to(PACKAGE.parent))
     context.addPyFile(str(path))
     return spark
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the shared folder that the session names; sets one only where there is none."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or "/tmp/latchgraph-checkpoints")
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """Cuts the lineage: the rows go to the shared checkpoint folder and survive lost executors."""
+    checkpoint_dir(frame.sparkSession)
+    return frame.checkpoint(True)
