@@ -259,8 +259,8 @@ def _across(held: DataFrame, labels: DataFrame, tested: DataFrame, scheme: Schem
     """Pairs of sets in different components that may link: lists of single shingles, rarest first."""
     n = partitions(held.sparkSession)
     dealt = held.join(labels, held["key"] == labels["node"], "left").select("key", "n", "values", F.coalesce("component", "key").alias("component"))
-    dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64("key"), F.lit(8 * n)).cast("int")).repartition(n, "__chunk")
-    buckets = 8 * n
+    dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64("key"), F.lit(2 * n)).cast("int")).repartition(n, "__chunk")
+    buckets = n
 
     def values_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         parts = [np.frombuffer(x, np.uint64) for x in rows.column("values").to_pylist()]
