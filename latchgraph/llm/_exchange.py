@@ -40,10 +40,13 @@ def unpack(data: bytes, dtype) -> np.ndarray:
 
 
 def layout(docs: DataFrame, text: str = "text") -> tuple[int, int]:
-    """Numbers of chunks and buckets for the size of the text."""
+    """Numbers of chunks and buckets for the size of the text.
+
+    A chunk sends up to one row per bucket, so small inputs get few of both.
+    """
     n = partitions(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(4 * n, math.ceil(total / CHUNK_BYTES)), max(4 * n, math.ceil(total / BUCKET_BYTES))
+    return max(2 * n, math.ceil(total / CHUNK_BYTES)), max(n, math.ceil(total / BUCKET_BYTES))
 
 
 def chunked(docs: DataFrame, chunks: int, *more) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
+
+__all__ = ["cut", "held_out", "partitions", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,20 +18,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the session names; sets one only where there is none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "/tmp/latchgraph-checkpoints")
-
-
-def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage: the rows go to the shared checkpoint folder and survive lost executors."""
-    checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager)
-
-
 def held_out(doc_id: Column, modulus: int, rest: int = 2) -> Column:
     """True where crc32 of the id as text leaves ``rest``; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
