@@ -39,14 +39,23 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def layout(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+def pack_rising(a: np.ndarray) -> bytes:
+    """``pack`` of the steps of an ascending array."""
+    return pack(np.diff(a, prepend=a[:1] * 0))
+
+
+def unpack_rising(data: bytes, dtype) -> np.ndarray:
+    return np.cumsum(unpack(data, dtype), dtype=dtype)
+
+
+def layout(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
     """Numbers of chunks and buckets for the size of the text.
 
     A chunk sends up to one row per bucket, so small inputs get few of both.
     """
     n = partitions(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(2 * n, math.ceil(total / CHUNK_BYTES)), max(n, math.ceil(total / BUCKET_BYTES))
+    return max(n, math.ceil(total / chunk_bytes)), max(n, math.ceil(total / BUCKET_BYTES))
 
 
 def chunked(docs: DataFrame, chunks: int, *more) -> DataFrame:

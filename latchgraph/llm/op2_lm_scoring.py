@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._exchange import bucket_of, chunked, firsts, in_order, layout, pack, spans, unpack
+from ._exchange import bucket_of, chunked, firsts, in_order, layout, pack, pack_rising, spans, unpack, unpack_rising
 from ._tables import cut, held_out, partitions, table
 from ._words import U, Words, mix
 
 UNKNOWN = 0.03
 PRIOR = 20.0
 _END, _BEGIN = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
+_CHUNK = 4 << 20
 _STEPS = 20.0  # steps of quantisation per factor of ten
 _REQUEST = "__bucket int, __chunk int, a binary, b binary, n binary, q binary"
 _REPLY = "__chunk int, bucket int, round int, reply binary"
@@ -55,21 +56,20 @@ class EliasFano:
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> tuple[int, int, np.ndarray, np.ndarray]:
         n = len(values)
-        low_bits = max(0, (universe // max(1, n)).bit_length() - 1)
-        low = values & U((1 << low_bits) - 1)
-        planes = [np.packbits((low >> U(j) & U(1)).astype(np.uint8)) for j in range(low_bits)]
+        low_bits = min(57, max(0, (universe // max(1, n)).bit_length() - 1))
+        low = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :low_bits]
         high = (values >> U(low_bits)).astype(np.int64)
         bits = np.zeros(n + (universe >> low_bits) + 1, np.uint8)
         bits[high + np.arange(n)] = 1
-        return low_bits, n, np.concatenate(planes) if planes else np.zeros(0, np.uint8), np.packbits(bits)
+        return low_bits, n, np.concatenate((np.packbits(low, bitorder="little"), np.zeros(8, np.uint8))), np.packbits(bits)
 
     def low_at(self, index: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(index), np.uint64)
-        width = (self.size + 7) // 8
-        byte, bit = index >> 3, (7 - (index & 7)).astype(np.uint8)
-        for j in range(self.low_bits):
-            out |= ((self.low[j * width + byte] >> bit) & 1).astype(np.uint64) << U(j)
-        return out
+        if not self.low_bits:
+            return np.zeros(len(index), np.uint64)
+        bit = index.astype(np.int64) * self.low_bits
+        # the eight bytes from the one in which a number begins hold all of it: up to 7 + 57 bits
+        words = np.lib.stride_tricks.sliding_window_view(self.low, 8)[bit >> 3].view("<u8").ravel()
+        return (words >> (bit & 7).astype(np.uint64)) & U((1 << self.low_bits) - 1)
 
     def successor(self, wanted: np.ndarray) -> np.ndarray:
         """For each number the index of the first element not below it."""
@@ -160,14 +160,14 @@ class _Text:
         self.number[self.begin] = (~held).sum()
 
     def words(self, chunk: int, buckets: int) -> list[tuple]:
-        return [(k, chunk, pack(self.keys[i:j]), b"", pack(self.number[i:j].astype(np.uint32)), b"") for k, i, j in spans(bucket_of(self.keys, buckets))]
+        return [(k, chunk, pack_rising(self.keys[i:j]), b"", pack(self.number[i:j].astype(np.uint32)), b"") for k, i, j in spans(bucket_of(self.keys, buckets))]
 
-    def learn(self, replies: pa.Table, total: int, unknown: float) -> None:
+    def learn(self, replies: pa.Table, buckets: int, total: int, unknown: float) -> None:
         """Counts, ids and probabilities of this chunk's words."""
-        got = [r for _, r in sorted((b, r) for b, n, r in _replies(replies) if n == 1)]
-        numbers = [unpack(r, np.uint64) for r in got]
-        self.count = np.concatenate([x[: len(x) // 2] for x in numbers]).astype(np.float64)
-        self.id = np.concatenate([x[len(x) // 2 :] for x in numbers])
+        got = sorted((b, r) for b, n, r in _replies(replies) if n == 1)
+        half = [len(r) // 2 for _, r in got]
+        self.count = np.concatenate([unpack(r[:h], np.uint64) for (_, r), h in zip(got, half, strict=True)]).astype(np.float64)
+        self.id = np.concatenate([unpack_rising(r[h:], np.uint64) * U(buckets) + U(b) for (b, r), h in zip(got, half, strict=True)])
         self.p = np.where(self.count > 0, (1 - unknown) * self.count / max(total, 1), unknown if total else 1.0)
 
     def pairs(self) -> None:
@@ -187,7 +187,7 @@ class _Text:
         weight = np.rint(np.log2(self.count[self.v]) * 8).clip(0, 255).astype(np.uint16)[order]
         code = _quantised(self.p[self.w]).astype(np.uint16)[order]
         hints = weight << 8 | code
-        return [(k, chunk, pack(v[i:j]), pack(w[i:j]), pack(n[i:j]), pack(hints[i:j])) for k, i, j in spans(bucket)]
+        return [(k, chunk, pack_rising(v[i:j]), pack(w[i:j]), pack(n[i:j]), pack(hints[i:j])) for k, i, j in spans(bucket)]
 
     def score(self, replies: pa.Table, prior: float) -> tuple[np.ndarray, ...]:
         got = sorted((b, r) for b, n, r in _replies(replies) if n == 2)
@@ -222,15 +222,15 @@ def _count_words(buckets: int):
         """Answers with each word's count and id; one more row has the number of words seen in training."""
         bucket = rows.column("__bucket")[0].as_py()
         chunk = rows.column("__chunk").to_pylist()
-        keys = [unpack(x, np.uint64) for x in rows.column("a").to_pylist()]
+        keys = [unpack_rising(x, np.uint64) for x in rows.column("a").to_pylist()]
         number = np.concatenate([unpack(x, np.uint32) for x in rows.column("n").to_pylist()])
         unique, back = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(back, weights=number, minlength=len(unique)).astype(np.uint64)
-        ids = np.arange(len(unique), dtype=np.uint64) * U(buckets) + U(bucket)
+        # a word's id is its place here times the number of buckets, plus this bucket's number
         ends = np.cumsum([len(x) for x in keys])
-        made = [pack(np.concatenate((total[back[e - len(x) : e]], ids[back[e - len(x) : e]]))) for x, e in zip(keys, ends, strict=True)]
+        made = [pack(total[at]) + pack_rising(at.astype(np.uint64)) for at in (back[e - len(x) : e] for x, e in zip(keys, ends, strict=True))]
         seen = int(((total > 0) & (unique != _BEGIN)).sum())
-        made.append(f"{seen} {len(unique) * buckets}".encode())
+        made.append(str(seen).encode())
         return _made([*chunk, -1], [bucket] * (len(chunk) + 1), [1] * len(chunk) + [0], made)
 
     return run
@@ -240,18 +240,21 @@ def _count_pairs(prior: float):
     def run(rows: pa.Table) -> pa.Table:
         bucket = rows.column("__bucket")[0].as_py()
         chunk = rows.column("__chunk").to_pylist()
-        v, w, n, q = ([unpack(x, t) for x in rows.column(c).to_pylist()] for c, t in (("a", np.uint64), ("b", np.uint64), ("n", np.uint32), ("q", np.uint16)))
+        v, w, n, q = ([f(x, t) for x in rows.column(c).to_pylist()] for c, t, f in (("a", np.uint64, unpack_rising), ("b", np.uint64, unpack), ("n", np.uint32, unpack), ("q", np.uint16, unpack)))
         ends = np.cumsum([len(x) for x in v])
         v, w, n, q = (np.concatenate(x) for x in (v, w, n, q))
         order = np.lexsort((w, v))
         new = firsts(v[order], w[order])
-        count = np.bincount(np.cumsum(new) - 1, weights=n[order])
-        head = order[new][count > 0]
+        group = np.cumsum(new) - 1
+        count = np.bincount(group, weights=n[order])
+        asked = order[new]
+        head = asked[count > 0]
         count = count[count > 0]
         weight, p = np.exp2((q[head] >> 8) / 8), 10.0 ** ((q[head] & 255) / -_STEPS)
         code = _quantised(np.minimum((count + prior * p) / (np.maximum(weight, count) + prior), 1.0), 1)
         shard = Trie(v[head], w[head], code, int(max(v.max(), w.max())) + 1)
-        found = shard.find(v, w)
+        found = np.zeros(len(v), np.uint8)
+        found[order] = shard.find(v[asked], w[asked])[group]
         made = [found[a:b].tobytes() for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
         return _made(chunk, [bucket] * len(chunk), [2] * len(chunk), made)
 
@@ -275,7 +278,7 @@ def _training_tokens(docs: DataFrame, modulus: int) -> int:
 def score(docs: DataFrame, modulus: int = 7, unknown: float = UNKNOWN, prior: float = PRIOR) -> DataFrame:
     """Scores every document by the model of those that are not held out."""
     id_type = docs.select("doc_id").schema[0].dataType.simpleString()
-    chunks, buckets = layout(docs)
+    chunks, buckets = layout(docs, chunk_bytes=_CHUNK)
     n = partitions(docs.sparkSession)
     total = _training_tokens(docs, modulus)
     dealt = chunked(docs, chunks, held_out(F.col("doc_id"), modulus).alias("__held"))
@@ -285,17 +288,17 @@ def score(docs: DataFrame, modulus: int = 7, unknown: float = UNKNOWN, prior: fl
 
     def second(rows: pa.Table, replies: pa.Table) -> pa.Table:
         text = _Text(rows)
-        text.learn(replies, total, unknown)
+        text.learn(replies, buckets, total, unknown)
         text.pairs()
         return _table(text.bigrams(rows.column("__chunk")[0].as_py(), buckets))
 
     def third(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:  # the row of a bucket's vocabulary
-            seen = [int(r.split()[0]) for r in replies.column("reply").to_pylist()]
+            seen = [int(r) for r in replies.column("reply").to_pylist()]
             empty = [None] * len(seen)
             return pa.table({"doc_id": pa.array(empty, ids), "held_out": pa.array(empty, pa.bool_()), "n_tokens": pa.array(empty, pa.int64()), "n_known": pa.array(empty, pa.int64()), "logs": pa.array(empty, pa.float64()), "score": pa.array(empty, pa.float64()), "seen": pa.array(seen, pa.int64())})
         text = _Text(rows)
-        text.learn(replies, total, unknown)
+        text.learn(replies, buckets, total, unknown)
         text.pairs()
         text.bigrams(0, buckets)
         scores, logs, known = text.score(replies, prior)
