@@ -223,9 +223,8 @@ def _stars(docs: DataFrame, shingle: int, scheme: Scheme) -> DataFrame:
 
 def _sets_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """key, n and the packed shingles of the sets whose keys are in ``wanted`` (one row each)."""
-    chosen = sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(F.col("doc_id").isNull()).alias("no_id"))
-    ids = chosen.select("doc_id").distinct()
-    source = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(ids["doc_id"]), "left_semi") if docs.filter("doc_id is null").limit(1).count() else docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    chosen = sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id"))
+    source = docs.select("doc_id", "text").join(chosen.select("__id").distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
