@@ -13,8 +13,8 @@ product could pass 2**53, so all are exact; a score beyond 64 bits raises an err
 
 Defined cases: a vector that is null, empty or holds null or non-finite components takes no part;
 vectors of different lengths do not meet; ties go to the smaller vec_id; a row without an id takes no
-part; rows with one id are candidates of their own, and a query excludes all rows with its id; an
-empty table gives an empty result.
+part; rows with one id are candidates of their own, a query excludes all rows with its id, and each
+distinct query vector of an id gets a list; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,12 +125,12 @@ def _search(used: DataFrame, top: int, pivots: int, block: int, n: int) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                query, ids = _matrix(piece.column(1)), piece.column(0).to_numpy()
+                query, ids, marks = _matrix(piece.column(1)), piece.column(0).to_numpy(), piece.column(2).to_numpy()
                 need = _needed(query, centre[filled], radius[filled], number[filled], top)
-                rows = [(int(g), s, ids[need[:, j]].tobytes(), query[need[:, j]].tobytes()) for j, g in enumerate(filled) if need[:, j].any() for s in range(int(blocks[g]))]
+                rows = [(int(g), s, ids[need[:, j]].tobytes(), marks[need[:, j]].tobytes(), query[need[:, j]].tobytes()) for j, g in enumerate(filled) if need[:, j].any() for s in range(int(blocks[g]))]
                 if rows:
-                    g, s, i, v = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(s, pa.int32()), pa.array(i, pa.binary()), pa.array(v, pa.binary())], ["g", "s", "ids", "queries"])
+                    g, s, i, m, v = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(s, pa.int32()), pa.array(i, pa.binary()), pa.array(m, pa.binary()), pa.array(v, pa.binary())], ["g", "s", "ids", "marks", "queries"])
 
     def solve(data: pa.Table, queries: pa.Table) -> pa.Table:
         found = []
@@ -138,10 +138,10 @@ def _search(used: DataFrame, top: int, pivots: int, block: int, n: int) -> DataF
             vectors, ids = _matrix(data.column("v")), data.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             vectors, ids = vectors[order], ids[order]
-            for i, v in zip(queries.column("ids").to_pylist(), queries.column("queries").to_pylist(), strict=True):
-                of = np.frombuffer(i, np.int64)
+            for i, m, v in zip(*(queries.column(c).to_pylist() for c in ("ids", "marks", "queries")), strict=True):
+                of, marks = np.frombuffer(i, np.int64), np.frombuffer(m, np.int64)
                 scores = products(np.frombuffer(v, np.float64).reshape(len(of), -1), vectors)
-                for q, row in zip(of, scores, strict=True):
+                for q, mark, row in zip(of, marks, scores, strict=True):
                     other = np.flatnonzero(ids != q)
                     s = row[other]
                     if len(s) > 4 * top:
@@ -150,16 +150,16 @@ def _search(used: DataFrame, top: int, pivots: int, block: int, n: int) -> DataF
                         keep = s >= least
                         other, s = other[keep], s[keep]
                     best = np.lexsort((ids[other], -s))[:top]
-                    found += [(int(q), int(ids[other[b]]), int(s[b])) for b in best]
-        q, i, s = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())})
+                    found += [(int(q), int(mark), int(ids[other[b]]), int(s[b])) for b in best]
+        q, m, i, s = zip(*found, strict=True) if found else ((), (), (), ())
+        return pa.table({"query_id": pa.array(q, pa.int64()), "mark": pa.array(m, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())})
 
     counts = F.array(*[F.lit(int(b)) for b in blocks])
     data = grouped.withColumn("s", F.pmod(F.xxhash64("vec_id", F.hash("v")), F.get(counts, F.col("g"))).cast("int")).select("g", "s", "vec_id", "v")
-    queries = grouped.filter("q").select("vec_id", "v").mapInArrow(replicate, "g int, s int, ids binary, queries binary")
-    solved = data.repartition(n, "g", "s").groupBy("g", "s").cogroup(queries.repartition(n, "g", "s").groupBy("g", "s")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    queries = grouped.filter("q").select("vec_id", "v", F.xxhash64("v").alias("mark")).dropDuplicates(["vec_id", "mark"]).mapInArrow(replicate, "g int, s int, ids binary, marks binary, queries binary")
+    solved = data.repartition(n, "g", "s").groupBy("g", "s").cogroup(queries.repartition(n, "g", "s").groupBy("g", "s")).applyInArrow(solve, "query_id long, mark long, vec_id long, score long")
     # the rank filter cuts every task's rows to `top` per query before they are dealt out
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     ranked = solved.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
