@@ -25,10 +25,20 @@ def build(app: str = "latchgraph", master: str | None = None, **conf: str) -> Sp
 
 
 _SHIPPED: set[str] = set()
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most: what stands in JVM buffers and Python workers at once stays small beside the heap."""
+    digits = spark.conf.get(ARROW_BATCH, str(64 << 20)).removesuffix("b")
+    if not digits.isdigit() or not 0 < int(digits) <= ARROW_BYTES:
+        spark.conf.set(ARROW_BATCH, str(ARROW_BYTES))
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package, through Spark's own file distribution, once per application."""
+    bound_batches(spark)
     context = spark.sparkContext
     if str(PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _SHIPPED:
         return spark
