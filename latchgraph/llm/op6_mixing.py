@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._tables import partitions, table
+from ._tables import cut, partitions, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -59,44 +59,50 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return leveled.withColumn("__target", F.least("__cap", F.coalesce(final * F.col("__weight"), F.col("__cap")))).select("__source", "__total", "__order", "__target")
 
 
-def _inverse_demand(part: Column, knots: Column) -> Column:
-    """The time at which the integral of a piecewise linear schedule reaches ``part`` of its whole."""
+def demand(knots: Sequence[float]) -> list[float]:
+    """The integral of a piecewise linear schedule up to each of its knots."""
+    upto = [0.0]
+    for a, b in zip(knots, knots[1:], strict=False):
+        upto.append(upto[-1] + (a + b) / 2 / (len(knots) - 1))
+    return upto
+
+
+def _inverse_demand(part: Column, knots: Column, upto: Column) -> Column:
+    """The time at which the integral of a schedule reaches ``part`` of its whole; ``upto`` is its ``demand``."""
     n = F.size(knots) - 1
-    width = 1.0 / n
-    areas = F.transform(F.sequence(F.lit(0), n - 1), lambda j: (F.get(knots, j) + F.get(knots, j + 1)) * width / 2)
-    upto = F.transform(F.sequence(F.lit(0), n), lambda j: F.aggregate(F.slice(areas, F.lit(1), j), F.lit(0.0), lambda a, x: a + x))
     wanted = F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)) * F.get(upto, n)
     at = F.least(F.size(F.filter(upto, lambda x: x <= wanted)) - 1, n - 1)
     left, right = F.get(knots, at), F.get(knots, at + 1)
     rest = wanted - F.get(upto, at)
-    root = F.sqrt(F.greatest(left * left + 2 * (right - left) / width * rest, F.lit(0.0)))
+    root = F.sqrt(F.greatest(left * left + 2 * (right - left) * n * rest, F.lit(0.0)))
     step = F.when(left + root > 0, 2 * rest / (left + root)).otherwise(0.0)
-    return F.least(at * width + step, F.lit(1.0))
+    return F.least(at / n + step, F.lit(1.0))
 
 
 def plan(docs: DataFrame, key: Sequence[Column], source: Column, size: Column, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, schedules: Sequence[Sequence[float]] = SCHEDULES) -> DataFrame:
     """Adds to each row of ``docs`` __size, __total, __target, __copies and __positions (one time per copy)."""
-    spark = docs.sparkSession
     rows = docs.withColumns({"__source": source, "__size": size, "__hash": F.xxhash64(*key)})
-    per_source = rows.groupBy("__source").agg(F.sum("__size").alias("__total"), F.count("*").alias("__n"))
-    goals = targets(per_source, weights, share, cap)
-    half = math.ceil(math.log2(max(2, docs.count())) / 2)
-    rows = rows.withColumn("__bucket", F.shiftrightunsigned("__hash", 64 - half))
-    sums = rows.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__in"))
+    # sizes are counted once for all sums, in narrow rows
+    narrow = cut(rows.select("__source", "__size", "__hash"))
+    goals = targets(narrow.groupBy("__source").agg(F.sum("__size").alias("__total")), weights, share, cap)
+    half = math.ceil(math.log2(max(2, narrow.count())) / 2)
+    bucket = F.shiftrightunsigned("__hash", 64 - half)
+    rows = rows.withColumn("__bucket", bucket)
+    sums = narrow.groupBy("__source", bucket.alias("__bucket")).agg(F.sum("__size").alias("__in"))
     below = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__below", F.coalesce(F.sum("__in").over(below), F.lit(0))).drop("__in")
-    tables = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in schedules])
+    spread = lambda lists: F.get(F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in lists]), F.col("__order") % len(schedules))
     sums = sums.withColumnRenamed("__source", "__s").join(goals, F.col("__s").eqNullSafe(F.col("__source"))).drop("__s")
-    sums = sums.withColumn("__knots", F.get(tables, F.col("__order") % len(schedules)))
-    sums = sums.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__below", "__total", "__target", "__knots")
+    sums = sums.withColumn("__knots", spread(schedules)).withColumn("__upto", spread([demand(x) for x in schedules]))
+    sums = cut(sums.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__below", "__total", "__target", "__knots", "__upto"))
     inside = Window.partitionBy("__source", "__bucket").orderBy("__hash", *key, "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.repartition(partitions(spark), "__source", "__bucket").withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     rows = rows.join(sums, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b"))).drop("__s", "__b")
     middle = F.col("__below") + F.col("__before") + F.col("__size") / 2
     last = math.ceil(cap) - 1
-    taken = [F.when((F.col("__size") > 0) & (middle + F.col("__total") * j <= F.col("__target")), _inverse_demand((middle + F.col("__total") * j) / F.col("__target"), F.col("__knots"))) for j in range(last + 1)]
+    taken = [F.when((F.col("__size") > 0) & (middle + F.col("__total") * j <= F.col("__target")), _inverse_demand((middle + F.col("__total") * j) / F.col("__target"), F.col("__knots"), F.col("__upto"))) for j in range(last + 1)]
     rows = rows.withColumn("__positions", F.filter(F.array(*taken), lambda x: x.isNotNull()))
-    return rows.withColumn("__copies", F.size("__positions").cast("long")).drop("__hash", "__bucket", "__before", "__below", "__knots")
+    return rows.withColumn("__copies", F.size("__positions").cast("long")).drop("__hash", "__bucket", "__before", "__below", "__knots", "__upto")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -111,7 +117,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
     planned = plan(docs, [F.col("doc_id")], F.col("source"), F.col("size"))
     return planned.select(
         "doc_id",

@@ -67,7 +67,7 @@ def test_water_level(spark):
 def test_schedule_inversion(spark):
     knots = [0.4, 1.0, 1.6]
     frame = spark.range(0, 11).select((F.col("id") / 10).alias("part"))
-    got = [r["t"] for r in frame.select("part", op._inverse_demand(F.col("part"), F.array(*[F.lit(k) for k in knots])).alias("t")).orderBy("part").collect()]
+    got = [r["t"] for r in frame.select("part", op._inverse_demand(F.col("part"), F.array(*[F.lit(k) for k in knots]), F.array(*[F.lit(k) for k in op.demand(knots)])).alias("t")).orderBy("part").collect()]
 
     def demand(t):
         steps = 20000
