@@ -10,8 +10,9 @@ Documents are sets of ``shingle`` consecutive words; two link when intersection
   have an equal block.  A shingle that a third of all documents share makes no long list by that;
 * the boundary is the one of least cost, counted from the sizes of all sets.
 
-Each list links its sets to one of them only (a star), which verified intersections then confirm.
-Linked stars give components.  For links between components, the sets that share any list are joined
+Each list links its sets to one of them only (a star).  Star pairs are first held against a bound: the
+counts of two sets by hash bucket differ by no more than the sets do.  Verified intersections confirm the
+rest.  Linked stars give components.  For links between components, the sets that share any list are joined
 once more on inverted lists of single shingles, rarest first, cut by prefix length and position; pairs
 inside one component, which a large group of near copies consists of, are never made.
 
@@ -28,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._exchange import bucket_of, firsts, layout, pack, spans, unpack
+from ._exchange import bucket_of, firsts, layout, pack, pack_rising, spans, unpack, unpack_rising
 from ._tables import cut, partitions, table
 from ._words import U, Words, mix, pieces
 
@@ -172,21 +173,29 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64), pa.int64())
 
 
+def _reference() -> Column:
+    """A number for a row: its id, or a hash of the text where it has none.  Rows may share one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
 def set_table(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n (set size), key and check (hashes of the set) of every row."""
+    """doc_id, ref, n (set size), key and check (hashes of the set) of every row."""
     id_type = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 sets = Sets(piece.column(1), shingle)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets.size, pa.int64()), _signed(sets.key), _signed(sets.check)], ["doc_id", "n", "key", "check"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(sets.size, pa.int64()), _signed(sets.key), _signed(sets.check)], ["doc_id", "ref", "n", "key", "check"])
+
+    return docs.select("doc_id", "text", _reference().alias("ref")).mapInArrow(run, f"doc_id {id_type}, ref long, n long, key long, check long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, key long, check long")
 
+def _stars(docs: DataFrame, sets: DataFrame, shingle: int, scheme: Scheme) -> DataFrame:
+    """(x, y, near): the sets of each list linked to the least of them, by key; ``near`` where their sizes allow a link.
 
-def _stars(docs: DataFrame, shingle: int, scheme: Scheme) -> DataFrame:
-    """(x, y): the sets of each list linked to the least of them, by key."""
+    Lists hold references, which pack better than keys; rows that share one only add pairs to verify.
+    """
     _, buckets = layout(docs)
     n = partitions(docs.sparkSession)
 
@@ -198,15 +207,16 @@ def _stars(docs: DataFrame, shingle: int, scheme: Scheme) -> DataFrame:
                 rows = rows[np.unique(sets.key[rows], return_index=True)[1]]
                 keys, of = scheme.keys(sets, rows)
                 order = np.argsort(keys)
-                keys, of = keys[order], sets.key[of[order]]
-                made = [(k, pack(keys[i:j]), pack(of[i:j])) for k, i, j in spans(bucket_of(keys, buckets))]
+                keys, of = keys[order], piece.column(1).to_numpy()[of[order]]
+                # 56 bits of a key are sent; lists that fall together only add pairs to verify
+                made = [(k, pack_rising(keys[i:j] >> U(8)), pack(of[i:j])) for k, i, j in spans(bucket_of(keys, buckets))]
                 if made:
                     b, k, o = zip(*made, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.binary()), pa.array(o, pa.binary())], ["__bucket", "k", "o"])
 
     def meet(rows: pa.Table) -> pa.Table:
-        keys = np.concatenate([unpack(x, np.uint64) for x in rows.column("k").to_pylist()])
-        of = np.concatenate([unpack(x, np.uint64) for x in rows.column("o").to_pylist()])
+        keys = np.concatenate([unpack_rising(x, np.uint64) for x in rows.column("k").to_pylist()])
+        of = np.concatenate([unpack(x, np.int64) for x in rows.column("o").to_pylist()])
         order = np.lexsort((of, keys))
         keys, of = keys[order], of[order]
         new = firsts(keys, of)
@@ -214,34 +224,85 @@ def _stars(docs: DataFrame, shingle: int, scheme: Scheme) -> DataFrame:
         head = np.flatnonzero(firsts(keys))
         pivot = np.repeat(of[head], np.diff(np.append(head, len(of))))
         other = of != pivot
-        pairs = np.unique(np.stack((of[other], pivot[other]), axis=1), axis=0) if other.any() else np.zeros((0, 2), np.uint64)
-        return pa.table({"x": _signed(np.ascontiguousarray(pairs[:, 0])), "y": _signed(np.ascontiguousarray(pairs[:, 1]))})
+        pairs = np.unique(np.stack((of[other], pivot[other]), axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+        return pa.table({"x": pa.array(np.ascontiguousarray(pairs[:, 0])), "y": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+    asked = docs.select("text", _reference().alias("ref")).mapInArrow(ask, "__bucket int, k binary, o binary")
+    pairs = asked.repartition(n, "__bucket").groupBy("__bucket").applyInArrow(meet, "x long, y long").distinct()
+    known = sets.filter("n > 0")
+    left = known.select(F.col("ref").alias("x"), F.col("key").alias("a"), F.col("n").alias("m"))
+    right = known.select(F.col("ref").alias("y"), F.col("key").alias("b"), "n")
+    near = 100 * F.least("m", "n") >= scheme.percent * F.greatest("m", "n")
+    return pairs.join(left, "x").join(right, "y").filter("a != b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), near.alias("near")).distinct()
+
 
-    asked = docs.select("text").mapInArrow(ask, "__bucket int, k binary, o binary")
-    return asked.repartition(n, "__bucket").groupBy("__bucket").applyInArrow(meet, "x long, y long").distinct()
+_FILTER_BITS = 1 << 28
+_SALTS = (U(0x8CB92BA72F3D8DD7), U(0xF1357AEA2E62A9C5))
+_HISTOGRAM = 256
+_BEFORE = 16
+
+
+def _filter_bits(wanted: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the keys with two hashes, as 64-bit words; at most ``_FILTER_BITS``."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            p = np.concatenate([mix(keys + salt) & U(bits - 1) for salt in _SALTS])
+            yield pa.RecordBatch.from_arrays([pa.array((p >> U(6)).astype(np.int64)), pa.array((U(1) << (p & U(63))).view(np.int64))], ["w", "b"])
 
+    words = wanted.select("key").mapInArrow(place, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.collect():
+        out[r["w"]] = r["b"]
+    return out
 
-def _sets_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """key, n and the packed shingles of the sets whose keys are in ``wanted`` (one row each)."""
-    chosen = sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id"))
-    source = docs.select("doc_id", "text").join(chosen.select("__id").distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """key, n, packed shingles and a histogram of them, for the sets whose keys are in ``wanted``, one row each.
+
+    A filter of bounded size picks them where the texts are read, so texts are not shuffled; the few other
+    sets that it lets through take part like any set.
+    """
+    bits = 1 << 16
+    number = wanted.count()
+    while bits < 16 * number and bits < _FILTER_BITS:
+        bits <<= 1
+    words = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = words.value
         for batch in batches:
             for piece in pieces(batch, "text"):
                 s = Sets(piece.column(0), shingle)
                 rows = np.flatnonzero(s.size)
-                yield pa.RecordBatch.from_arrays([_signed(s.key[rows]), pa.array(s.size[rows], pa.int64()), pa.array([s.values[s.first[i] : s.first[i + 1]].tobytes() for i in rows], pa.binary())], ["key", "n", "values"])
+                rows = rows[np.unique(s.key[rows], return_index=True)[1]]
+                for salt in _SALTS:
+                    p = mix(s.key[rows] + salt) & U(bits - 1)
+                    rows = rows[(filled[(p >> U(6)).astype(np.int64)].view(np.uint64) >> (p & U(63)) & U(1)).astype(bool)]
+                counts = [np.bincount((s.values[s.first[i] : s.first[i + 1]] & U(_HISTOGRAM - 1)).astype(np.int64), minlength=_HISTOGRAM).clip(max=65535).astype(np.uint16).tobytes() for i in rows]
+                yield pa.RecordBatch.from_arrays([_signed(s.key[rows]), pa.array(s.size[rows], pa.int64()), pa.array([s.values[s.first[i] : s.first[i + 1]].tobytes() for i in rows], pa.binary()), pa.array(counts, pa.binary())], ["key", "n", "values", "counts"])
 
-    return source.select("text").mapInArrow(run, "key long, n long, values binary").dropDuplicates(["key"]).join(wanted, "key", "left_semi")
+    return docs.select("text").mapInArrow(run, "key long, n long, values binary, counts binary").dropDuplicates(["key"])
 
 
 def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets link."""
-    left = held.select(F.col("key").alias("x"), F.col("values").alias("a"))
-    right = held.select(F.col("key").alias("y"), F.col("values").alias("b"))
+    """The pairs (x, y) whose sets link: first by the histograms' bound, then by intersection."""
+    side = lambda name, value, column: held.select(F.col("key").alias(name), F.col(column).alias(value))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(b.as_buffer(), np.uint16).astype(np.int64)
+                # with |A| + |B| = n and at least ``differ`` shingles in one set only, the similarity is at most
+                # (n - differ) / (n + differ); counts at the end of their range give no bound
+                n = int(a.sum() + b.sum())
+                differ = int(np.abs(a - b).sum())
+                keep.append(max(a.max(), b.max()) == 65535 or 100 * (n - differ) >= percent * (n + differ))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
@@ -251,14 +312,14 @@ def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
+    near = cut(pairs.join(side("x", "a", "counts"), "x").join(side("y", "b", "counts"), "y").select("x", "y", "a", "b").mapInArrow(bound, "x long, y long"))
+    return near.join(side("x", "a", "values"), "x").join(side("y", "b", "values"), "y").select("x", "y", "a", "b").mapInArrow(exact, "x long, y long")
 
 
 def _across(held: DataFrame, labels: DataFrame, tested: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs of sets in different components that may link: lists of single shingles, rarest first."""
     n = partitions(held.sparkSession)
-    dealt = held.join(labels, held["key"] == labels["node"], "left").select("key", "n", "values", F.coalesce("component", "key").alias("component"))
-    dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64("key"), F.lit(2 * n)).cast("int")).repartition(n, "__chunk")
+    dealt = held.select("key", "n", "values").withColumn("__chunk", F.pmod(F.xxhash64("key"), F.lit(2 * n)).cast("int")).repartition(n, "__chunk")
     buckets = n
 
     def values_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -271,12 +332,12 @@ def _across(held: DataFrame, labels: DataFrame, tested: DataFrame, scheme: Schem
     def ask(rows: pa.Table) -> pa.Table:
         chunk = rows.column("__chunk")[0].as_py()
         _, unique, _, count = values_of(rows)
-        made = [(k, chunk, pack(unique[i:j]), pack(count[i:j].astype(np.uint32))) for k, i, j in spans(bucket_of(unique, buckets))]
+        made = [(k, chunk, pack_rising(unique[i:j]), pack(count[i:j].astype(np.uint32))) for k, i, j in spans(bucket_of(unique, buckets))]
         columns = list(zip(*made, strict=True)) if made else [[]] * 4
         return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["__bucket", "__chunk", "k", "c"])
 
     def count(rows: pa.Table) -> pa.Table:
-        keys = [unpack(x, np.uint64) for x in rows.column("k").to_pylist()]
+        keys = [unpack_rising(x, np.uint64) for x in rows.column("k").to_pylist()]
         number = np.concatenate([unpack(x, np.uint32) for x in rows.column("c").to_pylist()])
         unique, back = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.minimum(np.bincount(back, weights=number, minlength=len(unique)), 1 << 31).astype(np.uint32)[back]
@@ -296,18 +357,26 @@ def _across(held: DataFrame, labels: DataFrame, tested: DataFrame, scheme: Schem
         place = np.arange(len(row)) - first[row]
         low = scheme.overlap(size, np.array([-(-int(x) * scheme.percent // 100) for x in size], np.int64))
         use = (place <= (size - low)[row]) & (total[order] > 1)
-        row, place = row[use], place[use]
+        row, place, token = row[use], place[use], unique[back][order][use]
+        # the entries of the same set before each one, up to 16
+        at = np.arange(len(row))
+        number = np.minimum(at - np.searchsorted(row, row), _BEFORE)
+        ends = np.concatenate(([0], np.cumsum(number)))
+        before = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(token[np.repeat(at - number - ends[:-1], number) + np.arange(ends[-1])]))
         take = lambda c: rows.column(c).to_numpy()[row]
-        return pa.table({"token": _signed(unique[back][order][use]), "key": pa.array(take("key"), pa.int64()), "n": pa.array(size[row], pa.int64()), "place": pa.array(place, pa.int64()), "component": pa.array(take("component"), pa.int64())})
+        return pa.table({"token": _signed(token), "before": before, "key": pa.array(take("key"), pa.int64()), "n": pa.array(size[row], pa.int64()), "place": pa.array(place, pa.int64())})
 
     asked = dealt.groupBy("__chunk").applyInArrow(ask, "__bucket int, __chunk int, k binary, c binary")
     counted = asked.repartition(n, "__bucket").groupBy("__bucket").applyInArrow(count, "__chunk int, bucket int, reply binary")
-    listed = cut(dealt.groupBy("__chunk").cogroup(counted.repartition(n, "__chunk").groupBy("__chunk")).applyInArrow(entries, "token long, key long, n long, place long, component long"))
+    listed = dealt.groupBy("__chunk").cogroup(counted.repartition(n, "__chunk").groupBy("__chunk")).applyInArrow(entries, "token long, before array<long>, key long, n long, place long")
+    listed = cut(listed.join(labels, listed["key"] == labels["node"], "left").select("token", "before", "key", "n", "place", F.coalesce("component", "key").alias("component")))
     p = scheme.percent
     # a scanned list holds the smaller set of a pair, whose prefix is the shorter
-    index = listed.filter(f"n - place >= ceil({p} * 2 * n / {100 + p})").select(F.col("token").alias("t"), F.col("key").alias("y"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("component").alias("d"))
+    index = listed.filter(f"n - place >= ceil({p} * 2 * n / {100 + p})").select(F.col("token").alias("t"), F.col("key").alias("y"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("component").alias("d"), F.col("before").alias("e"))
     fits = (F.col("token") == F.col("t")) & (F.col("component") != F.col("d")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("y") < F.col("key"))))
     fits = fits & (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q")) * (100 + p) >= p * (F.col("n") + F.col("m")))
+    # a pair is made in the first list that its sets have in common, as far as the entries before tell
+    fits = fits & ~F.arrays_overlap("before", "e")
     pairs = listed.join(index, fits).select(F.col("key").alias("x"), "y").distinct()
     seen = tested.union(tested.select(F.col("y").alias("x"), F.col("x").alias("y")))
     return pairs.join(seen, ["x", "y"], "left_anti")
@@ -320,9 +389,10 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tup
     most = scheme.limit(scheme.most_light()) + 1
     sizes = {r["n"]: r["c"] for r in sets.filter(f"n > 0 and n <= {most}").groupBy("n").agg(F.count("*").alias("c")).collect()}
     scheme = scheme.choose(sizes)
-    stars = cut(_stars(docs, shingle, scheme))
+    stars = cut(_stars(docs, sets, shingle, scheme))
     nodes = stars.select(F.col("x").alias("key")).union(stars.select(F.col("y").alias("key"))).distinct()
-    held = cut(_sets_of(docs, sets, nodes, shingle))
+    held = cut(_sets_of(docs, nodes, shingle))
+    stars = stars.filter("near").select("x", "y")
     links = cut(verify(stars, held, percent))
     labels = components(links)
     more = cut(verify(_across(held, labels, stars, scheme), held, percent))
