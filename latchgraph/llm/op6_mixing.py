@@ -96,7 +96,7 @@ def plan(docs: DataFrame, key: Sequence[Column], source: Column, size: Column, w
     sums = sums.withColumn("__knots", spread(schedules)).withColumn("__upto", spread([demand(x) for x in schedules]))
     sums = cut(sums.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__below", "__total", "__target", "__knots", "__upto"))
     inside = Window.partitionBy("__source", "__bucket").orderBy("__hash", *key, "__size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.repartition(partitions(spark), "__source", "__bucket").withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    rows = rows.repartition(partitions(docs.sparkSession), "__source", "__bucket").withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     rows = rows.join(sums, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b"))).drop("__s", "__b")
     middle = F.col("__below") + F.col("__before") + F.col("__size") / 2
     last = math.ceil(cap) - 1
