@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import tables
+from .plans import generated, tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(tables.QUERIES)
+    return tables.QUERIES | {"ana_generated_project": generated.generated_project_report}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(tables.SQL)
+    return tables.SQL | {"ana_generated_project": generated.SQL}

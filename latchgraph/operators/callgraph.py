@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import edge_kind, party_name, stem
 from ..names import ANNOTATIONS
-from ..session import cut
+from ..session import cut, sized
 from ..sources.builtin import implementation_aliases, rows
 from ..sources.config import Config
 from . import joins, resolve, sets
@@ -64,9 +64,9 @@ def _matching(names: DataFrame, entries: DataFrame, modules: DataFrame, stubs: D
 
 def build(facts: DataFrame, configs: Sequence[Config]) -> CallGraph:
     spark = facts.sparkSession
-    functions = cut(resolve.functions(facts))
-    targets = cut(resolve.targets(facts))
-    marks = cut(annotations(facts, functions, targets))
+    functions = sized(cut(resolve.functions(facts)))
+    targets = sized(cut(resolve.targets(facts)))
+    marks = sized(cut(annotations(facts, functions, targets)))
     entries, modules = database(spark, configs)
     stub_marks = marks.filter("is_stub").select("project", F.col("absolute").alias("name"), "annotation")
     calm = stub_marks.filter("annotation = 'non_blocking'").select("project", "name")
@@ -86,18 +86,18 @@ def build(facts: DataFrame, configs: Sequence[Config]) -> CallGraph:
 
     # external nodes: of the names a target may have, the first that blocks
     names = targets.filter("identity is null").select("project", "target", F.explode("names").alias("name"))
-    bad = cut(_matching(names.select("project", "name").distinct(), entries, modules, stub_blocking, calm))
+    bad = sized(cut(_matching(names.select("project", "name").distinct(), entries, modules, stub_blocking, calm)))
     exact = bad.join(entries.select("project", "name").unionByName(stub_blocking), ["project", "name"], "left_semi").withColumn("exact", F.lit(True))
     chosen = names.join(bad, ["project", "name"], "left_semi").groupBy("project", "target").agg(F.min("name").alias("external"))
     chosen = chosen.join(exact.withColumnRenamed("name", "external"), ["project", "external"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
-    node_of = cut(targets.join(chosen, ["project", "target"], "left").select("project", "target", "names", "resolved", F.coalesce("identity", "external").alias("dst"), F.col("identity").isNotNull().alias("ours"), F.coalesce("exact", F.lit(False)).alias("exact")))
+    node_of = sized(cut(targets.join(chosen, ["project", "target"], "left").select("project", "target", "names", "resolved", F.coalesce("identity", "external").alias("dst"), F.col("identity").isNotNull().alias("ours"), F.coalesce("exact", F.lit(False)).alias("exact"))))
     stub_places = functions.filter("is_stub").select("project", F.col("absolute").alias("id"), "path", "line", "column")
     last = Window.partitionBy("project", "id").orderBy("path", "line")
     stub_places = stub_places.join(stub_blocking.withColumnRenamed("name", "id"), ["project", "id"], "left_semi").withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
     outside = node_of.filter("dst is not null and not ours").select("project", F.col("dst").alias("id")).distinct().join(stub_places, ["project", "id"], "left").select(
         "project", "id", F.lit(KNOWN).alias("status"), F.lit("Function").alias("kind"), F.lit(False).alias("is_async"), F.lit(False).alias("is_first_party"), F.col("id").alias("display"), "path", "line", "column", F.col("path").isNotNull().alias("is_stub"),
     )
-    nodes = cut(first.unionByName(outside))
+    nodes = sized(cut(first.unionByName(outside)))
 
     # references inside known functions
     refs = facts.filter("fact = 'reference' and enclosing is not null and not is_stub").withColumn("src", F.concat_ws(":", "path", "enclosing"))
@@ -113,7 +113,7 @@ def build(facts: DataFrame, configs: Sequence[Config]) -> CallGraph:
     absolute = functions.select("project", F.col("identity").alias("dst"), "absolute")
     calls = refs.filter("use = 'call'").join(absolute, ["project", "dst"], "left")
     called = calls.withColumn("wrapper", F.explode(F.array_distinct(F.array_compact(F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array("absolute", "resolved"))))))
-    handing = cut(called.join(wrappers, ["project", "wrapper"]).select("project", "path", "src", "start", "end", "line", "column", "wrapper", F.explode(F.filter("arguments", lambda a: a["position"].eqNullSafe(F.col("position")) & F.col("position").isNotNull() | (a["keyword"] == F.col("keyword")))).alias("argument")))
+    handing = sized(cut(called.join(wrappers, ["project", "wrapper"]).select("project", "path", "src", "start", "end", "line", "column", "wrapper", F.explode(F.filter("arguments", lambda a: a["position"].eqNullSafe(F.col("position")) & F.col("position").isNotNull() | (a["keyword"] == F.col("keyword")))).alias("argument"))))
     wrapped = called.join(wrappers, ["project", "wrapper"], "left_semi").select("project", "src", "start", "end").distinct()
     ranges = handing.select("project", "src", F.col("argument.start").alias("r_start"), F.col("argument.end").alias("r_end"))
 

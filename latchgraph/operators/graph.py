@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, sized
 
 KNOWN, NEVER, SPREAD, OPEN = "KnownBlocking", "KnownNonBlocking", "PropagatedBlocking", "Unknown"
 
@@ -33,6 +33,7 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, link: Column, name: Column,
     keys = keys or []
     never = nodes.filter(F.col("status") == NEVER).select(*keys, F.col("id").alias("src"))
     usable = cut(edges.filter(~F.col("protected")).join(never, [*keys, "src"], "left_anti").select(*keys, "src", F.col("dst").alias("node"), link.alias("__link"), name.alias("__name")).distinct())
+    usable = sized(usable)
     kind = usable.select(F.array("__link").alias("chain")).schema["chain"].dataType
     found = delta = cut(nodes.filter(F.col("status") == KNOWN).select(*keys, F.col("id").alias("node"), F.col("id").alias("root"), F.array().cast(kind).alias("chain")))
     length = 0

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -63,3 +64,8 @@ def cut(frame: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows go to the shared checkpoint folder and survive lost executors."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(True)
+
+
+def sized(frame: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Marks a computed frame for broadcasting if it has no more than ``rows`` rows; a larger one is shuffled as usual."""
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
