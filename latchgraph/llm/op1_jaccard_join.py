@@ -10,11 +10,11 @@ Documents are sets of ``shingle`` consecutive words; two link when intersection
   have an equal block.  A shingle that a third of all documents share makes no long list by that;
 * the boundary is the one of least cost, counted from the sizes of all sets.
 
-Each list links its sets to one of them only (a star).  Star pairs are first held against a bound: the
-counts of two sets by hash bucket differ by no more than the sets do.  Verified intersections confirm the
-rest.  Linked stars give components.  For links between components, the sets that share any list are joined
-once more on inverted lists of single shingles, rarest first, cut by prefix length and position; pairs
-inside one component, which a large group of near copies consists of, are never made.
+A list of a few sets gives all its pairs; a longer one links its sets to one of them only (a star).  Pairs
+are first held against a bound: the counts of two sets by hash bucket differ by no more than the sets do.
+Verified intersections confirm the rest and give components.  For links between components, the sets of
+long lists are joined once more on inverted lists of single shingles, rarest first, cut by prefix length and
+position; pairs inside one component, which a large group of near copies consists of, are never made.
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer words than
 ``shingle`` make one; rows with equal sets link; a row without an id takes part and has no component_id
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import sized
 from ._components import components
 from ._exchange import bucket_of, firsts, layout, pack, pack_rising, spans, unpack, unpack_rising
 from ._tables import cut, partitions, table
@@ -192,7 +193,9 @@ def set_table(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _stars(docs: DataFrame, sets: DataFrame, shingle: int, scheme: Scheme) -> DataFrame:
-    """(x, y, near): the sets of each list linked to the least of them, by key; ``near`` where their sizes allow a link.
+    """(x, y, near, long): pairs of sets that share a list, by key; ``near`` where their sizes allow a link.
+
+    A short list gives all its pairs, a long one links its sets to the least of them (``long``).
 
     Lists hold references, which pack better than keys; rows that share one only add pairs to verify.
     """
@@ -222,24 +225,33 @@ def _stars(docs: DataFrame, sets: DataFrame, shingle: int, scheme: Scheme) -> Da
         new = firsts(keys, of)
         keys, of = keys[new], of[new]
         head = np.flatnonzero(firsts(keys))
-        pivot = np.repeat(of[head], np.diff(np.append(head, len(of))))
-        other = of != pivot
-        pairs = np.unique(np.stack((of[other], pivot[other]), axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-        return pa.table({"x": pa.array(np.ascontiguousarray(pairs[:, 0])), "y": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+        size = np.diff(np.append(head, len(of)))
+        first, length = np.repeat(head, size), np.repeat(size, size)
+        place = np.arange(len(of))
+        made = [(of[place[at]], of[place[at] - d], np.zeros(len(at), bool)) for d in range(1, _SHORT) if len(at := np.flatnonzero((length <= _SHORT) & (place - first >= d)))]
+        at = np.flatnonzero((length > _SHORT) & (place > first))
+        made.append((of[at], of[first[at]], np.ones(len(at), bool)))
+        x, y, long = (np.concatenate(c) for c in zip(*made, strict=True))
+        order = np.lexsort((long, y, x))
+        x, y, long = x[order], y[order], long[order]
+        # of equal pairs the last one tells whether a long list is among theirs
+        last = np.append(firsts(x, y)[1:], True) if len(x) else np.zeros(0, bool)
+        return pa.table({"x": pa.array(x[last]), "y": pa.array(y[last]), "long": pa.array(long[last])})
 
     asked = docs.select("text", _reference().alias("ref")).mapInArrow(ask, "__bucket int, k binary, o binary")
-    pairs = asked.repartition(n, "__bucket").groupBy("__bucket").applyInArrow(meet, "x long, y long").distinct()
+    pairs = asked.repartition(n, "__bucket").groupBy("__bucket").applyInArrow(meet, "x long, y long, long boolean").groupBy("x", "y").agg(F.bool_or("long").alias("long"))
     known = sets.filter("n > 0")
     left = known.select(F.col("ref").alias("x"), F.col("key").alias("a"), F.col("n").alias("m"))
     right = known.select(F.col("ref").alias("y"), F.col("key").alias("b"), "n")
     near = 100 * F.least("m", "n") >= scheme.percent * F.greatest("m", "n")
-    return pairs.join(left, "x").join(right, "y").filter("a != b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), near.alias("near")).distinct()
+    return pairs.join(left, "x").join(right, "y").filter("a != b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), near.alias("near"), "long").groupBy("x", "y").agg(F.first("near").alias("near"), F.bool_or("long").alias("long"))
 
 
 _FILTER_BITS = 1 << 28
 _SALTS = (U(0x8CB92BA72F3D8DD7), U(0xF1357AEA2E62A9C5))
-_HISTOGRAM = 256
+_HISTOGRAM = 128
 _BEFORE = 16
+_SHORT = 16
 
 
 def _filter_bits(wanted: DataFrame, bits: int) -> np.ndarray:
@@ -258,11 +270,12 @@ def _filter_bits(wanted: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """key, n, packed shingles and a histogram of them, for the sets whose keys are in ``wanted``, one row each.
+def _picked(docs: DataFrame, wanted: DataFrame, shingle: int, whole: bool) -> DataFrame:
+    """key and value of the sets whose keys are in ``wanted``, one row each; ``whole``: the packed shingles, else
+    their counts by hash bucket.
 
     A filter of bounded size picks them where the texts are read, so texts are not shuffled; the few other
-    sets that it lets through take part like any set.
+    sets that it lets through do no harm.
     """
     bits = 1 << 16
     number = wanted.count()
@@ -280,29 +293,40 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 for salt in _SALTS:
                     p = mix(s.key[rows] + salt) & U(bits - 1)
                     rows = rows[(filled[(p >> U(6)).astype(np.int64)].view(np.uint64) >> (p & U(63)) & U(1)).astype(bool)]
-                counts = [np.bincount((s.values[s.first[i] : s.first[i + 1]] & U(_HISTOGRAM - 1)).astype(np.int64), minlength=_HISTOGRAM).clip(max=65535).astype(np.uint16).tobytes() for i in rows]
-                yield pa.RecordBatch.from_arrays([_signed(s.key[rows]), pa.array(s.size[rows], pa.int64()), pa.array([s.values[s.first[i] : s.first[i + 1]].tobytes() for i in rows], pa.binary()), pa.array(counts, pa.binary())], ["key", "n", "values", "counts"])
+                parts = [s.values[s.first[i] : s.first[i + 1]] for i in rows]
+                if not whole:
+                    parts = [np.bincount((x & U(_HISTOGRAM - 1)).astype(np.int64), minlength=_HISTOGRAM).clip(max=255).astype(np.uint8) for x in parts]
+                yield pa.RecordBatch.from_arrays([_signed(s.key[rows]), pa.array(s.size[rows], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["key", "n", "value"])
 
-    return docs.select("text").mapInArrow(run, "key long, n long, values binary, counts binary").dropDuplicates(["key"])
+    return docs.select("text").mapInArrow(run, "key long, n long, value binary").dropDuplicates(["key"])
 
 
-def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets link: first by the histograms' bound, then by intersection."""
-    side = lambda name, value, column: held.select(F.col("key").alias(name), F.col(column).alias(value))
+def _joined(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """x, y and their values a and b."""
+    side = lambda name, value: held.select(F.col("key").alias(name), F.col("value").alias(value))
+    return pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").select("x", "y", "a", "b")
+
+
+def bounded(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their counts: with n shingles in all and at least ``differ`` of them in one set
+    only, the similarity is at most (n - differ) / (n + differ)."""
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(b.as_buffer(), np.uint16).astype(np.int64)
-                # with |A| + |B| = n and at least ``differ`` shingles in one set only, the similarity is at most
-                # (n - differ) / (n + differ); counts at the end of their range give no bound
-                n = int(a.sum() + b.sum())
-                differ = int(np.abs(a - b).sum())
-                keep.append(max(a.max(), b.max()) == 65535 or 100 * (n - differ) >= percent * (n + differ))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _HISTOGRAM).astype(np.int32) for i in (2, 3))
+                n, differ = (a + b).sum(axis=1), np.abs(a - b).sum(axis=1)
+                # counts at the end of their range give no bound
+                keep = (a.max(axis=1) == 255) | (b.max(axis=1) == 255) | (100 * (n - differ) >= percent * (n + differ))
+                yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return _joined(pairs, counts).mapInArrow(run, "x long, y long")
+
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sets link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
@@ -312,18 +336,17 @@ def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    near = cut(pairs.join(side("x", "a", "counts"), "x").join(side("y", "b", "counts"), "y").select("x", "y", "a", "b").mapInArrow(bound, "x long, y long"))
-    return near.join(side("x", "a", "values"), "x").join(side("y", "b", "values"), "y").select("x", "y", "a", "b").mapInArrow(exact, "x long, y long")
+    return _joined(pairs, held).mapInArrow(run, "x long, y long")
 
 
 def _across(held: DataFrame, labels: DataFrame, tested: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs of sets in different components that may link: lists of single shingles, rarest first."""
     n = partitions(held.sparkSession)
-    dealt = held.select("key", "n", "values").withColumn("__chunk", F.pmod(F.xxhash64("key"), F.lit(2 * n)).cast("int")).repartition(n, "__chunk")
+    dealt = held.select("key", "n", "value").withColumn("__chunk", F.pmod(F.xxhash64("key"), F.lit(2 * n)).cast("int")).repartition(n, "__chunk")
     buckets = n
 
     def values_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        parts = [np.frombuffer(x, np.uint64) for x in rows.column("values").to_pylist()]
+        parts = [np.frombuffer(x, np.uint64) for x in rows.column("value").to_pylist()]
         values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
         unique, back, count = np.unique(values, return_inverse=True, return_counts=True)
@@ -389,13 +412,18 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tup
     most = scheme.limit(scheme.most_light()) + 1
     sizes = {r["n"]: r["c"] for r in sets.filter(f"n > 0 and n <= {most}").groupBy("n").agg(F.count("*").alias("c")).collect()}
     scheme = scheme.choose(sizes)
-    stars = cut(_stars(docs, sets, shingle, scheme))
-    nodes = stars.select(F.col("x").alias("key")).union(stars.select(F.col("y").alias("key"))).distinct()
-    held = cut(_sets_of(docs, nodes, shingle))
-    stars = stars.filter("near").select("x", "y")
-    links = cut(verify(stars, held, percent))
+    found = cut(_stars(docs, sets, shingle, scheme))
+    ends = lambda frame: frame.select(F.col("x").alias("key")).union(frame.select(F.col("y").alias("key"))).distinct()
+    near = found.filter("near").select("x", "y")
+    counts = cut(_picked(docs, ends(near), shingle, False))
+    near = cut(bounded(near, counts, percent))
+    # all pairs of short lists are among ``near``; those of long lists are left to single shingles
+    crowd = cut(ends(found.filter("long")))
+    held = cut(_picked(docs, ends(near).union(crowd).distinct(), shingle, True))
+    links = cut(verify(sized(near, 200_000), held, percent))
     labels = components(links)
-    more = cut(verify(_across(held, labels, stars, scheme), held, percent))
+    across = cut(_across(held.join(sized(crowd, 200_000), "key", "left_semi"), labels, near, scheme))
+    more = cut(verify(sized(across, 200_000), held, percent))
     if more.limit(1).count():
         labels = components(links.union(more))
     return sets, cut(labels)
