@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,28 +15,59 @@ from .config import Config
 COLUMNS = "project string, path string, module string, is_package boolean, is_stub boolean, is_first_party boolean, content_hash string, content binary"
 
 
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the ``.py`` and ``.pyi`` files under a root.
+
+    Spark's readers pass over names that begin with an underscore, such as ``__init__.py``.  A root without a
+    scheme is therefore listed here (names only) and read by the executors, which must share the mount; one
+    with a scheme goes through the ``binaryFile`` reader.
+    """
+    if "://" in root:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py*").load(root)
+        return found.select("path", "content")
+    names = [os.path.join(folder, f) for folder, _, files in os.walk(root) for f in files if f.endswith((".py", ".pyi"))]
+    return spark.createDataFrame([(x,) for x in sorted(names)], "path string").withColumn("content", F.lit(None).cast("binary"))
+
+
+def _contents(files: DataFrame) -> DataFrame:
+    """Fills in the contents that a listing left open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("content")
+            made = []
+            for path, content in zip(batch.column("full").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if content is None:
+                    with open(path, "rb") as f:
+                        content = f.read()
+                made.append(content)
+            yield batch.set_column(at, "content", pa.array(made, pa.binary()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(n, "project", "path").mapInArrow(run, schema)
+
+
 def read(spark: SparkSession, configs: Sequence[Config]) -> DataFrame:
     """One row per ``.py`` file of a source root and per ``.pyi`` file of a source or stub root.
 
     ``path`` is relative to the project.  Of a path found under several roots the last one counts; a stub
-    root comes after source roots.
+    root comes after source roots.  Exclusions apply before anything is read.
     """
     parts = []
     for config in configs:
         for order, (root, first_party) in enumerate([(r, True) for r in config.roots] + [(r, False) for r in config.stub_paths]):
-            found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py*").load(root)
             whole = F.regexp_replace("path", "^file:/+", "/")
             relative = relative_path(whole, F.lit(config.root))
-            kind = F.lit(True) if first_party else F.lit(False)
-            rows = found.select(
+            rows = _listed(spark, root).select(
                 F.lit(config.root).alias("project"),
                 relative.alias("path"),
                 module_of(relative_path(whole, F.lit(root))).alias("module"),
                 whole.endswith("/__init__.py").alias("is_package"),
                 whole.endswith(".pyi").alias("is_stub"),
-                kind.alias("is_first_party"),
-                F.sha2("content", 256).alias("content_hash"),
+                F.lit(first_party).alias("is_first_party"),
                 "content",
+                whole.alias("full"),
                 F.lit(order).alias("__order"),
             )
             wanted = F.col("is_stub") | (F.lit(first_party) & F.col("path").endswith(".py"))
@@ -45,7 +78,8 @@ def read(spark: SparkSession, configs: Sequence[Config]) -> DataFrame:
     for p in parts[1:]:
         files = files.unionByName(p)
     last = F.row_number().over(Window.partitionBy("project", "path").orderBy(F.desc("__order")))
-    return files.withColumn("__n", last).filter("__n = 1").drop("__n", "__order")
+    files = _contents(files.withColumn("__n", last).filter("__n = 1").drop("__n", "__order"))
+    return files.select("project", "path", "module", "is_package", "is_stub", "is_first_party", F.sha2("content", 256).alias("content_hash"), "content")
 
 
 def from_texts(spark: SparkSession, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
