@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import partitions
-from ._words import U
+from ._words import U, give_back
 
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 2 << 20
@@ -67,6 +67,7 @@ def chunked(docs: DataFrame, chunks: int, *more) -> DataFrame:
 
 def in_order(rows: pa.Table) -> pa.Table:
     """The rows of a chunk in an order that does not depend on how they came."""
+    give_back()
     return rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("__h", "ascending")])).combine_chunks()
 
 

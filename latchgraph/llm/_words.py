@@ -8,6 +8,7 @@ object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -35,14 +36,30 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@functools.cache
-def _grown(base: int, bits: int) -> np.ndarray:
-    return _powers(base, 1 << bits)
+_GROWN: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    return _grown(base & _MASK, max(16, int(n - 1).bit_length() if n > 1 else 1))[:n]
+    """base**0 .. base**(n-1) modulo 2**64; the longest run of each base is kept."""
+    base &= _MASK
+    held = _GROWN.get(base)
+    if held is None or len(held) < n:
+        held = _GROWN[base] = _powers(base, 1 << max(16, int(n - 1).bit_length()))
+    return held[:n]
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on between tasks, and its heap with it."""
+    if trim := _libc():
+        trim(0)
 
 
 def inverse(base: int) -> int:
@@ -137,3 +154,4 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         to = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()

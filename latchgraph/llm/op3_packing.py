@@ -36,7 +36,7 @@ CAPACITY = 4096
 WINDOWS = 16
 FAN_IN = 256
 END = 2
-_UNITS = 2_000_000
+_UNITS = 1_500_000
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 ASCII sign; 0 for the apostrophe, white space and non-ASCII
 _KIND[33:127] = 3

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._exchange import bucket_of, chunked, firsts, in_order, layout, pack, spans, unpack
 from ._tables import partitions, table
-from ._words import U, Words, inverse, mix, powers
+from ._words import Words, inverse, mix, powers
 
 WINDOW = 20
 KMER = 6
