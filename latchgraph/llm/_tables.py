@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
 
-__all__ = ["cut", "held_out", "partitions", "ship", "table"]
+__all__ = ["cut", "drop_shuffles", "held_out", "partitions", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of frames that are no longer held; else they stay until the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: Column, modulus: int, rest: int = 2) -> Column:
     """True where crc32 of the id as text leaves ``rest``; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))

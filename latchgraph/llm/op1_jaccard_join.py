@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import sized
 from ._components import components
 from ._exchange import bucket_of, firsts, layout, pack, pack_rising, spans, unpack, unpack_rising
-from ._tables import cut, partitions, table
+from ._tables import cut, drop_shuffles, partitions, table
 from ._words import U, Words, mix, pieces
 
 SHINGLE = 3
@@ -413,6 +413,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tup
     sizes = {r["n"]: r["c"] for r in sets.filter(f"n > 0 and n <= {most}").groupBy("n").agg(F.count("*").alias("c")).collect()}
     scheme = scheme.choose(sizes)
     found = cut(_stars(docs, sets, shingle, scheme))
+    drop_shuffles(docs.sparkSession)
     ends = lambda frame: frame.select(F.col("x").alias("key")).union(frame.select(F.col("y").alias("key"))).distinct()
     near = found.filter("near").select("x", "y")
     counts = cut(_picked(docs, ends(near), shingle, False))
@@ -420,9 +421,12 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tup
     # all pairs of short lists are among ``near``; those of long lists are left to single shingles
     crowd = cut(ends(found.filter("long")))
     held = cut(_picked(docs, ends(near).union(crowd).distinct(), shingle, True))
+    drop_shuffles(docs.sparkSession)
     links = cut(verify(sized(near, 200_000), held, percent))
+    drop_shuffles(docs.sparkSession)
     labels = components(links)
     across = cut(_across(held.join(sized(crowd, 200_000), "key", "left_semi"), labels, near, scheme))
+    drop_shuffles(docs.sparkSession)
     more = cut(verify(sized(across, 200_000), held, percent))
     if more.limit(1).count():
         labels = components(links.union(more))
