@@ -2,7 +2,8 @@
 
 1. language identification: documents whose language is not identified go;
 2. n-gram Jaccard join: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the
-   document with the smallest id stays;
+   document with the smallest id stays (one without an id where none has one; rows that share an id are
+   documents of their own);
 3. substring dedup: spans of 20 or more words that occur earlier are cut out; a text cut wholly goes;
 4. mixing: documents in training order, as often as their source's target takes them;
 5. packing: one row per piece of a document's tokens in sequences of up to 4096.
@@ -26,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return op1_jaccard_join.keep_one(docs, shingle=5, percent=80)
+    return op1_jaccard_join.keep_rows(docs, shingle=5, percent=80)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

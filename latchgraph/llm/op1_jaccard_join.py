@@ -18,7 +18,7 @@ position; pairs inside one component, which a large group of near copies consist
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer words than
 ``shingle`` make one; rows with equal sets link; a row without an id takes part and has no component_id
-of its own to give; an empty table gives an empty result; extra columns pass through ``keep_one``.
+of its own to give; an empty table gives an empty result; extra columns pass through ``keep_rows``.
 """
 
 from __future__ import annotations
@@ -179,17 +179,22 @@ def _reference() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
+def _text_hash() -> Column:
+    """With the reference, the key of a row's id and text; independent of the hash that a reference may be."""
+    return F.xxhash64(F.lit(0), "text")
+
+
 def set_table(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, ref, n (set size), key and check (hashes of the set) of every row."""
+    """doc_id, ref, t (hash of the text), n (set size), key and check (hashes of the set) of every row."""
     id_type = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 sets = Sets(piece.column(1), shingle)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(sets.size, pa.int64()), _signed(sets.key), _signed(sets.check)], ["doc_id", "ref", "n", "key", "check"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), piece.column(3), pa.array(sets.size, pa.int64()), _signed(sets.key), _signed(sets.check)], ["doc_id", "ref", "t", "n", "key", "check"])
 
-    return docs.select("doc_id", "text", _reference().alias("ref")).mapInArrow(run, f"doc_id {id_type}, ref long, n long, key long, check long")
+    return docs.select("doc_id", "text", _reference().alias("ref"), _text_hash().alias("t")).mapInArrow(run, f"doc_id {id_type}, ref long, t long, n long, key long, check long")
 
 
 def _stars(docs: DataFrame, sets: DataFrame, shingle: int, scheme: Scheme) -> DataFrame:
@@ -444,10 +449,28 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
 
 
+def keep_rows(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-duplicates: that with the smallest id, and one without an id only where none has one.
+
+    Rows are told apart by id and text: rows that share an id, or have none, are of one group only where their
+    texts are.  A row without words is of no group and stays.
+    """
+    sets, labels = join(docs, shingle, percent)
+    # nulls come first in an order, so a mark before the id puts rows without one last
+    per_set = sets.filter("n > 0").groupBy("key", "check").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref", "t")).alias("least"))
+    placed = per_set.join(labels, per_set["key"] == labels["node"], "left").select("least", F.coalesce("component", "key").alias("c"), F.when(F.col("component").isNull(), F.col("check")).alias("d"))
+    chosen = placed.groupBy("c", "d").agg(F.min("least").alias("least")).select(F.col("least.ref").alias("__ref"), F.col("least.t").alias("__t"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # an inner join, as a semi join would be moved before the removal of equal rows and gather them in one task
+    once = docs.filter(worded).withColumn("__ref", _reference()).withColumn("__t", _text_hash()).dropDuplicates(["__ref", "__t"])
+    kept = once.join(chosen, ["__ref", "__t"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).union(docs.filter(~worded).select(*columns))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id (of rows with one id, one)."""
-    kept = classes(docs, shingle, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``keep_rows`` without the rows that have no id."""
+    return keep_rows(docs, shingle, percent).filter("doc_id is not null")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,5 +74,23 @@ def test_keep_one(docs, rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def test_keep_rows(spark):
+    # rows without an id, and different texts under one id, stay unless they are near copies
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(1, text("a")), (None, text("b")), (None, text("c")), (None, text("a") + " x"), (2, text("d")), (2, text("e")), (2, text("a") + " y"), (2, text("d"))]
+    rows += [(None, text("f")), (None, text("f")), (None, ""), (3, None), (9, text("g")), (4, text("g") + " z"), (4, text("h"))]
+    frame = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, component_id int")
+    out = op.keep_rows(frame, 5, 80)
+    assert out.columns == frame.columns
+    want = [(1, text("a")), (None, text("b")), (None, text("c")), (2, text("d")), (2, text("e")), (None, text("f")), (None, ""), (3, None), (4, text("g") + " z"), (4, text("h"))]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pipeline_keeps_rows_without_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    frame = spark.createDataFrame([(None, "a text of its own that no other row has"), (1, "words of another text altogether, also alone")], "doc_id long, text string")
+    assert dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, frame, "").count() == 2
+
+
 def test_empty(empty):
     assert op.classes(empty).count() == 0 and op.keep_one(empty).count() == 0
