@@ -3,8 +3,8 @@
 Vectors are grouped by their nearest pivot (pivots: a bounded, hash-ordered sample of the distinct
 vectors).  Each group is summed up by its pivot, its radius and its number of vectors.  For a query q
 and a group (pivot p, radius r), Cauchy-Schwarz bounds every score from both sides by q.p -/+ |q| r.
-The lower bounds of enough vectors give a threshold per query; a query is replicated only to groups
-whose upper bound reaches it.  Groups are split into blocks of bounded size by a hash of the id, so a
+The lower bounds of enough vectors (as many more as the query's id has rows, which are no candidates of
+it) give a threshold per query; a query is replicated only to groups whose upper bound reaches it.  Groups are split into blocks of bounded size by a hash of the id, so a
 vector that a third of all rows share is no large task; blocks are solved as matrix products, and the
 block results of a query are merged by a bounded top-k.
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import sized
 from ._tables import cut, partitions, table
 
 SCALE = 256
@@ -67,16 +68,16 @@ def _nearest(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, np.sqrt(((vectors - pivots[at]) ** 2).sum(axis=1))
 
 
-def _needed(query: np.ndarray, pivots: np.ndarray, radius: np.ndarray, number: np.ndarray, top: int) -> np.ndarray:
-    """True for each query and group that may hold one of the query's ``top`` best."""
+def _needed(query: np.ndarray, pivots: np.ndarray, radius: np.ndarray, number: np.ndarray, top: int, own: np.ndarray | int = 1) -> np.ndarray:
+    """True for each query and group that may hold one of the query's ``top`` best; ``own``: the rows of each query's id."""
     middle = query @ pivots.T
     spread = np.sqrt((query**2).sum(axis=1))[:, None] * radius[None, :]
     # rounding errors of the bounds, generously
     slack = 1e-9 * (np.abs(middle) + spread + 1)
     lower, upper = middle - spread - slack, middle + spread + slack
     order = np.argsort(-lower, axis=1)
-    # the query's own rows may be among the vectors counted, so one more is asked for
-    enough = np.cumsum(number[order], axis=1) >= top + 1
+    # the rows of the query's id may all be among the vectors counted, so as many more are asked for
+    enough = np.cumsum(number[order], axis=1) >= top + np.reshape(own, (-1, 1))
     at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(number) - 1)
     threshold = np.take_along_axis(lower, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
     threshold = np.where(enough.any(axis=1), threshold, -np.inf)
@@ -125,8 +126,8 @@ def _search(used: DataFrame, top: int, pivots: int, block: int, n: int) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                query, ids, marks = _matrix(piece.column(1)), piece.column(0).to_numpy(), piece.column(2).to_numpy()
-                need = _needed(query, centre[filled], radius[filled], number[filled], top)
+                query, ids, marks, own = _matrix(piece.column(1)), *(piece.column(c).to_numpy() for c in (0, 2, 3))
+                need = _needed(query, centre[filled], radius[filled], number[filled], top, own)
                 rows = [(int(g), s, ids[need[:, j]].tobytes(), marks[need[:, j]].tobytes(), query[need[:, j]].tobytes()) for j, g in enumerate(filled) if need[:, j].any() for s in range(int(blocks[g]))]
                 if rows:
                     g, s, i, m, v = zip(*rows, strict=True)
@@ -156,7 +157,10 @@ def _search(used: DataFrame, top: int, pivots: int, block: int, n: int) -> DataF
 
     counts = F.array(*[F.lit(int(b)) for b in blocks])
     data = grouped.withColumn("s", F.pmod(F.xxhash64("vec_id", F.hash("v")), F.get(counts, F.col("g"))).cast("int")).select("g", "s", "vec_id", "v")
-    queries = grouped.filter("q").select("vec_id", "v", F.xxhash64("v").alias("mark")).dropDuplicates(["vec_id", "mark"]).mapInArrow(replicate, "g int, s int, ids binary, marks binary, queries binary")
+    repeated = grouped.groupBy("vec_id").agg(F.count("*").alias("own"), F.max("q").alias("q")).filter("q and own > 1").select("vec_id", "own")
+    asked = grouped.filter("q").select("vec_id", "v", F.xxhash64("v").alias("mark")).dropDuplicates(["vec_id", "mark"])
+    asked = asked.join(sized(cut(repeated), 200_000), "vec_id", "left").select("vec_id", "v", "mark", F.coalesce("own", F.lit(1)).alias("own"))
+    queries = asked.mapInArrow(replicate, "g int, s int, ids binary, marks binary, queries binary")
     solved = data.repartition(n, "g", "s").groupBy("g", "s").cogroup(queries.repartition(n, "g", "s").groupBy("g", "s")).applyInArrow(solve, "query_id long, mark long, vec_id long, score long")
     # the rank filter cuts every task's rows to `top` per query before they are dealt out
     best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")

@@ -55,6 +55,18 @@ def test_pruning_keeps_the_best(spark):
     assert need.tolist() == [[False, True, False]]
 
 
+@pytest.mark.parametrize("copies", [2, 5, 6, 9])
+def test_repeated_query_rows(spark, copies):
+    # each vector is its own pivot; the query's own rows score best and are no candidates
+    rows = [(50, [10.0, 0.0])] * copies + [(i, [9.0 - 0.2 * i, 0.1 * i]) for i in range(1, 30)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_query_id_with_different_vectors(spark):
+    rows = [(50, [10.0 - 0.1 * i, 0.0]) for i in range(7)] + [(i, [9.0 - 0.2 * i, 0.1 * i]) for i in range(1, 30)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert found(spark, []) == []
     assert found(spark, [(0, [1.0])]) == []
