@@ -8,7 +8,8 @@ occurrences of an edge lie on paths with one minimizer:
 1. paths meet by (minimizer, path hash): each learns whether the same path starts earlier elsewhere,
    and whether its minimizer has other paths as well (a branching);
 2. where it does not branch, the path's first coordinates decide about all its windows; only the first
-   occurrence of a branching path is unfolded, and its windows meet by (window hash, minimizer);
+   occurrences of a branching path (rows may share coordinates) are unfolded, and their windows meet by
+   (window hash, minimizer);
 3. coordinates (doc_id, first word) assemble the spans that are removed.
 
 Keys are 128 bits (two independent hashes).  Chunks and buckets exchange packed keys and one-byte
@@ -92,6 +93,9 @@ class _Chunk:
         self.entry = np.zeros(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.first = order[new]
+        # of equal coordinates (rows with one doc_id) none is earlier than the other
+        lead = self.first[self.entry]
+        self.leads = (self.doc == self.doc[lead]) & (self.start == self.start[lead])
 
     def requests(self, chunk: int, buckets: int, keys: tuple[np.ndarray, np.ndarray], doc: np.ndarray, start: np.ndarray) -> list[tuple]:
         a, b = keys
@@ -107,8 +111,8 @@ class _Chunk:
         return np.concatenate([np.frombuffer(r, np.uint8) for _, r in got]) if got else np.zeros(0, np.uint8)
 
     def unfold(self, flags: np.ndarray) -> None:
-        """The windows of paths that branch and start here first: keys ascending, with their coordinates."""
-        chosen = self.first[flags == 2]
+        """The windows of paths that branch and start here first, in every row that has these coordinates: keys ascending, with their coordinates."""
+        chosen = np.flatnonzero(self.leads & (flags[self.entry] == 2))
         n = self.length[chosen]
         self.edge = np.repeat(self.begin[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         w = _runs(self.words.hash, _EDGE_BASE, self.edge, np.full(len(self.edge), self.window))
@@ -121,23 +125,18 @@ class _Chunk:
         self.edge_first = order[new]
         self.edge_keys = (w[self.edge_first], m[self.edge_first])
         self.edge_at = (doc[self.edge_first], start[self.edge_first])
+        lead = self.edge_first[self.edge_entry]
+        self.edge_late = (doc != doc[lead]) | (start != start[lead])
 
     def removed(self, flags: np.ndarray, edge_flags: np.ndarray) -> np.ndarray:
         """True for each word that a repeated window covers."""
         size = len(self.words.hash)
         cover = np.zeros(size + 1, np.int64)
-        own_first = np.zeros(len(self.begin), bool)
-        own_first[self.first] = True
-        # of equal coordinates (rows with one doc_id) none is earlier than the other
-        lead = self.first[self.entry] if len(self.first) else self.first
-        own_first |= (self.doc == self.doc[lead]) & (self.start == self.start[lead]) if len(lead) else False
-        whole = ~own_first | ((flags & 1).astype(bool)[self.entry] if len(flags) else False)
+        whole = ~self.leads | ((flags & 1).astype(bool)[self.entry] if len(flags) else False)
         np.add.at(cover, self.begin[whole], 1)
         np.add.at(cover, (self.begin + self.length + self.window - 1)[whole], -1)
         if len(self.edge):
-            late = np.ones(len(self.edge), bool)
-            late[self.edge_first] = False
-            late |= (edge_flags & 1).astype(bool)[self.edge_entry]
+            late = self.edge_late | (edge_flags & 1).astype(bool)[self.edge_entry]
             np.add.at(cover, self.edge[late], 1)
             np.add.at(cover, self.edge[late] + self.window, -1)
         return np.cumsum(cover[:-1]) > 0

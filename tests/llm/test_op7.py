@@ -31,6 +31,21 @@ def test_shared_passage(spark):
     assert sum(g[2] for g in got) == 55 * 99
 
 
+def test_repeated_row_overlaps_an_earlier_document(spark):
+    # equal rows share the middle of a passage with an earlier document, so that paths branch at its rims
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    passage = words("p", 60)
+    rows = []
+    for k in range(12):
+        shared = passage[k : 60 - k]
+        rows += [(k, " ".join(words(f"x{k}y", 30) + shared + words(f"z{k}y", 30)))]
+        rows += [(100 + k, " ".join(words(f"u{k}y", 25) + passage + words(f"v{k}y", 25)))] * (2 + k % 2)
+    # one id for different texts that have a window at the same place
+    rows += [(200, " ".join(words("q", 40) + words("r", 30))), (200, " ".join(words("q", 40) + words("s", 30))), (200, " ".join(words("q", 30)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(op.digest(frame)) == sorted((x[:4] for x in brute.removed(rows)), key=str)
+
+
 def test_remove_repeats(docs, rows):
     out = op.remove_repeats(docs)
     assert out.columns == docs.columns
