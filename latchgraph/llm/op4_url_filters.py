@@ -1,12 +1,12 @@
 """URL filters: domain rules first, gradient-boosted trees on lexical features for the rest.
 
 DataFrame functions only.  Rules give labelled URLs; the trees are fitted on a bounded, hash-ordered
-sample of these (``max_labelled``) with histogram aggregations - one ``groupBy(node, feature, bin)``
+sample of the distinct ones (``max_labelled``) with histogram aggregations - one ``groupBy(node, feature, bin)``
 per level - and applied as one CASE expression per tree, so every URL is judged in a map-only pass.
 
 Features: URL, host, path and query length, host labels, path depth, digit ratio, character entropy,
-parameter count, hyphens in the host, and of the host's last label (suffix) its share and its rate of
-blocked URLs in the sample.
+parameter count, hyphens in the host, and of the host's last label (suffix) its share of all rows and its
+rate of blocked ones among all labelled rows.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and goes to the
 trees; repeated rows are judged alike; an empty table gives an empty result; without labelled URLs,
@@ -22,6 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import sized
 from ._tables import cut, table
 
 
@@ -108,19 +109,13 @@ class Model(NamedTuple):
     prior: float
     edges: dict[str, list[float]]
     trees: list[dict[int, tuple]]  # node -> ("split", feature, threshold bin) or ("leaf", value)
-    suffixes: dict[str, tuple[float, float]]
 
 
-def _with_suffix(frame: DataFrame, suffixes: dict[str, tuple[float, float]]) -> DataFrame:
-    """The suffix table holds at most ``max_suffixes`` rows of the bounded sample, as a literal map."""
-    for i, name in enumerate(("suffix_share", "suffix_rate")):
-        if suffixes:
-            pairs = [F.lit(x) for k, v in suffixes.items() for x in (k, float(v[i]))]
-            value = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("__suffix")), F.lit((0.0, 0.5)[i]))
-        else:
-            value = F.lit((0.0, 0.5)[i])
-        frame = frame.withColumn(f"__f_{name}", value)
-    return frame
+def suffix_statistics(featured: DataFrame) -> DataFrame:
+    """__suffix, share and rate of every suffix; ``featured`` has __suffix and __y (null: no label)."""
+    counts = cut(featured.groupBy("__suffix").agg(F.count("*").alias("c"), F.count("__y").alias("n"), F.coalesce(F.sum("__y"), F.lit(0.0)).alias("p")))
+    total = counts.agg(F.sum("c")).first()[0] or 1
+    return counts.select("__suffix", (F.col("c") / total).alias("__f_suffix_share"), ((F.col("p") + 1) / (F.col("n") + 2)).alias("__f_suffix_rate"))
 
 
 def _featured(frame: DataFrame, url: Column) -> DataFrame:
@@ -134,16 +129,14 @@ def _bin(name: str, edges: Sequence[float]) -> Column:
     return sum((F.when(value > e, 1).otherwise(0) for e in edges), F.lit(0))
 
 
-def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4, ridge: float = 1.0, max_labelled: int = 20_000, max_suffixes: int = 256) -> Model:
-    """``labelled`` has the __f_ columns, __suffix, __order (a hash) and __y (1.0: block)."""
-    sample = cut(labelled.select("__order", "__suffix", "__y", *[f"__f_{f}" for f in FEATURES[:-2]]).orderBy("__order", *[f"__f_{f}" for f in FEATURES[:-2]]).limit(max_labelled))
+def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4, ridge: float = 1.0, max_labelled: int = 20_000) -> Model:
+    """``labelled`` has the __f_ columns, __order (a hash of the URL) and __y (1.0: block)."""
+    columns = ["__order", *[f"__f_{f}" for f in FEATURES]]
+    sample = cut(labelled.select("__y", *columns).distinct().orderBy(*columns).limit(max_labelled))
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("__y"), F.lit(0.0))).first()
     prior = math.log((positive + 0.5) / (n - positive + 0.5)) if n else -10.0
     if not n or positive in (0, n):
-        return Model(prior if not n or positive == 0 else abs(prior), {}, [], {})
-    top = sample.groupBy("__suffix").agg(F.count("*").alias("c"), F.sum("__y").alias("p")).orderBy(F.desc("c"), "__suffix").limit(max_suffixes).collect()
-    suffixes = {r["__suffix"]: (r["c"] / n, (r["p"] + 1) / (r["c"] + 2)) for r in top}
-    sample = _with_suffix(sample, suffixes)
+        return Model(prior if not n or positive == 0 else abs(prior), {}, [])
     grid = [i / bins for i in range(1, bins)]
     cuts = sample.agg(*[F.percentile_approx(f"__f_{f}", grid, 1000).alias(f) for f in FEATURES]).first()
     edges = {f: sorted(set(cuts[f])) for f in FEATURES}
@@ -182,7 +175,7 @@ def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, rat
                 break
         model.append(tree)
         score = score + _value(tree, lambda i: F.get(F.col("cells"), F.lit(i))["b"])
-    return Model(prior, edges, model, suffixes)
+    return Model(prior, edges, model)
 
 
 def _best_split(by_feature: dict, g: float, h: float, ridge: float) -> tuple[int, int] | None:
@@ -237,10 +230,10 @@ def judge(pages: DataFrame, url_column: str = "url", rules: Sequence[Rule] = RUL
     verdicts = {r.text: r.verdict for r in rules}
     by_rule = F.try_element_at(F.create_map(*[F.lit(x) for kv in verdicts.items() for x in kv]), F.col("__rule")) if verdicts else F.lit(None).cast("string")
     featured = featured.withColumn("__by_rule", F.when(F.col("__rule").isNotNull(), by_rule))
-    labelled = featured.filter(F.col("__by_rule").isNotNull()).withColumn("__y", F.when(F.col("__by_rule") == "block", 1.0).otherwise(0.0)).withColumn("__order", F.xxhash64(url))
-    model = fit(labelled, **options)
-    chance = probability(model)
-    scored = _with_suffix(featured, model.suffixes).withColumn("__p", chance)
+    featured = featured.withColumn("__y", F.when(F.col("__by_rule").isNotNull(), F.when(F.col("__by_rule") == "block", 1.0).otherwise(0.0)))
+    featured = featured.join(sized(suffix_statistics(featured), 200_000), "__suffix", "left")
+    model = fit(featured.filter("__y is not null").withColumn("__order", F.xxhash64(url)), **options)
+    scored = featured.withColumn("__p", probability(model))
     verdict = F.coalesce("__by_rule", F.when(F.col("__p") >= 0.5, "block").otherwise("allow"))
     return scored.select(*pages.columns, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"), F.col("__p").alias("block_probability"))
 

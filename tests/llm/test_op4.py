@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from latchgraph.llm import op4_url_filters as op
 
@@ -50,6 +51,24 @@ def test_no_labels(spark):
     assert {r["page_id"]: r["verdict"] for r in op.judge(only).collect()} == {1: "block", 2: "block"}
 
 
+def test_repeated_url_does_not_fill_the_sample(spark):
+    # the URL of the least hash stands more often than the sample has places
+    urls = [f"http://a{i}.com/{'de' if i % 2 else 'fr'}/{'x' * (i % 2 * 30)}" for i in range(40)] + ["http://b.net/de/" + "x" * 30, "http://b.net/fr/"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    least = frame.filter("url like '%.com/%'").orderBy(F.xxhash64("url")).first()["url"]
+    frame = frame.union(spark.createDataFrame([(100 + i, least) for i in range(60)], frame.schema))
+    got = {r["url"]: r["verdict"] for r in op.judge(frame, max_labelled=41).collect()}
+    assert (got[urls[-2]], got[urls[-1]]) == ("block", "allow")
+
+
+def test_suffix_statistics_of_all_rows(spark):
+    # more suffixes than any bound had, most of them without a label
+    rows = [("net", None)] * 300 + [("com", 1.0)] * 60 + [("com", 0.0)] * 38 + [("com", None)] * 2 + [(f"s{i}", 0.0) for i in range(600)]
+    got = {r["__suffix"]: (r["__f_suffix_share"], r["__f_suffix_rate"]) for r in op.suffix_statistics(spark.createDataFrame(rows, "__suffix string, __y double")).collect()}
+    assert len(got) == 602
+    assert got["net"] == (0.3, 0.5) and got["com"] == (0.1, 0.61) and got["s599"] == (0.001, 1 / 3)
+
+
 def test_no_python_in_plan(spark, tmp_path, capsys):
     frame = spark.createDataFrame([(i, f"http://a{i}.com/{'de' if i % 2 else 'fr'}/") for i in range(20)], "page_id long, url string")
     op.judge(frame).explain()
