@@ -36,16 +36,27 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_GROWN: dict[int, np.ndarray] = {}
+_STEP = 1 << 17  # powers held of each base
+_SLICE = 1 << 16
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest run of each base is kept."""
+@functools.cache
+def _held(base: int) -> np.ndarray:
+    return _powers(base, _STEP)
+
+
+def power_at(base: int, index: np.ndarray) -> np.ndarray:
+    """base**index modulo 2**64, from a table of bounded size and one of its last power's powers."""
     base &= _MASK
-    held = _GROWN.get(base)
-    if held is None or len(held) < n:
-        held = _GROWN[base] = _powers(base, 1 << max(16, int(n - 1).bit_length()))
-    return held[:n]
+    out = _held(base)[index & (_STEP - 1)]
+    if len(index) and (most := int(index.max()) // _STEP):
+        out *= _powers(pow(base, _STEP, 1 << 64), most + 1)[index // _STEP]
+    return out
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    return _held(base & _MASK)[:n] if n <= _STEP else power_at(base, np.arange(n))
 
 
 @functools.cache
@@ -62,6 +73,7 @@ def give_back() -> None:
         trim(0)
 
 
+@functools.cache
 def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
@@ -105,14 +117,17 @@ class Words:
         after[:-1] = word[1:] & before[1:]
         self.end = np.flatnonzero(word & ~after) + 1
         self.first = np.searchsorted(self.begin, off).astype(np.int64)
-        if len(self.begin):
-            values = (_LOWER if lower else _TABLE)[self.data]
-            # positions count from the buffer's start; the inverse power moves each word to its own
-            values *= powers(_BYTE_BASE, size)
-            sums = np.add.reduceat(values, self.begin)
-            self.hash = mix(sums * powers(inverse(_BYTE_BASE), size)[self.begin])
-        else:
-            self.hash = np.zeros(0, dtype=np.uint64)
+        self.hash = np.zeros(len(self.begin), dtype=np.uint64)
+        table = _LOWER if lower else _TABLE
+        # slices of whole words, so that what stands in memory beside the text does not grow with it
+        cuts = np.unique(np.append(np.searchsorted(self.begin, np.arange(0, size, _SLICE)), len(self.begin)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            start = int(self.begin[a])
+            values = table[self.data[start : int(self.end[b - 1])]]
+            # positions count from the slice's start; the inverse power moves each word to its own
+            values *= powers(_BYTE_BASE, len(values))
+            at = self.begin[a:b] - start
+            self.hash[a:b] = mix(np.add.reduceat(values, at) * power_at(inverse(_BYTE_BASE), at))
 
     @property
     def counts(self) -> np.ndarray:

@@ -2,13 +2,15 @@
 
 Character 1- to 3-grams of the lower-cased text (everything that is not a letter is one separator) are
 hashed into ``DIMENSIONS`` features.  Document frequencies come from every training document.  The
-regression itself is fitted on a bounded sample - at most ``per_lang`` documents of each language, the
-first in hash order - by follow-the-regularised-leader with L1 and L2 penalties; a fifth of the sample
+regression itself is fitted on a bounded sample - at most ``per_lang`` distinct documents of each language,
+the first in hash order of id, language and text - by follow-the-regularised-leader with L1 and L2 penalties; a fifth of the sample
 is kept for the temperature that calibrates the probabilities.
 
 Defined cases: a null text or one without letters gives ``und`` with score 0, as does every text when
-there is nothing to learn from; null langs are not learned from; repeated rows are predicted alike; an
-empty table gives an empty result; whole texts are used whatever their length.
+there is nothing to learn from; null langs are not learned from; repeated rows (null ids included) stand in
+the sample once and are predicted alike; of equal probabilities the language that comes first wins; an
+empty table gives an empty result; whole texts are used whatever their length; extra columns pass through
+``keep_identified`` whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._tables import held_out, table
@@ -29,6 +31,7 @@ BITS = 14
 DIMENSIONS = 1 << BITS
 PER_LANG = 500
 UNDETERMINED = "und"
+_PIECE = 1 << 18
 
 
 @functools.cache
@@ -136,7 +139,7 @@ def _document_frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", _PIECE):
                 for found in features(piece.column(0)):
                     if found:
                         total[found[0]] += 1
@@ -153,19 +156,21 @@ def _document_frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
 
 def fit(training: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """``training`` has doc_id, text and lang (not null); None if no text of it has letters."""
-    order = F.xxhash64("doc_id", "lang")
-    first = Window.partitionBy("lang").orderBy("__o")
-    # the rank filter is applied in every task before rows are dealt out, so a large language is no large group
-    ranked = training.select("lang", order.alias("__o")).withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= per_lang)
-    limits = ranked.groupBy("lang").agg(F.max("__o").alias("o")).collect()
-    if not limits:
+    order = F.xxhash64("doc_id", "lang", "text")
+    counts = training.groupBy("lang").agg(F.approx_count_distinct(order, 0.02).alias("n")).collect()
+    if not counts:
         return None
-    limit = F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], r["o"])])
-    sample = training.filter(order <= F.try_element_at(limit, F.col("lang"))).select("text", "lang", order.alias("o"))
+    # hashes spread evenly, so a limit on them bounds the distinct rows that it leaves, wherever they are
+    share = {r["lang"]: min(1.0, (1.3 * per_lang + 50) / max(1, r["n"])) for r in counts}
+    limits = {lang: min((1 << 63) - 1, int(x * (1 << 64)) - (1 << 63)) for lang, x in share.items()}
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    below = training.filter(order <= F.try_element_at(limit, F.col("lang"))).select("text", "lang", order.alias("o"))
+    # equal rows fall together before anything is gathered
+    sample = below.dropDuplicates(["lang", "o"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", _PIECE):
                 for found, lang, o in zip(features(piece.column(0)), piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([o], pa.int64()), pa.array([found[0].astype("<i4").tobytes()]), pa.array([found[1].astype("<i4").tobytes()])], ["lang", "o", "i", "c"])
@@ -178,8 +183,7 @@ def fit(training: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     langs = sorted({r["lang"] for r in rows})
     number = {x: i for i, x in enumerate(langs)}
     made, seen = [], {}
-    for r in sorted(rows, key=lambda r: (r["o"], r["lang"], bytes(r["i"]), bytes(r["c"]))):
-        # rows that share one doc_id and lang may exceed the bound
+    for r in sorted(rows, key=lambda r: (r["o"], r["lang"])):
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
         if seen[r["lang"]] <= per_lang:
             index = np.frombuffer(r["i"], "<i4")
@@ -193,7 +197,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "__text"):
+            for piece in pieces(batch, "__text", _PIECE):
                 langs, scores = [], []
                 for found in features(piece.column(piece.num_columns - 1)):
                     if not found or not model:

@@ -17,7 +17,7 @@ long lists are joined once more on inverted lists of single shingles, rarest fir
 position; pairs inside one component, which a large group of near copies consists of, are never made.
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer words than
-``shingle`` make one; rows with equal sets link; a row without an id takes part and has no component_id
+``shingle`` make one; texts of any length are taken whole; rows with equal sets link; a row without an id takes part and has no component_id
 of its own to give; an empty table gives an empty result; extra columns pass through ``keep_rows``.
 """
 
@@ -253,6 +253,7 @@ def _stars(docs: DataFrame, sets: DataFrame, shingle: int, scheme: Scheme) -> Da
 
 
 _FILTER_BITS = 1 << 28
+_SEGMENT = 1 << 10
 _SALTS = (U(0x8CB92BA72F3D8DD7), U(0xF1357AEA2E62A9C5))
 _HISTOGRAM = 128
 _BEFORE = 16
@@ -268,10 +269,16 @@ def _filter_bits(wanted: DataFrame, bits: int) -> np.ndarray:
             p = np.concatenate([mix(keys + salt) & U(bits - 1) for salt in _SALTS])
             yield pa.RecordBatch.from_arrays([pa.array((p >> U(6)).astype(np.int64)), pa.array((U(1) << (p & U(63))).view(np.int64))], ["w", "b"])
 
+    def filled(rows: pa.Table) -> pa.Table:
+        out = np.zeros(_SEGMENT, np.int64)
+        out[rows.column("w").to_numpy() % _SEGMENT] = rows.column("b").to_numpy()
+        return pa.table({"s": rows.column("s").slice(0, 1), "bits": pa.array([out.tobytes()])})
+
     words = wanted.select("key").mapInArrow(place, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(bits // 64, np.int64)
-    for r in words.collect():
-        out[r["w"]] = r["b"]
+    segments = words.withColumn("s", F.shiftright("w", 10)).groupBy("s").applyInArrow(filled, "s long, bits binary")
+    out = np.zeros(max(bits // 64, _SEGMENT), np.int64)
+    for r in segments.collect():
+        out[r["s"] * _SEGMENT : (r["s"] + 1) * _SEGMENT] = np.frombuffer(r["bits"], np.int64)
     return out
 
 
@@ -279,8 +286,9 @@ def _picked(docs: DataFrame, wanted: DataFrame, shingle: int, whole: bool) -> Da
     """key and value of the sets whose keys are in ``wanted``, one row each; ``whole``: the packed shingles, else
     their counts by hash bucket.
 
-    A filter of bounded size picks them where the texts are read, so texts are not shuffled; the few other
-    sets that it lets through do no harm.
+    A filter of bounded size picks them where the texts are read, so texts are not shuffled; the other sets that
+    it lets through do no harm.  They are few up to some ten million wanted sets; beyond that the filter fills up
+    and in the end lets all sets pass, which costs a shuffle of their values.
     """
     bits = 1 << 16
     number = wanted.count()
@@ -460,12 +468,20 @@ def keep_rows(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame
     per_set = sets.filter("n > 0").groupBy("key", "check").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref", "t")).alias("least"))
     placed = per_set.join(labels, per_set["key"] == labels["node"], "left").select("least", F.coalesce("component", "key").alias("c"), F.when(F.col("component").isNull(), F.col("check")).alias("d"))
     chosen = placed.groupBy("c", "d").agg(F.min("least").alias("least")).select(F.col("least.ref").alias("__ref"), F.col("least.t").alias("__t"))
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    # an inner join, as a semi join would be moved before the removal of equal rows and gather them in one task
-    once = docs.filter(worded).withColumn("__ref", _reference()).withColumn("__t", _text_hash()).dropDuplicates(["__ref", "__t"])
-    kept = once.join(chosen, ["__ref", "__t"])
+    copies = sets.filter("n > 0").groupBy(F.col("ref").alias("__ref"), F.col("t").alias("__t")).agg(F.count("*").alias("__copies"))
+    chosen = cut(chosen.join(copies, ["__ref", "__t"]))
+    # narrow rows are chosen first; texts are dealt out once, and hashed against the chosen ones without a sort
+    marked = docs.withColumn("__ref", _reference()).withColumn("__t", _text_hash())
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*columns).union(docs.filter(~worded).select(*columns))
+    kept = marked.join(chosen.filter("__copies = 1").hint("shuffle_hash"), ["__ref", "__t"]).select(*columns)
+    repeated = chosen.filter("__copies > 1").drop("__copies")
+    if repeated.limit(1).count():
+        # equal rows fall together in every task before they are dealt out, however many they are
+        small = sized(repeated, 200_000)
+        once = marked.join(small, ["__ref", "__t"], "left_semi").dropDuplicates(["__ref", "__t"])
+        kept = kept.union(once.select(*columns))
+    wordless = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+    return kept.union(docs.filter(wordless).select(*columns))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

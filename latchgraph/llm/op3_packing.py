@@ -36,7 +36,8 @@ CAPACITY = 4096
 WINDOWS = 16
 FAN_IN = 256
 END = 2
-_UNITS = 1_500_000
+_UNITS = 1_000_000
+_AT_ONCE = 4096
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 ASCII sign; 0 for the apostrophe, white space and non-ASCII
 _KIND[33:127] = 3
@@ -73,20 +74,25 @@ class UnitEncoder:
 
     def _clear(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.place = np.zeros(0, np.int32)
+        self.length = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, words: Words, hashes: np.ndarray, sample: np.ndarray) -> None:
         if len(self.known) + len(hashes) > _UNITS:
             self._clear()
-        data = words.data.tobytes()
-        units = [data[b:e].decode("utf-8") for b, e in zip(words.begin[sample].tolist(), words.end[sample].tolist(), strict=True)]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
+        data = words.data
+        lengths, parts = [], [self.ids]
+        # few at once: the tokenizer's own records are far larger than the ids
+        for i in range(0, len(sample), _AT_ONCE):
+            some = sample[i : i + _AT_ONCE]
+            units = [data[b:e].tobytes().decode("utf-8") for b, e in zip(words.begin[some].tolist(), words.end[some].tolist(), strict=True)]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            parts.append(np.fromiter((i for x in found for i in x), np.uint32, int(lengths[-1].sum())))
+        length = np.concatenate(lengths)
         place = len(self.ids) + np.cumsum(length) - length
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(length.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate(parts)
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
         self.place = np.insert(self.place, at, place)
@@ -105,7 +111,7 @@ class UnitEncoder:
             if len(self.known) < size + (~there).sum():  # the table was cleared
                 return self.encode(texts)
             at = np.searchsorted(self.known, unique)
-        length, place = self.length[at][back], self.place[at][back]
+        length, place = self.length[at][back].astype(np.int64), self.place[at][back].astype(np.int64)
         ends = np.cumsum(length)
         flat = self.ids[np.repeat(place - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate(([0], ends))[words.first]

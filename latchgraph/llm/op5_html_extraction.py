@@ -11,11 +11,18 @@ The labelled pages are generated (``_pages``, a fixed number from a fixed seed),
 carry no labels: each has an article under varying markup among menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments.
 
-Blocks: text between block-level boundaries; ``<br>`` counts as white space.
+Blocks: text between block-level boundaries; ``<br>`` counts as white space, and so do all characters that
+Unicode calls white space (no-break spaces and the separators U+001C to U+001F with them).  Character
+references are decoded within one piece of text, never across markup.
+
+Never text: scripts, styles, ``noscript`` (what stands in for scripts), ``template``, ``svg`` and ``iframe``, the page's
+head, and the parts of forms (buttons, choices, text areas).  Formulas and fall-back text of ``object``, ``audio``,
+``video`` and ``canvas`` are judged by the trees like other elements.
 
 Defined cases: null or empty html, and html without text, give the empty text; broken markup (open tags,
-stray end tags, a page cut off) is parsed as far as it goes; repeated rows are extracted alike; an empty
-table gives an empty result.
+stray end tags, a page cut off) is parsed as far as it goes; pages of any length and depth take time in
+proportion to their length; repeated rows are extracted alike; columns other than page_id, url and html are not
+looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,10 +47,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option select".split()
 )
-SILENT = frozenset("script style noscript template svg math iframe object head title select option button textarea input datalist canvas audio video".split())
+SILENT = frozenset("script style noscript template svg iframe head title select option button textarea input datalist".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 CLOSES_P = BLOCK - frozenset("body head html td th tr tbody thead tfoot caption option select legend summary figcaption".split())
-LIKE = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+LIKE = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
+}
+_P_STOPS = ("td", "th", "button", "table")
 
 PRICE = 10.0
 
@@ -77,10 +93,33 @@ def _attribute_text(raw: str) -> str:
     return " ".join(m[2].strip("\"'") for m in _ATTRIBUTE.finditer(raw)) if raw and "=" in raw else ""
 
 
+class _Open:
+    """The open elements, with the places of each tag among them: finding and closing take no walk up the tree."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        """Closes the element at a place and all inside it."""
+        while len(self.path) > place:
+            self.places[self.path.pop().tag].pop()
+
+
 def parse(page: str) -> Node:
-    root = node = Node("#root", "", None)
+    root = Node("#root", "", None)
+    opened = _Open(root)
     at, size = 0, len(page)
     while at < size:
+        node = opened.path[-1]
         m = _TOKEN.search(page, at)
         if not m:
             node.items.append(page[at:])
@@ -89,12 +128,8 @@ def parse(page: str) -> Node:
             node.items.append(page[at : m.start()])
         at = m.end()
         if end := m[1]:
-            end = end.lower()
-            up = node
-            while up is not root and up.tag != end:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if place := opened.nearest((end.lower(),)):
+                opened.close(place)
             continue
         tag, raw = (m[2], m[3]) if m[2] else (m[4], m[5])
         if not tag:
@@ -102,22 +137,16 @@ def parse(page: str) -> Node:
                 node.items.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
-        if tag in CLOSES_P:
-            up = node
-            while up is not root and up.tag not in ("p", "td", "th", "button", "table"):
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if tag in CLOSES_P and (place := opened.nearest(("p",))) > opened.nearest(_P_STOPS):
+            opened.close(place)
         if like := LIKE.get(tag):
-            names, stop = like[0].split(), like[1].split()
-            up = node
-            while up is not root and up.tag not in names and up.tag not in stop:
-                up = up.parent
-            if up.tag in names:
-                if tag == "tr" and up.tag != "tr":
-                    while up is not root and up.tag != "tr":
-                        up = up.parent
-                node = up.parent if up is not root else node
+            names, stops = like
+            if (place := opened.nearest(names)) > opened.nearest(stops):
+                if tag == "tr" and opened.path[place].tag != "tr":
+                    place = opened.nearest(("tr",))
+                if place:
+                    opened.close(place)
+        node = opened.path[-1]
         if tag in VOID:
             node.add(tag, "")
             continue
@@ -131,7 +160,7 @@ def parse(page: str) -> Node:
             at = page.find(">", close.end())
             at = size if at < 0 else at + 1
         elif not raw.rstrip().endswith("/") or tag in BLOCK:
-            node = child
+            opened.push(child)
     return root
 
 
@@ -226,7 +255,7 @@ class Page:
 
         def flush() -> None:
             if run:
-                if t := " ".join(html.unescape("".join(run)).split()):
+                if t := " ".join("".join(run).split()):
                     blocks.append(t)
                 run.clear()
 
@@ -237,7 +266,7 @@ class Page:
                 flush()
             elif isinstance(x, tuple):
                 if chosen[x[0]]:
-                    run.append(x[1])
+                    run.append(html.unescape(x[1]))
             else:
                 i = self.index.get(id(x))
                 if x.tag == "br":

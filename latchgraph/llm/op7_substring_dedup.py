@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._exchange import bucket_of, chunked, firsts, in_order, layout, pack, spans, unpack
 from ._tables import partitions, table
-from ._words import Words, inverse, mix, powers
+from ._words import Words, inverse, mix, power_at, powers
 
 WINDOW = 20
 KMER = 6
@@ -46,7 +46,7 @@ _REPLY = "__chunk int, bucket int, round int, reply binary"
 def _runs(h: np.ndarray, base: int, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Hash of h[b:b + n] for each pair."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(base, len(h)), dtype=np.uint64)))
-    return mix((sums[begin + length] - sums[begin]) * powers(inverse(base), len(h))[begin] + length.astype(np.uint64))
+    return mix((sums[begin + length] - sums[begin]) * power_at(inverse(base), begin) + length.astype(np.uint64))
 
 
 class _Chunk:

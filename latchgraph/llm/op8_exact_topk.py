@@ -3,8 +3,9 @@
 Vectors are grouped by their nearest pivot (pivots: a bounded, hash-ordered sample of the distinct
 vectors).  Each group is summed up by its pivot, its radius and its number of vectors.  For a query q
 and a group (pivot p, radius r), Cauchy-Schwarz bounds every score from both sides by q.p -/+ |q| r.
-The lower bounds of enough vectors (as many more as the query's id has rows, which are no candidates of
-it) give a threshold per query; a query is replicated only to groups whose upper bound reaches it.  Groups are split into blocks of bounded size by a hash of the id, so a
+The lower bounds of enough vectors, and the real scores of the pivots (as many more as the query's id has
+rows, which are no candidates of it), give a threshold per query; a query is replicated only to groups whose
+upper bound (that one, or |q| times the group's greatest length) reaches it.  Groups are split into blocks of bounded size by a hash of the id, so a
 vector that a third of all rows share is no large task; blocks are solved as matrix products, and the
 block results of a query are merged by a bounded top-k.
 
@@ -14,12 +15,15 @@ product could pass 2**53, so all are exact; a score beyond 64 bits raises an err
 Defined cases: a vector that is null, empty or holds null or non-finite components takes no part;
 vectors of different lengths do not meet; ties go to the smaller vec_id; a row without an id takes no
 part; rows with one id are candidates of their own, a query excludes all rows with its id, and each
-distinct query vector of an id gets a list; an empty table gives an empty result.
+distinct query vector of an id gets a list; an empty table gives an empty result; columns other than
+vec_id and embedding are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from ._tables import cut, partitions, table
 
 SCALE = 256
 TOP = 5
-PIVOTS = 64
+PIVOTS = (64, 1024)
 BLOCK = 2048
 _EXACT = 1 << 53
 
@@ -61,6 +65,16 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return whole.astype(np.int64)
 
 
+class Groups(NamedTuple):
+    """Summaries of groups: pivot, distance and length of the furthest and longest vector, rows, rows equal to the pivot."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    length: np.ndarray
+    number: np.ndarray
+    equal: np.ndarray
+
+
 def _nearest(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The index of the nearest pivot and the distance to it."""
     square = (pivots**2).sum(axis=1)[None, :] - 2 * vectors @ pivots.T
@@ -68,24 +82,32 @@ def _nearest(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, np.sqrt(((vectors - pivots[at]) ** 2).sum(axis=1))
 
 
-def _needed(query: np.ndarray, pivots: np.ndarray, radius: np.ndarray, number: np.ndarray, top: int, own: np.ndarray | int = 1) -> np.ndarray:
+def _reached(scores: np.ndarray, number: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Per query the score that ``wanted`` rows reach at least, if ``number[j]`` rows score ``scores[:, j]`` or more."""
+    order = np.argsort(-scores, axis=1)
+    enough = np.cumsum(number[order], axis=1) >= wanted
+    at = np.take_along_axis(order, enough.argmax(axis=1)[:, None], 1)
+    return np.where(enough.any(axis=1), np.take_along_axis(scores, at, 1)[:, 0], -np.inf)
+
+
+def _needed(query: np.ndarray, groups: Groups, top: int, own: np.ndarray | int = 1) -> np.ndarray:
     """True for each query and group that may hold one of the query's ``top`` best; ``own``: the rows of each query's id."""
-    middle = query @ pivots.T
-    spread = np.sqrt((query**2).sum(axis=1))[:, None] * radius[None, :]
+    middle = query @ groups.pivots.T
+    size = np.sqrt((query**2).sum(axis=1))[:, None]
+    spread = size * groups.radius[None, :]
     # rounding errors of the bounds, generously
     slack = 1e-9 * (np.abs(middle) + spread + 1)
-    lower, upper = middle - spread - slack, middle + spread + slack
-    order = np.argsort(-lower, axis=1)
-    # the rows of the query's id may all be among the vectors counted, so as many more are asked for
-    enough = np.cumsum(number[order], axis=1) >= top + np.reshape(own, (-1, 1))
-    at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(number) - 1)
-    threshold = np.take_along_axis(lower, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
-    threshold = np.where(enough.any(axis=1), threshold, -np.inf)
+    upper = np.minimum(middle + spread, size * groups.length[None, :]) + slack
+    # the rows of the query's id may all be among the rows counted, so as many more are asked for
+    wanted = top + np.reshape(own, (-1, 1))
+    # a pivot is a vector of the data, so its scores are real ones
+    threshold = np.maximum(_reached(middle - spread - slack, groups.number, wanted), _reached(middle - slack, groups.equal, wanted))
     return upper >= threshold[:, None]
 
 
-def search(vectors: DataFrame, is_query: Column, top: int = TOP, scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's best; ``vectors`` has vec_id and embedding."""
+def search(vectors: DataFrame, is_query: Column, top: int = TOP, scale: int = SCALE, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's best; ``vectors`` has vec_id and embedding, other columns are
+    not looked at.  ``pivots``: by default the square root of the number of vectors, within ``PIVOTS``."""
     spark = vectors.sparkSession
     n = partitions(spark)
     # a double of 2**53 or more is whole already, and might not fit the long that floor() returns
@@ -93,8 +115,8 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, scale: int = SC
     scaled = F.transform("embedding", lambda x: whole(F.lit(float(scale)) * x.cast("double")))
     used = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     used = used.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).withColumn("size", F.size("v"))
-    lengths = [r["size"] for r in used.select("size").distinct().orderBy("size").collect()]
-    parts = [_search(used.filter(F.col("size") == length), top, pivots, block, n) for length in lengths]
+    lengths = used.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect()
+    parts = [_search(used.filter(F.col("size") == r["size"]), top, pivots or min(PIVOTS[1], max(PIVOTS[0], math.isqrt(r["n"]))), block, n) for r in lengths]
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = parts[0]
@@ -114,11 +136,13 @@ def _search(used: DataFrame, top: int, pivots: int, block: int, n: int) -> DataF
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32()), pa.array(distance, pa.float64())], ["vec_id", "v", "q", "g", "d"])
 
     grouped = cut(used.select("vec_id", "v", "q").mapInArrow(group, "vec_id long, v array<double>, q boolean, g int, d double"))
-    summary = grouped.groupBy("g").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()
-    radius, number = np.zeros(len(centre)), np.zeros(len(centre), np.int64)
-    for s in summary:
-        radius[s["g"]], number[s["g"]] = s["r"] * (1 + 1e-12), s["n"]
-    filled = np.flatnonzero(number)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
+    summary = grouped.groupBy("g").agg(F.max("d").alias("r"), F.max(length).alias("m"), F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("e")).orderBy("g").collect()
+    filled = np.array([s["g"] for s in summary], np.int64)
+    column = lambda name: np.array([s[name] for s in summary])
+    groups = Groups(centre[filled], column("r") * (1 + 1e-12), column("m") * (1 + 1e-12), column("n"), column("e"))
+    number = np.zeros(len(centre), np.int64)
+    number[filled] = groups.number
     blocks = np.maximum(1, -(-number // block))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +151,7 @@ def _search(used: DataFrame, top: int, pivots: int, block: int, n: int) -> DataF
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 query, ids, marks, own = _matrix(piece.column(1)), *(piece.column(c).to_numpy() for c in (0, 2, 3))
-                need = _needed(query, centre[filled], radius[filled], number[filled], top, own)
+                need = _needed(query, groups, top, own)
                 rows = [(int(g), s, ids[need[:, j]].tobytes(), marks[need[:, j]].tobytes(), query[need[:, j]].tobytes()) for j, g in enumerate(filled) if need[:, j].any() for s in range(int(blocks[g]))]
                 if rows:
                     g, s, i, m, v = zip(*rows, strict=True)

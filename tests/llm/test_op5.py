@@ -1,3 +1,7 @@
+import itertools
+import time
+
+import numpy as np
 import pytest
 
 from latchgraph.llm import op5_html_extraction as op
@@ -66,3 +70,41 @@ def test_rows(spark, model):
     assert got[1]["text"] == "T\n" + WORDS.strip() and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == got[3]["text"] == "" and got[4]["n_chars"] == len((WORDS * 400).strip())
     assert op.extract(frame.limit(0)).count() == 0
+
+
+def test_deep_and_broken_nesting_takes_linear_time():
+    for html in ("<div>" * 100_000, "<div>" * 50_000 + "</span>" * 50_000, "<b>" * 50_000 + "<p>x" * 50_000, "<table>" + "<tr><td>x" * 50_000):
+        began = time.process_time()
+        op.parse(html)
+        assert time.process_time() - began < 3
+
+
+def test_decoding_is_the_best_consistent_choice():
+    """Against all choices: a dropped node drops all below it, and leaving a kept parent has a price."""
+    r = np.random.default_rng(2)
+    for trial in range(30):
+        html = "".join(["<div>aa", "<p>bbbb</p>", "<div>c<p>dd</p>", "<ul><li>eee</li>", "<p>f</p></ul></div>"][: 2 + trial % 4])
+        p = op.Page(html)
+        n = len(p.nodes)
+        scores = r.normal(size=n) * 4
+        weight = np.sqrt(p.own) + 1
+        weight = weight * np.clip(scores, -6, 6)
+        up = [p.index.get(id(x.parent)) if x.parent else None for x in p.nodes]
+
+        def value(choice, weight=weight, up=up):
+            total = 0.0
+            for i, c in enumerate(choice):
+                if i and c and not choice[up[i]]:
+                    return -np.inf
+                total += weight[i] if c else -weight[i]
+                total -= op.PRICE if i and not c and choice[up[i]] else 0
+            return total
+
+        best = max(value(c) for c in itertools.product([False, True], repeat=n))
+        assert value(p.decode(scores)) == pytest.approx(best)
+
+
+def test_references_and_formulas(model):
+    html = page(f"<article><p>{WORDS}</p><p>{WORDS}&am<!-- x -->p; &lt;<i>&amp;</i></p><p>{WORDS}<math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>")
+    got = text(html, model).split("\n")
+    assert got[1] == WORDS + "&amp; <&" and got[2] == WORDS + "x=2"

@@ -51,8 +51,20 @@ def test_pruning_keeps_the_best(spark):
     rows = [(i, [float(x) for x in r.normal(size=6) * 0.05 + (i % 10) * 3]) for i in range(300)]
     assert found(spark, rows, pivots=10) == brute(rows)
     centre = np.array([[0.0, 0.0], [100.0, 0.0], [-100.0, 0.0]])
-    need = op._needed(np.array([[1.0, 0.0]]), centre, np.array([1.0, 1.0, 1.0]), np.array([10, 10, 10]), 5)
-    assert need.tolist() == [[False, True, False]]
+    groups = op.Groups(centre, np.array([1.0, 1.0, 1.0]), np.array([1.0, 101.0, 101.0]), np.array([10, 10, 10]), np.array([1, 1, 1]))
+    assert op._needed(np.array([[1.0, 0.0]]), groups, 5).tolist() == [[False, True, False]]
+    # ten rows equal to a pivot score for sure what it scores, however wide its group is
+    wide = groups._replace(radius=np.array([1.0, 300.0, 1.0]), length=np.array([1.0, 400.0, 101.0]), equal=np.array([1, 10, 1]))
+    assert op._needed(np.array([[1.0, 0.0]]), wide, 5).tolist() == [[False, True, False]]
+
+
+@pytest.mark.parametrize("pivots", [1, 5, 64, None])
+def test_all_rows_of_few_ids(spark, pivots):
+    r = np.random.default_rng(6)
+    rows = [(50, [float(x) for x in r.normal(size=4)]) for _ in range(30)]
+    assert found(spark, rows, pivots=pivots) == brute(rows) == []
+    rows += [(i, [float(x) for x in r.normal(size=4)]) for i in (1, 100, 100)]
+    assert found(spark, rows, pivots=pivots) == brute(rows)
 
 
 @pytest.mark.parametrize("copies", [2, 5, 6, 9])
