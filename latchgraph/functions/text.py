@@ -83,17 +83,15 @@ def storage_key(key: Column) -> Column:
     return F.concat_ws("-", F.translate(key, "/\\:", "___"), F.substring(F.sha2(key, 256), 1, 12))
 
 
-def excluded(relative: Column, patterns: list[str]) -> Column:
-    """Whether a path fits one of the patterns ``folder/**``, ``**/ending`` or a whole path."""
-    out = F.lit(False)
-    for p in patterns:
-        if p.endswith("/**"):
-            out = out | (relative == p[:-3]) | relative.startswith(p[:-2])
-        elif p.startswith("**/"):
-            out = out | relative.endswith(p[3:])
-        else:
-            out = out | (relative == p)
-    return out
+def excluded(relative: Column, patterns: Column) -> Column:
+    """Whether a path fits one of an array of patterns ``folder/**``, ``**/ending`` or a whole path."""
+
+    def fits(p: Column) -> Column:
+        folder = F.left(p, F.length(p) - 3)
+        inside = (relative == folder) | F.startswith(relative, F.concat(folder, F.lit("/")))
+        return F.when(p.endswith("/**"), inside).when(p.startswith("**/"), F.endswith(relative, F.substr(p, F.lit(4)))).otherwise(relative == p)
+
+    return F.exists(patterns, fits)
 
 
 def dotted_prefixes(name: Column) -> Column:

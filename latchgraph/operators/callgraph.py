@@ -30,7 +30,8 @@ class CallGraph(NamedTuple):
 def database(spark, configs: Sequence[Config]) -> tuple[DataFrame, DataFrame]:
     """(project, name, category) and (project, prefix) of every project: (built-in - removed) + added; bounded by configuration."""
     projects = spark.createDataFrame([(c.root,) for c in configs], "project string")
-    builtin = projects.crossJoin(spark.createDataFrame([(n, c) for n, _, c in rows()], "name string, category string")) if len(configs) == 1 else spark.createDataFrame([(c.root, n, k) for c in configs for n, _, k in rows()], "project string, name string, category string")
+    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("category")) for n, _, c in rows()])
+    builtin = projects.select("project", F.inline(table))
     removed = spark.createDataFrame([(c.root, n) for c in configs for n in c.removed], "project string, name string")
     added = spark.createDataFrame([(c.root, n, k) for c in configs for n, _, k in c.added], "project string, name string, category string")
     entries = sets.effective(builtin, removed, added, ["project", "name"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, sized
+from .windows import dense_ids
 
 KNOWN, NEVER, SPREAD, OPEN = "KnownBlocking", "KnownNonBlocking", "PropagatedBlocking", "Unknown"
 
@@ -139,3 +140,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rest = cut(rest.join(ready.withColumnRenamed("id", "src"), "src", "left_anti"))
         level += 1
     return done if done is not None else nodes.select("id", F.lit(0).alias("level"))
+
+
+def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, level, position): every node after its predecessors; of the nodes that are ready together the least id comes first."""
+    return dense_ids(levels(nodes, edges), ["level", "id"], "position")

@@ -43,6 +43,11 @@ def as_text(document: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
+def exit_code(diagnostics: int) -> int:
+    """0 without diagnostics, else 1; configuration errors and missing sources have codes of their own (2 and 3)."""
+    return int(diagnostics > 0)
+
+
 def _place(file: str, **region: int) -> dict:
     return {"physicalLocation": {"artifactLocation": {"uri": file}, "region": region}}
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EDGE_KINDS, callee, display_name, error_number
 from ..names import ANNOTATIONS, PREFIX
-from ..session import cut
+from ..session import cut, small
 from ..sources.builtin import rows
 from ..sources.config import Config
 from .callgraph import NO_THREADS, CallGraph
@@ -43,6 +43,12 @@ def reasons(graph: CallGraph, max_length: int | None = None, max_paths: int | No
     return simple_paths(graph.nodes.select("project", "id", "status"), edges, link, F.col("src"), ["project"], max_length, max_paths)
 
 
+def ranked(found: DataFrame) -> DataFrame:
+    """Distinct reasons with their rank at each node: by chain length, root, chain."""
+    rank = F.row_number().over(Window.partitionBy("project", "node").orderBy(F.size("chain"), "root", "chain"))
+    return found.distinct().withColumn("rank", rank)
+
+
 def suppressed(graph: CallGraph) -> DataFrame:
     """(project, node) called without protection by another async function.
 
@@ -63,7 +69,7 @@ def diagnostics(graph: CallGraph, found: DataFrame, configs: Sequence[Config]) -
     settings = spark.createDataFrame([(c.root, c.severity, c.intervention_strategy) for c in configs], "project string, severity string, intervention_strategy string")
     entries = found.filter(F.size("chain") > 0).filter(F.col("chain")[0]["is_async"]).join(suppressed(graph), ["project", "node"], "left_anti")
     root = graph.nodes.select("project", F.col("id").alias("root"), F.struct("display", "path", "line", "column", "is_async", "is_first_party", "is_stub").alias("r"))
-    d = entries.join(root, ["project", "root"]).join(F.broadcast(settings), "project")
+    d = entries.join(root, ["project", "root"]).join(small(settings, len(configs)), "project")
     chain = F.col("chain")
     d = d.withColumn("number", error_number(chain))
     special = F.array_position(F.transform(chain, lambda x: x["edge_kind"]), F.when(F.col("number") == 3, "PropertyAccess").when(F.col("number") == 4, "ImplicitDunder").otherwise("-"))
@@ -78,7 +84,7 @@ def diagnostics(graph: CallGraph, found: DataFrame, configs: Sequence[Config]) -
     message = F.when(F.col("number") == 1, F.format_string(DIRECT, subject, display_name(head["function_name"]))).when(F.col("number") == 2, F.lit(TRANSITIVE)).when(F.col("number") == 3, F.format_string(PROPERTY, display_name(head["function_name"]), subject)).otherwise(F.format_string(DUNDER, display_name(head["function_name"]), subject))
     related = lambda p, l, c, m: F.struct(p.alias("file"), l.alias("line"), c.alias("column"), m.alias("message"))  # noqa: E731, E741
     none = F.filter(F.array(related(head["path"], head["line"], head["column"], F.lit(""))), lambda x: F.lit(False))
-    on_the_way = F.transform(F.slice(chain, 2, 10_000), lambda x: related(x["path"], x["line"], F.lit(1), F.concat(x["display"], F.lit(" defined here"))))
+    on_the_way = F.transform(F.slice(chain, F.lit(2), F.size(chain)), lambda x: related(x["path"], x["line"], F.lit(1), F.concat(x["display"], F.lit(" defined here"))))
     call = F.array(related(link["call_path"], link["call_line"], column, F.concat(F.lit("blocking call: "), shown_root)))
     getter = lambda text: F.when(after.isNotNull(), F.array(related(after["path"], after["line"], after["column"], F.lit(text)))).when(r["is_first_party"], F.array(related(r["path"], r["line"], r["column"], F.lit(text)))).otherwise(none)
     middle = F.when(F.col("number") == 2, F.concat(on_the_way, call)).when(F.col("number") == 3, getter("property getter defined here")).when(F.col("number") == 4, getter("dunder method defined here")).otherwise(none)
@@ -105,13 +111,18 @@ def ordered(diagnosed: DataFrame) -> DataFrame:
     return diagnosed.orderBy(*ORDER)
 
 
+def ordered_warnings(told: DataFrame) -> DataFrame:
+    """By file, those without one first, then by message."""
+    return told.orderBy("project", F.asc_nulls_first("file"), "message")
+
+
 def warnings(facts: DataFrame, graph: CallGraph, configs: Sequence[Config]) -> DataFrame:
     """(project, file, message): syntax errors, imports that lead nowhere, threads a Python version lacks."""
     spark = facts.sparkSession
     broken = facts.filter("fact = 'syntax_error'").select("project", F.col("path").alias("file"), F.concat(F.lit("Syntax error in "), "path").alias("message"))
     old = spark.createDataFrame([(c.root, c.python_version) for c in configs if c.python_version in NO_THREADS], "project string, version string")
     refs = facts.filter("fact = 'reference' and kind = 'call'").select("project", "path", "target", callee(F.col("expression")).alias("local")).distinct()
-    threads = refs.join(graph.targets.filter(F.array_contains("names", "asyncio.to_thread")), ["project", "target"]).join(F.broadcast(old), "project")
+    threads = refs.join(graph.targets.filter(F.array_contains("names", "asyncio.to_thread")), ["project", "target"]).join(small(old, len(configs)), "project")
     threads = threads.select("project", F.col("path").alias("file"), F.format_string(NO_THREAD, "version").alias("message")).distinct()
     # modules that are there: the project's own, the standard library's, those that tables and configuration name
     top = {n.split(".")[0] for n, _, _ in rows()} | set(sys.stdlib_module_names) | {ANNOTATIONS}
@@ -120,7 +131,7 @@ def warnings(facts: DataFrame, graph: CallGraph, configs: Sequence[Config]) -> D
     named_frame = spark.createDataFrame(sorted(named), "project string, first string")
     modules = facts.select("project", F.substring_index("module", ".", 1).alias("first")).distinct()
     imports = facts.filter("fact = 'import' and kind = 'name' and level = 0 and name != '*'").select("project", "path", F.col("target").alias("base"), F.coalesce("expression", "name").alias("local"), F.substring_index("target", ".", 1).alias("first"))
-    lost = imports.join(F.broadcast(general), "first", "left_anti").join(modules, ["project", "first"], "left_anti").join(named_frame, ["project", "first"], "left_anti")
+    lost = imports.join(small(general, len(top)), "first", "left_anti").join(modules, ["project", "first"], "left_anti").join(named_frame, ["project", "first"], "left_anti")
     used = lost.join(refs.select("project", "path", "local").distinct(), ["project", "path", "local"], "left_semi")
     lost = used.select("project", F.col("path").alias("file"), F.concat(F.lit("Unresolvable import: "), "base").alias("message"))
     return cut(broken.unionByName(threads).unionByName(lost))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import callable_kind, dotted_prefixes, qualify
 from ..session import cut
 
-ROUNDS = 16
-
 
 def _dotted(module, name):
     return qualify(F.nullif(module, F.lit("")), name)
@@ -34,31 +32,43 @@ def aliases(facts: DataFrame) -> DataFrame:
     stars = facts.filter("fact = 'import' and kind = 'name' and name = '*'").select("project", "module", F.col("target").alias("base")).distinct()
     symbols = facts.filter("fact in ('function', 'class') and instr(qualified_name, '.') = 0").select("project", F.col("module").alias("base"), "name")
     made = direct
-    for _ in range(2):  # a star import of a module that itself has star imports
-        known = symbols.unionByName(made.select("project", F.regexp_extract("name", r"^(.*)\.[^.]*$", 1).alias("base"), F.substring_index("name", ".", -1).alias("name"))).filter(~F.col("name").startswith("_")).distinct()
-        spelled = stars.join(known, ["project", "base"]).select("project", _dotted(F.col("module"), F.col("name")).alias("name"), _dotted(F.col("base"), F.col("name")).alias("target")).filter("name != target")
-        made = direct.unionByName(spelled).distinct()
+    if stars.limit(1).count():
+        stars, symbols, number = cut(stars), cut(symbols), -1
+        while True:  # a star import of a module that itself has star imports; the names are finite and only grow
+            has = made.select("project", F.regexp_extract("name", r"^(.*)\.[^.]*$", 1).alias("base"), F.substring_index("name", ".", -1).alias("name"))
+            known = symbols.unionByName(has).filter(~F.col("name").startswith("_")).distinct()
+            spelled = stars.join(known, ["project", "base"]).select("project", _dotted(F.col("module"), F.col("name")).alias("name"), _dotted(F.col("base"), F.col("name")).alias("target")).filter("name != target")
+            made = cut(direct.unionByName(spelled).distinct())
+            before, number = number, made.count()
+            if number == before:
+                break
     one = Window.partitionBy("project", "name").orderBy(F.desc("target"))
     return made.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
 
 
 def closure(names: DataFrame, links: DataFrame) -> DataFrame:
-    """(project, target, resolved): the longest aliased prefix of each name is replaced until none is left."""
-    links = cut(links.select("project", F.col("name").alias("__prefix"), F.col("target").alias("__to")))
+    """(project, target, resolved): the longest aliased prefix of each name is replaced until none is left.
+
+    A link is used once on the way of a name, so cycles end; one that leads below its own name (a package that
+    imports a function of a module named alike) is meant for that name alone.
+    """
+    grows = F.startswith("target", F.concat("name", F.lit(".")))
+    links = cut(links.select("project", F.col("name").alias("__prefix"), F.col("target").alias("__to"), grows.alias("__grows")))
     done = None
-    left = cut(names.select("project", "target").distinct().withColumn("resolved", F.col("target")))
-    for _ in range(ROUNDS):
+    start = names.select("project", "target").distinct()
+    left = cut(start.withColumns({"resolved": F.col("target"), "__used": F.array().cast("array<string>")}))
+    while True:
         exploded = left.withColumn("__prefix", F.explode(dotted_prefixes(F.col("resolved")))).join(links, ["project", "__prefix"])
-        best = exploded.groupBy("project", "target").agg(F.max(F.struct(F.length("__prefix").alias("n"), F.col("__to").alias("to"))).alias("b"))
+        exploded = exploded.filter("not array_contains(__used, __prefix) and (not __grows or __prefix = resolved)")
+        best = exploded.groupBy("project", "target").agg(F.max(F.struct(F.length("__prefix").alias("n"), F.col("__to").alias("to"), F.col("__prefix").alias("by"))).alias("b"))
         step = left.join(best, ["project", "target"], "left")
         moved = F.concat(F.col("b.to"), F.substr(F.col("resolved"), F.col("b.n") + 1))
-        step = cut(step.select("project", "target", F.coalesce(moved, "resolved").alias("resolved"), F.col("b").isNotNull().alias("__moved")))
-        settled = step.filter("not __moved").drop("__moved")
+        step = cut(step.select("project", "target", F.coalesce(moved, "resolved").alias("resolved"), F.when(F.col("b").isNotNull(), F.array_append("__used", F.col("b.by"))).alias("__used")))
+        settled = step.filter("__used is null").drop("__used")
         done = settled if done is None else done.unionByName(settled)
-        left = step.filter("__moved").drop("__moved")
+        left = step.filter("__used is not null")
         if not left.limit(1).count():
             return done
-    return done.unionByName(left)
 
 
 def ancestry(classes: DataFrame) -> DataFrame:
@@ -68,9 +78,9 @@ def ancestry(classes: DataFrame) -> DataFrame:
     """
     parents = cut(classes.select("project", "class", F.posexplode("bases").alias("p", "base")))
     found = delta = cut(classes.select("project", "class", F.col("class").alias("ancestor"), F.array(F.lit(0)).alias("rank")))
-    for _ in range(ROUNDS):
+    while True:
         step = delta.join(parents.select("project", F.col("class").alias("ancestor"), "p", "base"), ["project", "ancestor"])
-        step = step.select("project", "class", F.col("base").alias("ancestor"), F.concat(F.array(F.size("rank")), F.slice("rank", 2, 99), F.array("p")).alias("rank"))
+        step = step.select("project", "class", F.col("base").alias("ancestor"), F.concat(F.array(F.size("rank")), F.slice("rank", F.lit(2), F.size("rank")), F.array("p")).alias("rank"))
         delta = cut(step.join(found, ["project", "class", "ancestor"], "left_anti"))
         if not delta.limit(1).count():
             break
@@ -78,6 +88,22 @@ def ancestry(classes: DataFrame) -> DataFrame:
     return found.groupBy("project", "class", "ancestor").agg(F.min("rank").alias("rank"))
 
 
+def ordered_syntax(facts: DataFrame) -> DataFrame:
+    """The facts of every file in order: functions and classes by qualified name, imports by module, name and alias,
+    references by place and text."""
+    rank = F.when(F.col("fact").isin("function", "class"), 0).when(F.col("fact") == "import", 1).otherwise(2)
+    named = F.when(rank == 0, F.col("qualified_name")).when(rank == 1, F.col("target"))
+    keys = [rank, named, F.when(rank == 1, F.col("name")), F.when(rank == 1, F.col("expression")), "start", "end", "expression", "kind", "target"]
+    place = F.row_number().over(Window.partitionBy("project", "path").orderBy(*keys))
+    return facts.withColumn("ordinal", place - 1)
+
+
+def decorators(facts: DataFrame) -> DataFrame:
+    """(project, identity, decorators): the distinct decorator texts of each function, sorted."""
+    used = facts.filter("fact = 'function'").select("project", F.concat_ws(":", "path", "qualified_name").alias("identity"), F.explode("decorators").alias("d"))
+    return used.groupBy("project", "identity").agg(F.array_sort(F.collect_set("d")).alias("decorators"))
+
+
 def targets(facts: DataFrame) -> DataFrame:
     """(project, target, identity, names): what every referenced name stands for.
 

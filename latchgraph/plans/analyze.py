@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -33,7 +34,10 @@ class Options:
 
 @dataclass
 class Outcome:
-    """Of each project an exit code and, unless it failed, a report document; the tables hold all projects."""
+    """Of each project an exit code and, unless it failed, a report document; the tables hold all projects.
+
+    ``graph`` and ``reasons`` are of the projects that were analysed anew; unchanged ones come whole from the cache.
+    """
 
     exit_codes: dict[str, int] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
@@ -85,35 +89,44 @@ def analyze(spark: SparkSession, paths: Sequence[str], options: Options = Option
             out.exit_codes[root], out.errors[root] = error.exit_code, str(error)
     if not configs:
         return out
-    found = files.read(spark, configs)
-    cached = [c for c in configs if c.cache_enabled]
     if options.clear_cache:
         for c in configs:
             cache.clear(c.cache_dir)
-    parts = [cache.facts(found.filter(F.col("project") == c.root), c.cache_dir) for c in cached]
-    plain = [c.root for c in configs if not c.cache_enabled]
-    if plain:
-        parts.append(read_facts(found.filter(F.col("project").isin(plain))))
-    facts = parts[0]
-    for p in parts[1:]:
-        facts = facts.unionByName(p)
-    facts = cut(facts)
-    sourced = {r["project"] for r in found.filter("is_first_party and not is_stub").select("project").distinct().collect()}
-    for c in [c for c in configs if c.root not in sourced]:
+    # names and hashes are kept; contents are read again where a file must be parsed
+    found = cut(files.read(spark, configs).drop("content"))
+    digest = {r["project"]: r["digest"] for r in cache.digests(found).filter("sourced").collect()}
+    for c in [c for c in configs if c.root not in digest]:
         out.exit_codes[c.root], out.errors[c.root] = NoSources.exit_code, "No analyzable source files"
-    configs = [c for c in configs if c.root in sourced]
-    if not configs:
-        return out
-    done = analyze_facts(facts.filter(F.col("project").isin([c.root for c in configs])), configs, options)
+    configs = [c for c in configs if c.root in digest]
+    versions = {c.root: cache.version(digest[c.root], c, options.max_chain_length, options.max_paths_per_node) for c in configs}
+    held = {c.root: r for c in configs if c.cache_enabled and (r := cache.results(spark, c.cache_dir, versions[c.root]))}
+    fresh = [c for c in configs if c.root not in held]
+    done = Outcome()
+    if fresh:
+        cached = [c for c in fresh if c.cache_enabled]
+        parts = [cache.facts(found.filter(F.col("project") == c.root), c.cache_dir) for c in cached]
+        plain = [c.root for c in fresh if not c.cache_enabled]
+        if plain:
+            parts.append(read_facts(files.contents(found.filter(F.col("project").isin(plain)))))
+        facts = cut(functools.reduce(DataFrame.unionByName, parts))
+        done = analyze_facts(facts, fresh, options)
+        for c in cached:
+            of = lambda frame, root=c.root: frame.filter(F.col("project") == root)
+            cache.store(c.cache_dir, versions[c.root], of(found), of(facts), of(done.diagnostics), of(done.warnings))
+    for diagnosed, warned in held.values():
+        done.diagnostics = done.diagnostics.unionByName(diagnosed) if done.diagnostics else diagnosed
+        done.warnings = done.warnings.unionByName(warned) if done.warnings else warned
     done.exit_codes, done.errors = out.exit_codes, out.errors
+    if not configs:
+        return done
     told: dict[str, list] = {c.root: [] for c in configs}
     warned: dict[str, list] = {c.root: [] for c in configs}
-    for r in report.ordered(done.diagnostics).collect():
+    for r in report.ordered(done.diagnostics).toLocalIterator():
         told[r["project"]].append(r.asDict(recursive=True))
-    for r in done.warnings.orderBy("project", F.asc_nulls_first("file"), "message").collect():
+    for r in report.ordered_warnings(done.warnings).toLocalIterator():
         warned[r["project"]].append(r.asDict())
     for c in configs:
         done.reports[c.root] = render.report(told[c.root], warned[c.root])
-        done.exit_codes[c.root] = int(bool(told[c.root]))
+        done.exit_codes[c.root] = render.exit_code(len(told[c.root]))
         done.formats[c.root] = c.output_format
     return done

@@ -505,7 +505,7 @@ def pf10_edge_kind_case(spark, d):
 @query("SELECT page_id, url, (path = 'en/1' OR starts_with(path, 'en/1/') OR ends_with(path, '.html') OR path = 'fr/2') AS excluded FROM (SELECT page_id, url, regexp_replace(split_part(url, '://', 2), '^[^/]*/', '') AS path FROM pages) t")
 def pf01_exclude_globs(spark, d):
     path = F.regexp_replace(F.get(F.split("url", "://"), F.lit(1)), "^[^/]*/", "")
-    return read(spark, d, "pages").select("page_id", "url", T.excluded(path, ["en/1/**", "**/.html", "fr/2"]).alias("excluded"))
+    return read(spark, d, "pages").select("page_id", "url", T.excluded(path, F.array(F.lit("en/1/**"), F.lit("**/.html"), F.lit("fr/2"))).alias("excluded"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' OR ends_with('x.' || c_mktsegment, '.BUILDING') THEN true ELSE false END AS hit FROM customer")

@@ -66,6 +66,11 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(True)
 
 
+def small(frame: DataFrame, rows: int, most: int = 50_000) -> DataFrame:
+    """Marks a frame whose number of rows is known for broadcasting if it has at most ``most``."""
+    return F.broadcast(frame) if rows <= most else frame
+
+
 def sized(frame: DataFrame, rows: int = 50_000) -> DataFrame:
     """Marks a computed frame for broadcasting if it has no more than ``rows`` rows; a larger one is shuffled as usual."""
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame

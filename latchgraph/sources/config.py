@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tomllib
 from dataclasses import dataclass, field, replace
 from pathlib import Path
@@ -45,6 +46,10 @@ class Config:
     wrappers: tuple[tuple[str, int | None, str | None], ...] = ()  # name, position, keyword
     roots: tuple[str, ...] = field(default=())  # source roots after detection
 
+    def hash(self) -> str:
+        """SHA-256 of all settings that a result depends on."""
+        return hashlib.sha256(repr(replace(self, cache_dir="", cache_enabled=True, output_format="")).encode()).hexdigest()
+
 
 def _text(value: object, name: str) -> str:
     if not isinstance(value, str):

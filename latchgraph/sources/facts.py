@@ -9,7 +9,10 @@ its attributes become absolute dotted names; what lies in other files is left to
 from __future__ import annotations
 
 import ast
+import bisect
 import builtins
+import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +37,7 @@ DDL = """project string, path string, fact string, module string, is_stub boolea
 is_async boolean, decorators array<string>, bases array<string>, arguments array<struct<position int, keyword string, text string, target string, start bigint, end bigint>>,
 start bigint, end bigint, line int, column int, bare_column int"""
 
+DEEPEST = 100_000
 _BUILTINS = frozenset(dir(builtins))
 
 
@@ -66,10 +70,7 @@ class Reader:
         self.base = {"project": project, "path": path, "module": module, "is_stub": is_stub}
         self.module, self.is_package, self.is_stub = module, is_package, is_stub
         self.source = source
-        self.lines = [0]
-        for i, b in enumerate(source):
-            if b == 10:
-                self.lines.append(i + 1)
+        self.lines = [0, *(m.end() for m in re.finditer(b"\n", source))]
         self.rows: list[dict] = []
         self.star = False
         self.attributes: dict[str, dict[str, Value | None]] = {}
@@ -87,7 +88,7 @@ class Reader:
         return self.source[start:end].decode("utf-8", "replace").strip()
 
     def place(self, start: int) -> tuple[int, int]:
-        line = self.source.count(b"\n", 0, start) + 1
+        line = bisect.bisect_right(self.lines, start)
         return line, len(self.source[self.lines[line - 1] : start].decode("utf-8", "replace")) + 1
 
     def emit(self, fact: str, start: int, end: int, **more) -> None:
@@ -97,17 +98,22 @@ class Reader:
     # run
 
     def read(self) -> list[dict]:
+        """The facts of the file.  What cannot be read gives one ``syntax_error`` row; other files go on."""
+        limit = sys.getrecursionlimit()
+        # calls between Python functions take no room on the C stack, so long chains of operators may nest deeply
+        sys.setrecursionlimit(max(limit, DEEPEST))
         try:
             tree = ast.parse(self.source)
+            top = Scope(None, "", "module")
+            self.collect(tree.body, top)
+            self.block(tree.body, top, None)
+            for body, scope, enclosing in self.bodies:  # grows as functions inside functions are met
+                self.block(body, scope, enclosing)
+            return self.rows
         except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
             return [self.base | {"fact": "syntax_error", "expression": str(error)}]
-        top = Scope(None, "", "module")
-        self.collect(tree.body, top)
-        self.block(tree.body, top, None)
-        while self.bodies:
-            body, scope, enclosing = self.bodies.pop(0)
-            self.block(body, scope, enclosing)
-        return self.rows
+        finally:
+            sys.setrecursionlimit(limit)
 
     # names
 
