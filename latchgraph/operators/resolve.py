@@ -31,19 +31,28 @@ def aliases(facts: DataFrame) -> DataFrame:
     direct = facts.filter("fact = 'alias'").select("project", "name", "target").filter("name != target")
     stars = facts.filter("fact = 'import' and kind = 'name' and name = '*'").select("project", "module", F.col("target").alias("base")).distinct()
     symbols = facts.filter("fact in ('function', 'class') and instr(qualified_name, '.') = 0").select("project", F.col("module").alias("base"), "name")
-    made = direct
+    one = Window.partitionBy("project", "name").orderBy(F.desc("target"))
+    single = lambda rows: rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
+    made = single(direct)
     if stars.limit(1).count():
-        stars, symbols, number = cut(stars), cut(symbols), -1
-        while True:  # a star import of a module that itself has star imports; the names are finite and only grow
-            has = made.select("project", F.regexp_extract("name", r"^(.*)\.[^.]*$", 1).alias("base"), F.substring_index("name", ".", -1).alias("name"))
-            known = symbols.unionByName(has).filter(~F.col("name").startswith("_")).distinct()
-            spelled = stars.join(known, ["project", "base"]).select("project", _dotted(F.col("module"), F.col("name")).alias("name"), _dotted(F.col("base"), F.col("name")).alias("target")).filter("name != target")
-            made = cut(direct.unionByName(spelled).distinct())
-            before, number = number, made.count()
-            if number == before:
+        # round by round outwards from definitions: what a module defines or imports by name comes before a star
+        # import, and a name once spelled out keeps its nearest source, so star imports in a circle end
+        stars, symbols, made = cut(stars), cut(symbols), cut(made)
+        owned = cut(symbols.select("project", _dotted(F.col("base"), F.col("name")).alias("name")).distinct())
+        fresh = symbols.unionByName(_members(made))
+        while True:
+            public = fresh.filter(~F.col("name").startswith("_")).distinct()
+            spelled = stars.join(public, ["project", "base"]).select("project", _dotted(F.col("module"), F.col("name")).alias("name"), _dotted(F.col("base"), F.col("name")).alias("target")).filter("name != target")
+            new = cut(single(spelled.join(owned, ["project", "name"], "left_anti").join(made, ["project", "name"], "left_anti")))
+            if not new.limit(1).count():
                 break
-    one = Window.partitionBy("project", "name").orderBy(F.desc("target"))
-    return made.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
+            made, fresh = cut(made.unionByName(new)), _members(new)
+    return made
+
+
+def _members(links: DataFrame) -> DataFrame:
+    """(project, base, name) of aliases by the module that has them."""
+    return links.select("project", F.regexp_extract("name", r"^(.*)\.[^.]*$", 1).alias("base"), F.substring_index("name", ".", -1).alias("name"))
 
 
 def closure(names: DataFrame, links: DataFrame) -> DataFrame:

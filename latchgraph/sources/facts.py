@@ -146,8 +146,12 @@ class Reader:
                     scope.names[node.name] = Value(self.own(q))
                     if isinstance(node, ast.ClassDef):
                         self.attributes.setdefault(self.own(q), {})
-                case ast.Assign() | ast.AnnAssign() | ast.AugAssign():
-                    value = node.value if not isinstance(node, ast.AugAssign) else None
+                case ast.AugAssign():
+                    # what a name stands for stays in force; one that was not known becomes a local name
+                    if not (isinstance(node.target, ast.Name) and node.target.id in scope.names):
+                        self.bind(node.target, None, scope, None)
+                case ast.Assign() | ast.AnnAssign():
+                    value = node.value
                     named = self.annotation(node.annotation, scope) if isinstance(node, ast.AnnAssign) else None
                     for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
                         self.bind(t, named or (self.value(value, scope) if value is not None else None), scope, value)
