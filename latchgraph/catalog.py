@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import generated, tables
+from .plans import generated, sources, tables  # noqa: F401  (sources adds its queries to the tables' own)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -48,6 +48,12 @@ def exit_code(diagnostics: int) -> int:
     return int(diagnostics > 0)
 
 
+def exit_codes(diagnostics: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project, exit_code) of every project."""
+    hit = diagnostics.select("project").distinct().withColumn("__hit", F.lit(1))
+    return projects.join(hit, "project", "left").select("project", F.coalesce("__hit", F.lit(0)).alias("exit_code"))
+
+
 def _place(file: str, **region: int) -> dict:
     return {"physicalLocation": {"artifactLocation": {"uri": file}, "region": region}}
 

@@ -181,12 +181,6 @@ def jn02_definition_left(spark, d):
     return suppliers.join(nations, "s_nationkey", "left").join(first, "brand", "left").select("s_suppkey", "n_name", "first_part")
 
 
-@query("SELECT c.c_custkey, b.category FROM customer c JOIN (VALUES ('MACHINERY', 'file-io'), ('BUILDING', 'network-io'), ('HOUSEHOLD', 'other')) b(name, category) ON b.name = c.c_mktsegment")
-def jn03_database_exact(spark, d):
-    known = spark.createDataFrame([("MACHINERY", "file-io"), ("BUILDING", "network-io"), ("HOUSEHOLD", "other")], "c_mktsegment string, category string")
-    return read(spark, d, "customer").join(F.broadcast(known), "c_mktsegment").select("c_custkey", "category")
-
-
 @query(
     """SELECT page_id, name FROM (SELECT page_id, replace(replace(regexp_extract(url, '://([^/?#]*)', 1), 'www.', ''), 'blog.', '') AS name FROM pages) t
 WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT split_part(replace(replace(regexp_extract(url, '://([^/?#]*)', 1), 'www.', ''), 'blog.', ''), '.', 1) || '.example' AS prefix FROM pages WHERE page_id % 5 = 0) q WHERE t.name = q.prefix OR starts_with(t.name, q.prefix || '.'))"""
@@ -412,12 +406,6 @@ def ag13_counts(spark, d):
 # orders
 
 
-@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS rank FROM orders")
-def so01_total_order(spark, d):
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderdate", "o_orderkey"))
-    return read(spark, d, "orders").select("o_orderkey", rank.cast("long").alias("rank"))
-
-
 @query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY quality ASC NULLS FIRST, doc_id) AS rank FROM documents LEFT JOIN labels USING (doc_id)")
 def so02_nulls_first(spark, d):
     rows = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -459,12 +447,6 @@ def sc01_sha256(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(split_part(url, '://', 2), '\\.html?$', ''), '/'), lambda x: x <> 'en' AND x <> ''), '.') AS module FROM pages")
-def sc14_module_name(spark, d):
-    parts = F.filter(F.split(F.regexp_replace(F.get(F.split("url", "://"), F.lit(1)), r"\.html?$", ""), "/"), lambda x: (x != "en") & (x != ""))
-    return read(spark, d, "pages").select("page_id", F.concat_ws(".", parts).alias("module"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE p_type || '.' || p_name END AS qualified FROM part")
 def sc02_qualify(spark, d):
     scope = F.when(F.col("p_partkey") % 4 != 0, F.col("p_type"))
@@ -528,16 +510,3 @@ def sc13_party_name(spark, d):
 @query("SELECT p_partkey, trim(p_name) || '/' || p_type AS text FROM part")
 def sc05_decorator_text(spark, d):
     return read(spark, d, "part").select("p_partkey", T.decorator_text(F.concat(F.lit(" @ "), "p_name", F.lit("/"), "p_type", F.lit(" "))).alias("text"))
-
-
-# sinks
-
-
-@query("SELECT page_id, url || ':' || page_id::VARCHAR || ':1: error X001: message' AS line FROM pages")
-def snk02_text_lines(spark, d):
-    return read(spark, d, "pages").select("page_id", F.format_string("%s:%d:%d: %s %s: %s", "url", "page_id", F.lit(1), F.lit("error"), F.lit("X001"), F.lit("message")).alias("line"))
-
-
-@query("SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END::INT AS exit_code FROM labels WHERE toxic = 1")
-def snk07_exit_code(spark, d):
-    return read(spark, d, "labels").filter("toxic = 1").agg((F.count("*") > 0).cast("int").alias("exit_code"))

@@ -80,8 +80,13 @@ def listed(spark: SparkSession, configs: Sequence[Config]) -> DataFrame:
         for c in configs
         for order, (root, first_party) in enumerate([(r, True) for r in c.roots] + [(r, False) for r in c.stub_paths])
     ]
+    return chosen(_listed(spark, roots))
+
+
+def chosen(rows: DataFrame) -> DataFrame:
+    """The files that count of what was found under each root, classified."""
     whole = F.regexp_replace("path", "^file:/+", "/")
-    rows = _listed(spark, roots).select(
+    rows = rows.select(
         "project", "root", "order", "exclude",
         relative_path(whole, F.col("project")).alias("path"),
         module_of(relative_path(whole, F.col("root"))).alias("module"),
