@@ -23,7 +23,8 @@ from ._tables import partitions
 from ._words import U, give_back
 
 CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = (2 << 20, 16 << 20)
+BUCKETS = 2048
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -51,11 +52,12 @@ def unpack_rising(data: bytes, dtype) -> np.ndarray:
 def layout(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
     """Numbers of chunks and buckets for the size of the text.
 
-    A chunk sends up to one row per bucket, so small inputs get few of both.
+    A chunk sends up to one row per bucket, so small inputs get few of both.  Up to ``BUCKETS`` buckets rows grow with
+    the text alone, as do buckets then, up to the larger of ``BUCKET_BYTES``; beyond that rows per chunk grow again.
     """
     n = partitions(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(n, math.ceil(total / chunk_bytes)), max(n, math.ceil(total / BUCKET_BYTES))
+    return max(n, math.ceil(total / chunk_bytes)), max(n, math.ceil(total / min(BUCKET_BYTES[1], max(BUCKET_BYTES[0], total // BUCKETS))))
 
 
 def chunked(docs: DataFrame, chunks: int, *more) -> DataFrame:

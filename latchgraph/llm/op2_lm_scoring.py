@@ -15,8 +15,8 @@ neither the driver nor any task holds the model of the whole corpus, and a frequ
 over all shards because bigrams are dealt by both words.
 
 Defined cases: a null or empty text is the end token alone; null ids are never held out; repeated rows
-are learned from and scored once each; with no training rows every token is unknown; an empty table
-gives an empty result.
+are learned from and scored once each; texts of any length are scored whole; with no training rows every token
+is unknown; an empty table gives an empty result; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ afterwards (64-bit hash of its lower-cased bytes, at most ``_UNITS`` kept).  Pla
 the string of a special token.
 
 Defined cases: a null or empty text gives the end token alone; repeated rows are packed once each; a
-null doc_id is carried along; a text of any length is cut; an empty table gives an empty result.
+null doc_id is carried along; a text of any length is cut; of windows with equal room the one opened first is
+taken; columns other than doc_id and text are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ parameter count, hyphens in the host, and of the host's last label (suffix) its
 rate of blocked ones among all labelled rows.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and goes to the
-trees; repeated rows are judged alike; an empty table gives an empty result; without labelled URLs,
-or with labels of one kind only, the prior decides (allow when there are none).
+trees; URLs of any length are judged whole; of rules of equal length that fit, the
+first in code point order wins; repeated rows are judged alike; an empty table gives an empty result; without labelled URLs,
+or with labels of one kind only, the prior decides (allow when there are none); extra columns pass through, except
+that those called host, path, rule, verdict or block_probability are replaced.
 """
 
 from __future__ import annotations
@@ -224,9 +226,10 @@ def probability(model: Model) -> Column:
 
 
 def judge(pages: DataFrame, url_column: str = "url", rules: Sequence[Rule] = RULES, **options) -> DataFrame:
-    """Adds host, path, rule, verdict and block_probability to a frame without such columns."""
-    url = F.col(url_column)
-    featured = _featured(pages, url).withColumn("__rule", best_rule(F.col("__host"), F.col("__path"), rules))
+    """Adds host, path, rule, verdict and block_probability, in place of columns of these names."""
+    url = F.col("__url")
+    packed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("__row"), F.col(f"`{url_column}`").alias("__url"))
+    featured = _featured(packed, url).withColumn("__rule", best_rule(F.col("__host"), F.col("__path"), rules))
     verdicts = {r.text: r.verdict for r in rules}
     by_rule = F.try_element_at(F.create_map(*[F.lit(x) for kv in verdicts.items() for x in kv]), F.col("__rule")) if verdicts else F.lit(None).cast("string")
     featured = featured.withColumn("__by_rule", F.when(F.col("__rule").isNotNull(), by_rule))
@@ -235,7 +238,9 @@ def judge(pages: DataFrame, url_column: str = "url", rules: Sequence[Rule] = RUL
     model = fit(featured.filter("__y is not null").withColumn("__order", F.xxhash64(url)), **options)
     scored = featured.withColumn("__p", probability(model))
     verdict = F.coalesce("__by_rule", F.when(F.col("__p") >= 0.5, "block").otherwise("allow"))
-    return scored.select(*pages.columns, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"), F.col("__p").alias("block_probability"))
+    made = ("host", "path", "rule", "verdict", "block_probability")
+    kept = [F.col("__row")[c].alias(c) for c in pages.columns if c.lower() not in made]
+    return scored.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"), F.col("__p").alias("block_probability"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

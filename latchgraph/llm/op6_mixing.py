@@ -11,8 +11,8 @@ Running sums are taken in two levels of about sqrt(N) rows each (hash bucket wit
 bucket totals), so a source with a third of all rows never meets in one task.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows of
-size 0 are never taken; repeated rows are documents of their own; an empty table gives an empty
-result; extra columns pass through ``mix_documents`` whatever their names.
+size 0 are never taken; texts of any length are counted whole; rows of equal hash stand in the order of their
+keys and sizes; repeated rows are documents of their own; an empty table gives an empty result; extra columns pass through ``mix_documents`` whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ doc_id; the first document of each range is sent to the range before as well, so
 once and every pair of neighbours meets in one sorted partition.
 
 Defined cases: a null or empty text has the empty fingerprint; two empty fingerprints are alike (1),
-an empty and a filled one are not (0); rows with the same doc_id follow each other by text hash, then
+an empty and a filled one are not (0); texts of any length are taken whole; columns other than doc_id and text are
+not looked at; rows with the same doc_id follow each other by text hash, then
 as they come; null ids stand last; the only row of a table is its own successor; an empty table gives
 an empty result.
 """

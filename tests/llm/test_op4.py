@@ -23,6 +23,15 @@ CASES = [
 ]
 
 
+def test_clashing_columns_and_long_urls(spark):
+    rows = [(1, "http://a.org/" + "x" * 200_000, "h", "p", 5), (2, None, None, None, None), (2, None, None, None, None)]
+    got = op.judge(spark.createDataFrame(rows, "page_id long, url string, host string, verdict string, __row int"))
+    assert sorted(got.columns) == sorted(["page_id", "url", "__row", "host", "path", "rule", "verdict", "block_probability"])
+    one, *two = sorted(got.collect(), key=lambda r: r["page_id"])
+    assert (one["host"], len(one["path"]), one["rule"], one["__row"]) == ("a.org", 200_001, "org/", 5)
+    assert len(two) == 2 and two[0] == two[1] and two[0]["rule"] is None
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     rows = [(i, c[0], "x", 1) for i, c in enumerate(CASES)] + [(100 + i, f"http://{'long-' * (i % 7)}h{i}.example.{'com' if i % 2 else 'net'}/{('fr', 'de', 'en')[i % 3]}/{i}", "x", 1) for i in range(300)]
