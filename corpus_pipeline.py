@@ -9,6 +9,12 @@
 5. packing: one row per piece of a document's tokens in sequences of up to 4096.
 
 All stages but the last return the columns of ``documents``.  After mixing a doc_id may stand twice.
+
+Defined cases: a null or empty text has no language and goes in the first stage, as does one without letters; rows
+without an id, repeated ids, ties, very long texts and extra columns are treated as the operators say (see their
+docstrings); extra columns pass through all stages but the last; an empty table gives an empty result.
+
+The stages are those of ``latchgraph.llm`` and go with that folder.
 """
 
 from __future__ import annotations
