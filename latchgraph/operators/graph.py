@@ -6,12 +6,15 @@ lost executor costs one round at most.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, sized
+from ..session import cut
 from .windows import dense_ids
 
+FEW, STEPS = 50_000, 4
 KNOWN, NEVER, SPREAD, OPEN = "KnownBlocking", "KnownNonBlocking", "PropagatedBlocking", "Unknown"
 
 
@@ -27,27 +30,42 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, link: Column, name: Column,
     an unprotected edge u -> v in front of a path of v unless u stands in that path's chain already or
     must never block.  The root has no link, so it may be entered once more.
 
-    Semi-naive: each round joins only the paths found in the round before.  ``max_length`` and
+    Semi-naive: each round joins only the longest paths found so far, ``STEPS`` steps at once where the edges are few
+    enough to be broadcast.  ``max_length`` and
     ``max_paths`` (per node and round) bound the work where a graph has too many paths; by default there is
     no bound.
     """
     keys = keys or []
     never = nodes.filter(F.col("status") == NEVER).select(*keys, F.col("id").alias("src"))
     usable = cut(edges.filter(~F.col("protected")).join(never, [*keys, "src"], "left_anti").select(*keys, "src", F.col("dst").alias("node"), link.alias("__link"), name.alias("__name")).distinct())
-    usable = sized(usable)
+    few = usable.limit(FEW + 1).count() <= FEW
+    usable = F.broadcast(usable) if few else usable
     kind = usable.select(F.array("__link").alias("chain")).schema["chain"].dataType
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def longer(paths: DataFrame) -> DataFrame:
+        step = usable.join(paths, [*keys, "node"]).filter(~F.exists("chain", lambda x: x["function_name"] == F.col("__name")))
+        return step.select(*keys, F.col("src").alias("node"), "root", F.concat(F.array("__link"), F.col("chain")).alias("chain"))
+
     found = delta = cut(nodes.filter(F.col("status") == KNOWN).select(*keys, F.col("id").alias("node"), F.col("id").alias("root"), F.array().cast(kind).alias("chain")))
     length = 0
     while not _empty(delta) and (max_length is None or length < max_length):
-        step = usable.join(delta, [*keys, "node"])
-        step = step.filter(~F.exists("chain", lambda x: x["function_name"] == F.col("__name")))
-        delta = step.select(*keys, F.col("src").alias("node"), "root", F.concat(F.array("__link"), F.col("chain")).alias("chain"))
         if max_paths is not None:
             rank = F.row_number().over(Window.partitionBy(*keys, "node").orderBy("chain", "root"))
-            delta = delta.withColumn("__n", rank).filter(F.col("__n") <= max_paths).drop("__n")
-        delta = cut(delta)
-        found = found.unionByName(delta)
-        length += 1
+            made = cut(longer(delta).withColumn("__n", rank).filter(F.col("__n") <= max_paths).drop("__n"))
+            steps = 1
+        elif few:
+            # edges that every task holds: some steps at once, each without a shuffle, in as many partitions as before
+            steps = STEPS if max_length is None else min(STEPS, max_length - length)
+            grown = [longer(delta)]
+            for _ in range(steps - 1):
+                grown.append(longer(grown[-1]))
+            made = cut(functools.reduce(DataFrame.unionByName, grown).coalesce(n))
+        else:
+            made, steps = cut(longer(delta)), 1
+        found = found.unionByName(made)
+        length += steps
+        delta = made.filter(F.size("chain") == length)
     return found
 
 
