@@ -21,7 +21,6 @@ vec_id and embedding are not looked at, whatever their names.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,6 +35,7 @@ from ._tables import cut, partitions, table
 SCALE = 256
 TOP = 5
 PIVOTS = (64, 1024)
+PER_PIVOT = 1024
 BLOCK = 2048
 _EXACT = 1 << 53
 
@@ -107,7 +107,7 @@ def _needed(query: np.ndarray, groups: Groups, top: int, own: np.ndarray | int =
 
 def search(vectors: DataFrame, is_query: Column, top: int = TOP, scale: int = SCALE, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of each query's best; ``vectors`` has vec_id and embedding, other columns are
-    not looked at.  ``pivots``: by default the square root of the number of vectors, within ``PIVOTS``."""
+    not looked at.  ``pivots``: by default one for ``PER_PIVOT`` vectors, within ``PIVOTS``."""
     spark = vectors.sparkSession
     n = partitions(spark)
     # a double of 2**53 or more is whole already, and might not fit the long that floor() returns
@@ -116,7 +116,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, scale: int = SC
     used = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     used = used.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).withColumn("size", F.size("v"))
     lengths = used.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect()
-    parts = [_search(used.filter(F.col("size") == r["size"]), top, pivots or min(PIVOTS[1], max(PIVOTS[0], math.isqrt(r["n"]))), block, n) for r in lengths]
+    parts = [_search(used.filter(F.col("size") == r["size"]), top, pivots or min(PIVOTS[1], max(PIVOTS[0], r["n"] // PER_PIVOT)), block, n) for r in lengths]
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = parts[0]
