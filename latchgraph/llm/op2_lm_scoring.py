@@ -5,25 +5,34 @@ The model is an interpolated bigram model over words and an end token:
     p(w)     = (1 - unknown) * c(w) / N        ``unknown`` for all unseen words together
     p(w | v) = (c(v, w) + prior * p(w)) / (c(v) + prior)
 
-Bigram counts meet in hash buckets.  A bucket turns its bigrams into one trie shard: sorted contexts,
-monotone pointers to their successors, the successors as one monotone sequence of context-relative
-numbers (context rank times vocabulary plus word), all in Elias-Fano form, and the smoothed
-probabilities quantised to one byte.  The levels lie in one memory-mapped file.  A lookup is a
-successor search: the high bits of the context-relative number name a short run, whose low bits are
-compared.  Shards and text chunks exchange packed requests and one-byte answers (see ``_exchange``), so
-neither the driver nor any task holds the model of the whole corpus, and a frequent context is spread
-over all shards because bigrams are dealt by both words.
+``Model`` has two levels of shards, each shard one binary row.  A shard of the word level holds the
+hashes of its bucket's training words in Elias-Fano form and their counts; a word's id is its place
+there with the bucket's number.  A shard of the pair level is a trie: sorted contexts, monotone
+pointers to their successors, the successors as one monotone sequence of context-relative numbers
+(context rank times vocabulary plus word), all in Elias-Fano form, and the smoothed probabilities
+quantised to one byte.  Bytes are laid out so that a task maps them into memory and looks up in place.
+A lookup is a successor search: the high bits of the context-relative number name a short run, whose
+low bits are compared.
+
+``learn`` builds the shards, ``Model.kept`` writes them to the shared checkpoint folder for later jobs,
+and ``score`` answers from shards alone, stored ones or those that the same plan builds.  In the latter
+case learning and scoring read one exchange of requests.  Shards and text chunks exchange packed
+requests and one-byte answers (see ``_exchange``), so neither the driver nor any task holds the model of
+the whole corpus, and a frequent context is spread over all shards because pairs are dealt by both
+words.  Counts of contexts and probabilities of words reach the shards in steps of 1 % or less.
 
 Defined cases: a null or empty text is the end token alone; null ids are never held out; repeated rows
 are learned from and scored once each; texts of any length are scored whole; with no training rows every token
-is unknown; an empty table gives an empty result; columns other than doc_id and text are not looked at.
+is unknown; an empty table gives an empty result; columns other than doc_id and text are not looked at;
+ties play no part.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
+import mmap
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +46,13 @@ from ._words import U, Words, mix
 UNKNOWN = 0.03
 PRIOR = 20.0
 _END, _BEGIN = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
+U32 = np.uint32
 _CHUNK = 4 << 20
 _STEPS = 20.0  # steps of quantisation per factor of ten
+_FINE, _OCTAVE = 300.0, 64.0  # steps in requests: of probabilities per factor of ten, of counts per factor of two
 _REQUEST = "__bucket int, __chunk int, a binary, b binary, n binary, q binary"
 _REPLY = "__chunk int, bucket int, round int, reply binary"
+_SHARD = "__bucket int, shard binary"
 
 
 class EliasFano:
@@ -90,28 +102,71 @@ class EliasFano:
         return (high.astype(np.uint64) << U(self.low_bits)) | self.low_at(index)
 
 
+def _sealed(numbers: list[int], levels: list[tuple], *more: np.ndarray) -> bytes:
+    """A shard: its numbers, then each Elias-Fano level, then further arrays, behind a head of sizes."""
+    arrays = [x for level in levels for x in level[2:]] + list(more)
+    head = [len(numbers), len(levels), len(more), *numbers, *(x for level in levels for x in level[:2]), *(x.nbytes for x in arrays)]
+    return b"".join([np.array(head, "<i8").tobytes(), *(x.tobytes() for x in arrays)])
+
+
+def _opened(shard: bytes) -> tuple[list[int], list[EliasFano], list[np.ndarray]]:
+    """The parts of a shard, as views of one mapping."""
+    mapping = mmap.mmap(-1, len(shard))
+    mapping.write(shard)
+    whole = np.frombuffer(mapping, np.uint8)
+    numbers, levels, more = whole[:24].view("<i8").tolist()
+    arrays = 2 * levels + more
+    head = whole[24 : 8 * (3 + numbers + 2 * levels + arrays)].view("<i8").tolist()
+    ends = 8 * (3 + len(head)) + np.cumsum(head[numbers + 2 * levels :], dtype=np.int64)
+    views = [whole[e - n : e] for e, n in zip(ends.tolist(), head[numbers + 2 * levels :], strict=True)]
+    kinds = head[numbers : numbers + 2 * levels]
+    return head[:numbers], [EliasFano(kinds[2 * i], kinds[2 * i + 1], views[2 * i], views[2 * i + 1]) for i in range(levels)], views[2 * levels :]
+
+
+class WordLevel:
+    """One shard of words: ascending hashes and their counts."""
+
+    def __init__(self, shard: bytes):
+        (self.base, self.seen), (self.hashes,), (counts,) = _opened(shard)
+        self.counts = counts.view("<u8")
+
+    @staticmethod
+    def seal(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+        """``hashes`` ascend; the first is kept apart so that the sequence begins at 0."""
+        base = hashes[0] if len(hashes) else U(0)
+        universe = int(hashes[-1] - base) + 1 if len(hashes) else 1
+        return _sealed([int(base.astype(np.int64)), int((hashes != _BEGIN).sum())], [EliasFano.encode(hashes - base, universe)], counts.astype("<u8"))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count (0 where unseen) and place of each of the ascending ``wanted``."""
+        base = np.int64(self.base).astype(np.uint64)
+        count, at = np.zeros(len(wanted), np.uint64), np.zeros(len(wanted), np.uint64)
+        if self.hashes.size:
+            most = self.hashes.at(np.array([self.hashes.size - 1]))[0]
+            inside = np.flatnonzero((wanted >= base) & (wanted - base <= most))
+            place = self.hashes.successor(wanted[inside] - base)
+            same = self.hashes.at(place) == wanted[inside] - base
+            count[inside[same]] = self.counts[place[same]]
+            at[inside[same]] = place[same].astype(np.uint64)
+        return count, at
+
+
 class Trie:
-    """One shard: contexts, pointers, context-relative successors and quantised probabilities, memory-mapped."""
+    """One shard of pairs: contexts, pointers, context-relative successors and quantised probabilities."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, code: np.ndarray, vocabulary: int):
+    def __init__(self, shard: bytes):
+        (self.vocabulary,), (self.contexts, self.pointers, self.words), (self.codes,) = _opened(shard)
+
+    @staticmethod
+    def seal(context: np.ndarray, word: np.ndarray, code: np.ndarray, vocabulary: int) -> bytes:
         """Entries ascend by (context, word)."""
-        self.vocabulary = vocabulary
         new = firsts(context)
         contexts = context[new]
         rank = np.cumsum(new) - 1
         pointers = np.append(np.flatnonzero(new), len(context)).astype(np.uint64)
         relative = rank.astype(np.uint64) * U(vocabulary) + word
         levels = [EliasFano.encode(contexts, vocabulary), EliasFano.encode(pointers, len(context) + 1), EliasFano.encode(relative, len(contexts) * vocabulary + 1)]
-        arrays = [x for level in levels for x in level[2:]] + [code.astype(np.uint8)]
-        with tempfile.TemporaryFile() as file:
-            for a in arrays:
-                file.write(a.tobytes())
-            file.flush()
-            whole = np.memmap(file, np.uint8, "r", shape=(max(1, sum(len(a) for a in arrays)),)) if any(len(a) for a in arrays) else np.zeros(1, np.uint8)
-        ends = np.cumsum([len(a) for a in arrays])
-        views = [whole[e - len(a) : e] for a, e in zip(arrays, ends, strict=True)]
-        self.contexts, self.pointers, self.words = (EliasFano(level[0], level[1], views[2 * i], views[2 * i + 1]) for i, level in enumerate(levels))
-        self.codes = views[-1]
+        return _sealed([vocabulary], levels, code.astype(np.uint8))
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The code of each (context, word); 0 where the shard has none."""
@@ -119,7 +174,7 @@ class Trie:
         if not self.contexts.size:
             return out
         rank = self.contexts.successor(context)
-        known = np.flatnonzero(rank < self.contexts.size)
+        known = np.flatnonzero((rank < self.contexts.size) & (word < self.vocabulary))
         known = known[self.contexts.at(rank[known]) == context[known]]
         wanted = rank[known].astype(np.uint64) * U(self.vocabulary) + word[known]
         at = self.words.successor(wanted)
@@ -184,9 +239,9 @@ class _Text:
         bucket = bucket_of(mix(v * U(0x9FB21C651E98DF25) + w), buckets)
         self.order = order = np.lexsort((w, v, bucket))
         v, w, n, bucket = v[order], w[order], self.used_pairs[order].astype(np.uint32), bucket[order]
-        weight = np.rint(np.log2(self.count[self.v]) * 8).clip(0, 255).astype(np.uint16)[order]
-        code = _quantised(self.p[self.w]).astype(np.uint16)[order]
-        hints = weight << 8 | code
+        weight = np.rint(np.log2(self.count[self.v]) * _OCTAVE).clip(0, 4095).astype(np.uint32)[order]
+        chance = np.rint(-np.log10(np.maximum(self.p[self.w], 1e-13)) * _FINE).astype(np.uint32)[order]
+        hints = np.where(n > 0, weight << U32(12) | chance, U32(0))
         return [(k, chunk, pack_rising(v[i:j]), pack(w[i:j]), pack(n[i:j]), pack(hints[i:j])) for k, i, j in spans(bucket)]
 
     def score(self, replies: pa.Table, prior: float) -> tuple[np.ndarray, ...]:
@@ -217,50 +272,60 @@ def _made(chunk: list[int], bucket: list[int], number: list[int], made: list[byt
     return pa.table({"__chunk": pa.array(chunk, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "round": pa.array(number, pa.int32()), "reply": pa.array(made, pa.binary())})
 
 
-def _count_words(buckets: int):
-    def run(rows: pa.Table) -> pa.Table:
-        """Answers with each word's count and id; one more row has the number of words seen in training."""
-        bucket = rows.column("__bucket")[0].as_py()
-        chunk = rows.column("__chunk").to_pylist()
-        keys = [unpack_rising(x, np.uint64) for x in rows.column("a").to_pylist()]
-        number = np.concatenate([unpack(x, np.uint32) for x in rows.column("n").to_pylist()])
-        unique, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, weights=number, minlength=len(unique)).astype(np.uint64)
-        # a word's id is its place here times the number of buckets, plus this bucket's number
-        ends = np.cumsum([len(x) for x in keys])
-        made = [pack(total[at]) + pack_rising(at.astype(np.uint64)) for at in (back[e - len(x) : e] for x, e in zip(keys, ends, strict=True))]
-        seen = int(((total > 0) & (unique != _BEGIN)).sum())
-        made.append(str(seen).encode())
-        return _made([*chunk, -1], [bucket] * (len(chunk) + 1), [1] * len(chunk) + [0], made)
+def _numbers(rows: pa.Table, column: str, how, dtype) -> list[np.ndarray]:
+    return [how(x, dtype) for x in rows.column(column).to_pylist()]
 
-    return run
+
+def _shard(bucket: int, shard: bytes) -> pa.Table:
+    return pa.table({"__bucket": pa.array([bucket], pa.int32()), "shard": pa.array([shard], pa.binary())})
+
+
+def _count_words(rows: pa.Table) -> pa.Table:
+    number = np.concatenate(_numbers(rows, "n", unpack, np.uint32))
+    unique, back = np.unique(np.concatenate(_numbers(rows, "a", unpack_rising, np.uint64)), return_inverse=True)
+    total = np.bincount(back, weights=number, minlength=len(unique)).astype(np.uint64)
+    return _shard(rows.column("__bucket")[0].as_py(), WordLevel.seal(unique[total > 0], total[total > 0]))
 
 
 def _count_pairs(prior: float):
     def run(rows: pa.Table) -> pa.Table:
-        bucket = rows.column("__bucket")[0].as_py()
-        chunk = rows.column("__chunk").to_pylist()
-        v, w, n, q = ([f(x, t) for x in rows.column(c).to_pylist()] for c, t, f in (("a", np.uint64, unpack_rising), ("b", np.uint64, unpack), ("n", np.uint32, unpack), ("q", np.uint16, unpack)))
-        ends = np.cumsum([len(x) for x in v])
-        v, w, n, q = (np.concatenate(x) for x in (v, w, n, q))
-        order = np.lexsort((w, v))
+        v, w, n, q = (np.concatenate(_numbers(rows, c, f, t)) for c, t, f in (("a", np.uint64, unpack_rising), ("b", np.uint64, unpack), ("n", np.uint32, unpack), ("q", np.uint32, unpack)))
+        used = np.flatnonzero(n)
+        order = used[np.lexsort((w[used], v[used]))]
         new = firsts(v[order], w[order])
-        group = np.cumsum(new) - 1
-        count = np.bincount(group, weights=n[order])
-        asked = order[new]
-        head = asked[count > 0]
-        count = count[count > 0]
-        weight, p = np.exp2((q[head] >> 8) / 8), 10.0 ** ((q[head] & 255) / -_STEPS)
+        head = order[new]
+        count = np.bincount(np.cumsum(new) - 1, weights=n[order], minlength=len(head))
+        weight, p = np.exp2((q[head] >> U32(12)) / _OCTAVE), 10.0 ** ((q[head] & U32(4095)) / -_FINE)
         code = _quantised(np.minimum((count + prior * p) / (np.maximum(weight, count) + prior), 1.0), 1)
-        shard = Trie(v[head], w[head], code, int(max(v.max(), w.max())) + 1)
-        found = np.zeros(len(v), np.uint8)
-        found[order] = shard.find(v[asked], w[asked])[group]
-        made = [found[a:b].tobytes() for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
-        return _made(chunk, [bucket] * len(chunk), [2] * len(chunk), made)
+        vocabulary = int(max(v[head].max(), w[head].max())) + 1 if len(head) else 1
+        return _shard(rows.column("__bucket")[0].as_py(), Trie.seal(v[head], w[head], code, vocabulary))
 
     return run
 
 
+def _find_words(rows: pa.Table, shards: pa.Table) -> pa.Table:
+    """Answers with each word's count and id; one more row has the number of words seen in training."""
+    bucket = (rows if rows.num_rows else shards).column("__bucket")[0].as_py()
+    shard = shards.column("shard")[0].as_py() if shards.num_rows else WordLevel.seal(np.zeros(0, np.uint64), np.zeros(0))
+    level = WordLevel(shard)
+    made = [pack(count) + pack_rising(at) for count, at in map(level.find, _numbers(rows, "a", unpack_rising, np.uint64))]
+    made.append(str(level.seen).encode())
+    chunk = rows.column("__chunk").to_pylist()
+    # the row of a bucket's vocabulary goes to a group of its own
+    return _made([*chunk, -1 - bucket], [bucket] * len(made), [1] * len(chunk) + [0], made)
+
+
+def _find_pairs(rows: pa.Table, shards: pa.Table) -> pa.Table:
+    """Answers with a code for each pair; 0 where the shard has none."""
+    asked = zip(_numbers(rows, "a", unpack_rising, np.uint64), _numbers(rows, "b", unpack, np.uint64), strict=True)
+    if shards.num_rows and rows.num_rows:
+        trie = Trie(shards.column("shard")[0].as_py())
+        made = [trie.find(v, w).tobytes() for v, w in asked]
+    else:
+        made = [bytes(len(v)) for v, _ in asked]
+    return _made(rows.column("__chunk").to_pylist(), rows.column("__bucket").to_pylist(), [2] * rows.num_rows, made)
+
+
 def _training_tokens(docs: DataFrame, modulus: int) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._words import pieces
@@ -275,22 +340,79 @@ def _training_tokens(docs: DataFrame, modulus: int) -> int:
     return used.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def score(docs: DataFrame, modulus: int = 7, unknown: float = UNKNOWN, prior: float = PRIOR) -> DataFrame:
-    """Scores every document by the model of those that are not held out."""
-    id_type = docs.select("doc_id").schema[0].dataType.simpleString()
-    chunks, buckets = layout(docs, chunk_bytes=_CHUNK)
-    n = partitions(docs.sparkSession)
+@dataclass(frozen=True)
+class Model:
+    """Shards of words and of pairs, one row per bucket, with what a scorer must know of the training."""
+
+    words: DataFrame
+    pairs: DataFrame
+    buckets: int
+    total: int
+    unknown: float
+    prior: float
+
+    def kept(self) -> Model:
+        """The same model with its shards written to the shared checkpoint folder."""
+        return Model(cut(self.words), cut(self.pairs), self.buckets, self.total, self.unknown, self.prior)
+
+
+class _Requests:
+    """The rows that chunks and shards exchange about one table."""
+
+    def __init__(self, docs: DataFrame, chunks: int, buckets: int, modulus: int, total: int, unknown: float):
+        self.n = partitions(docs.sparkSession)
+        self.dealt = chunked(docs, chunks, held_out(F.col("doc_id"), modulus).alias("__held"))
+        self.buckets = buckets
+
+        def first(rows: pa.Table) -> pa.Table:
+            return _table(_Text(rows).words(rows.column("__chunk")[0].as_py(), buckets))
+
+        def second(rows: pa.Table, replies: pa.Table) -> pa.Table:
+            text = _Text(rows)
+            text.learn(replies, buckets, total, unknown)
+            text.pairs()
+            return _table(text.bigrams(rows.column("__chunk")[0].as_py(), buckets))
+
+        self.second = second
+        self.words = self.dealt.groupBy("__chunk").applyInArrow(first, _REQUEST).repartition(self.n, "__bucket")
+
+    def by_bucket(self, asked: DataFrame, shards: DataFrame, find) -> DataFrame:
+        return asked.groupBy("__bucket").cogroup(shards.repartition(self.n, "__bucket").groupBy("__bucket")).applyInArrow(find, _REPLY)
+
+    def known(self, words: DataFrame) -> DataFrame:
+        return self.by_bucket(self.words, words, _find_words)
+
+    def pairs(self, known: DataFrame) -> DataFrame:
+        replies = known.filter("round = 1").repartition(self.n, "__chunk")
+        asked = self.dealt.groupBy("__chunk").cogroup(replies.groupBy("__chunk")).applyInArrow(self.second, _REQUEST)
+        return asked.repartition(self.n, "__bucket")
+
+
+def _learned(requests: _Requests, total: int, unknown: float, prior: float) -> Model:
+    words = requests.words.groupBy("__bucket").applyInArrow(_count_words, _SHARD)
+    pairs = requests.pairs(requests.known(words)).groupBy("__bucket").applyInArrow(_count_pairs(prior), _SHARD)
+    return Model(words, pairs, requests.buckets, total, unknown, prior)
+
+
+def learn(docs: DataFrame, modulus: int = 7, unknown: float = UNKNOWN, prior: float = PRIOR) -> Model:
+    """The model of all documents that are not held out."""
+    used = docs.filter(~held_out(F.col("doc_id"), modulus))
+    chunks, buckets = layout(used, chunk_bytes=_CHUNK)
     total = _training_tokens(docs, modulus)
-    dealt = chunked(docs, chunks, held_out(F.col("doc_id"), modulus).alias("__held"))
+    return _learned(_Requests(used, chunks, buckets, modulus, total, unknown), total, unknown, prior)
 
-    def first(rows: pa.Table) -> pa.Table:
-        return _table(_Text(rows).words(rows.column("__chunk")[0].as_py(), buckets))
 
-    def second(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        text = _Text(rows)
-        text.learn(replies, buckets, total, unknown)
-        text.pairs()
-        return _table(text.bigrams(rows.column("__chunk")[0].as_py(), buckets))
+def score(docs: DataFrame, modulus: int = 7, unknown: float = UNKNOWN, prior: float = PRIOR, model: Model | None = None) -> DataFrame:
+    """Scores every document by ``model``, or by the model of those documents that are not held out."""
+    id_type = docs.select("doc_id").schema[0].dataType.simpleString()
+    chunks, buckets = layout(docs, chunk_bytes=_CHUNK)
+    if model is None:
+        total = _training_tokens(docs, modulus)
+        requests = _Requests(docs, chunks, buckets, modulus, total, unknown)
+        model = _learned(requests, total, unknown, prior)
+    else:
+        total, buckets, unknown, prior = model.total, model.buckets, model.unknown, model.prior
+        requests = _Requests(docs, chunks, buckets, modulus, total, unknown)
 
     def third(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:  # the row of a bucket's vocabulary
@@ -305,15 +427,11 @@ def score(docs: DataFrame, modulus: int = 7, unknown: float = UNKNOWN, prior: fl
         return pa.table({"doc_id": text.rows.column("doc_id"), "held_out": text.rows.column("__held"), "n_tokens": pa.array(text.counts, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs), "score": pa.array(scores), "seen": pa.array([None] * len(logs), pa.int64())})
 
     ids = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}.get(id_type, pa.int64())
-    asked = dealt.groupBy("__chunk").applyInArrow(first, _REQUEST)
-    one = asked.repartition(n, "__bucket").groupBy("__bucket").applyInArrow(_count_words(buckets), _REPLY)
-    again = dealt.groupBy("__chunk").cogroup(one.filter("round = 1").repartition(n, "__chunk").groupBy("__chunk")).applyInArrow(second, _REQUEST)
-    two = again.repartition(n, "__bucket").groupBy("__bucket").applyInArrow(_count_pairs(prior), _REPLY)
-    # the vocabulary rows go to groups of their own, one per bucket
-    alone = one.withColumn("__chunk", F.when(F.col("round") == 0, -1 - F.col("bucket")).otherwise(F.col("__chunk")))
-    replies = alone.unionByName(two).repartition(n, "__chunk")
+    one = requests.known(model.words)
+    two = requests.by_bucket(requests.pairs(one), model.pairs, _find_pairs)
+    replies = one.unionByName(two).repartition(requests.n, "__chunk")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, score double, seen long"
-    scored = cut(dealt.groupBy("__chunk").cogroup(replies.groupBy("__chunk")).applyInArrow(third, schema))
+    scored = cut(requests.dealt.groupBy("__chunk").cogroup(replies.groupBy("__chunk")).applyInArrow(third, schema))
     vocabulary = scored.agg(F.sum("seen")).first()[0] or 0
     base = F.col("logs") - F.col("n_tokens") * math.log10(total + 1 * (vocabulary + 1))
     rows = scored.filter(F.col("seen").isNull())
