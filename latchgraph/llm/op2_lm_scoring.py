@@ -88,11 +88,13 @@ class EliasFano:
         high = (wanted >> U(self.low_bits)).astype(np.int64).clip(max=len(self.begins) - 2)
         at, end = self.begins[high], self.begins[high + 1]
         low = wanted & U((1 << self.low_bits) - 1)
+        # a frequent context has long runs: halve what is left of each
         open_ = np.flatnonzero(at < end)
         while len(open_):
-            less = self.low_at(at[open_]) < low[open_]
-            open_ = open_[less]
-            at[open_] += 1
+            middle = (at[open_] + end[open_]) >> 1
+            less = self.low_at(middle) < low[open_]
+            at[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
             open_ = open_[at[open_] < end[open_]]
         return at
 
@@ -317,12 +319,13 @@ def _find_words(rows: pa.Table, shards: pa.Table) -> pa.Table:
 
 def _find_pairs(rows: pa.Table, shards: pa.Table) -> pa.Table:
     """Answers with a code for each pair; 0 where the shard has none."""
-    asked = zip(_numbers(rows, "a", unpack_rising, np.uint64), _numbers(rows, "b", unpack, np.uint64), strict=True)
+    v, w = _numbers(rows, "a", unpack_rising, np.uint64), _numbers(rows, "b", unpack, np.uint64)
     if shards.num_rows and rows.num_rows:
-        trie = Trie(shards.column("shard")[0].as_py())
-        made = [trie.find(v, w).tobytes() for v, w in asked]
+        found = Trie(shards.column("shard")[0].as_py()).find(np.concatenate(v), np.concatenate(w))
+        ends = np.cumsum([len(x) for x in v])
+        made = [found[e - len(x) : e].tobytes() for x, e in zip(v, ends.tolist(), strict=True)]
     else:
-        made = [bytes(len(v)) for v, _ in asked]
+        made = [bytes(len(x)) for x in v]
     return _made(rows.column("__chunk").to_pylist(), rows.column("__bucket").to_pylist(), [2] * rows.num_rows, made)
 
 
