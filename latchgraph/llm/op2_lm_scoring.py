@@ -15,8 +15,9 @@ A lookup is a successor search: the high bits of the context-relative number nam
 low bits are compared.
 
 ``learn`` builds the shards, ``Model.kept`` writes them to the shared checkpoint folder for later jobs,
-and ``score`` answers from shards alone, stored ones or those that the same plan builds.  In the latter
-case learning and scoring read one exchange of requests.  Shards and text chunks exchange packed
+and ``score`` answers from shards alone: stored ones, or, where a table is scored by its own model, those
+that the task of a bucket seals, opens and answers from, since they would cross the network once more
+otherwise.  Shards and text chunks exchange packed
 requests and one-byte answers (see ``_exchange``), so neither the driver nor any task holds the model of
 the whole corpus, and a frequent context is spread over all shards because pairs are dealt by both
 words.  Counts of contexts and probabilities of words reach the shards in steps of 1 % or less.
@@ -329,6 +330,11 @@ def _find_pairs(rows: pa.Table, shards: pa.Table) -> pa.Table:
     return _made(rows.column("__chunk").to_pylist(), rows.column("__bucket").to_pylist(), [2] * rows.num_rows, made)
 
 
+def _sealed_and_found(count, find):
+    """Seals a bucket's shard and answers the bucket's requests from its bytes."""
+    return lambda rows: find(rows, count(rows))
+
+
 def _training_tokens(docs: DataFrame, modulus: int) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._words import pieces
@@ -382,27 +388,22 @@ class _Requests:
     def by_bucket(self, asked: DataFrame, shards: DataFrame, find) -> DataFrame:
         return asked.groupBy("__bucket").cogroup(shards.repartition(self.n, "__bucket").groupBy("__bucket")).applyInArrow(find, _REPLY)
 
-    def known(self, words: DataFrame) -> DataFrame:
-        return self.by_bucket(self.words, words, _find_words)
-
     def pairs(self, known: DataFrame) -> DataFrame:
         replies = known.filter("round = 1").repartition(self.n, "__chunk")
         asked = self.dealt.groupBy("__chunk").cogroup(replies.groupBy("__chunk")).applyInArrow(self.second, _REQUEST)
         return asked.repartition(self.n, "__bucket")
 
 
-def _learned(requests: _Requests, total: int, unknown: float, prior: float) -> Model:
-    words = requests.words.groupBy("__bucket").applyInArrow(_count_words, _SHARD)
-    pairs = requests.pairs(requests.known(words)).groupBy("__bucket").applyInArrow(_count_pairs(prior), _SHARD)
-    return Model(words, pairs, requests.buckets, total, unknown, prior)
-
-
 def learn(docs: DataFrame, modulus: int = 7, unknown: float = UNKNOWN, prior: float = PRIOR) -> Model:
     """The model of all documents that are not held out."""
     used = docs.filter(~held_out(F.col("doc_id"), modulus))
     chunks, buckets = layout(used, chunk_bytes=_CHUNK)
     total = _training_tokens(docs, modulus)
-    return _learned(_Requests(used, chunks, buckets, modulus, total, unknown), total, unknown, prior)
+    requests = _Requests(used, chunks, buckets, modulus, total, unknown)
+    words = requests.words.groupBy("__bucket").applyInArrow(_count_words, _SHARD)
+    known = requests.by_bucket(requests.words, words, _find_words)
+    pairs = requests.pairs(known).groupBy("__bucket").applyInArrow(_count_pairs(prior), _SHARD)
+    return Model(words, pairs, buckets, total, unknown, prior)
 
 
 def score(docs: DataFrame, modulus: int = 7, unknown: float = UNKNOWN, prior: float = PRIOR, model: Model | None = None) -> DataFrame:
@@ -411,11 +412,9 @@ def score(docs: DataFrame, modulus: int = 7, unknown: float = UNKNOWN, prior: fl
     chunks, buckets = layout(docs, chunk_bytes=_CHUNK)
     if model is None:
         total = _training_tokens(docs, modulus)
-        requests = _Requests(docs, chunks, buckets, modulus, total, unknown)
-        model = _learned(requests, total, unknown, prior)
     else:
         total, buckets, unknown, prior = model.total, model.buckets, model.unknown, model.prior
-        requests = _Requests(docs, chunks, buckets, modulus, total, unknown)
+    requests = _Requests(docs, chunks, buckets, modulus, total, unknown)
 
     def third(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:  # the row of a bucket's vocabulary
@@ -430,8 +429,12 @@ def score(docs: DataFrame, modulus: int = 7, unknown: float = UNKNOWN, prior: fl
         return pa.table({"doc_id": text.rows.column("doc_id"), "held_out": text.rows.column("__held"), "n_tokens": pa.array(text.counts, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs), "score": pa.array(scores), "seen": pa.array([None] * len(logs), pa.int64())})
 
     ids = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}.get(id_type, pa.int64())
-    one = requests.known(model.words)
-    two = requests.by_bucket(requests.pairs(one), model.pairs, _find_pairs)
+    if model is None:
+        one = requests.words.groupBy("__bucket").applyInArrow(_sealed_and_found(_count_words, _find_words), _REPLY)
+        two = requests.pairs(one).groupBy("__bucket").applyInArrow(_sealed_and_found(_count_pairs(prior), _find_pairs), _REPLY)
+    else:
+        one = requests.by_bucket(requests.words, model.words, _find_words)
+        two = requests.by_bucket(requests.pairs(one), model.pairs, _find_pairs)
     replies = one.unionByName(two).repartition(requests.n, "__chunk")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, score double, seen long"
     scored = cut(requests.dealt.groupBy("__chunk").cogroup(replies.groupBy("__chunk")).applyInArrow(third, schema))
