@@ -510,3 +510,31 @@ def sc13_party_name(spark, d):
 @query("SELECT p_partkey, trim(p_name) || '/' || p_type AS text FROM part")
 def sc05_decorator_text(spark, d):
     return read(spark, d, "part").select("p_partkey", T.decorator_text(F.concat(F.lit(" @ "), "p_name", F.lit("/"), "p_type", F.lit(" "))).alias("text"))
+
+
+@query("SELECT s_suppkey, replace(s_name, '#', '.') AS module FROM supplier")
+def sc15_stub_stem(spark, d):
+    """A stub's module is its file's name up to the last dot."""
+    path = F.concat(F.lit("typings/v1.2/"), F.replace("s_name", F.lit("#"), F.lit(".")), F.lit(".pyi"))
+    return read(spark, d, "supplier").select("s_suppkey", T.stem(path).alias("module"))
+
+
+_KEY = "'root' || chr(92) || s_name || '/' || s_nationkey || ':' || s_suppkey"
+
+
+@query(f"SELECT s_suppkey, 'root_' || s_name || '_' || s_nationkey || '_' || s_suppkey || '-' || left(sha256({_KEY}), 12) AS file FROM supplier")
+def sc21_storage_key(spark, d):
+    text = lambda c: F.col(c).cast("string")
+    key = F.concat(F.lit("root\\"), "s_name", F.lit("/"), text("s_nationkey"), F.lit(":"), text("s_suppkey"))
+    return read(spark, d, "supplier").select("s_suppkey", T.storage_key(key).alias("file"))
+
+
+@query(
+    f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, up AS (SELECT src, dst FROM edges WHERE dst > src),
+lv AS (SELECT id, 0 AS level FROM nodes UNION SELECT u.dst, l.level + 1 FROM lv l JOIN up u ON u.src = l.id),
+top AS (SELECT id, max(level)::INT AS level FROM lv GROUP BY id)
+SELECT id, level, row_number() OVER (ORDER BY level, id) - 1 AS position FROM top"""
+)
+def so08_topological_order(spark, d):
+    """By level, then by id: every node comes after its predecessors."""
+    return graph.topological_order(surrogate.nodes(spark, d), surrogate.edges(spark, d).filter("dst > src"))
