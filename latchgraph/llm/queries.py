@@ -16,6 +16,7 @@ from .op7_substring_dedup import op7
 from .op8_exact_topk import op8
 from .op9_fingerprints import op9
 from .op10_language_id import op10
+from .op11_conversation_trie import op11
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
@@ -51,6 +52,29 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP11 = """
+WITH turns AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, ''))::BIGINT AS len,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+heads AS (SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h
+  FROM sizes),
+taken AS (SELECT h.conv_id, h.base, h.h, least(h.h, coalesce(s.n, 0)) AS k FROM heads h LEFT JOIN sizes s ON s.conv_id = h.base),
+paths AS (SELECT t.conv_id, b.pos AS d, b.k, b.len FROM taken t JOIN turns b ON b.conv_id = t.base AND b.pos <= t.k
+  UNION ALL SELECT t.conv_id, o.pos - t.h + t.k, o.k, o.len FROM taken t JOIN turns o ON o.conv_id = t.conv_id AND o.pos > t.h),
+keyed AS (SELECT conv_id, d, len, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM paths UNION ALL SELECT conv_id, 0, 0, '' FROM sizes),
+ends AS (SELECT conv_id, max_by(key, d) AS key FROM keyed GROUP BY conv_id),
+lists AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM ends GROUP BY key),
+nodes AS (SELECT key, min(conv_id) AS conv_id, min(d) AS depth, count(*) AS n_convs, min(len) AS len, left(key, greatest(length(key) - 64, 0)) AS up FROM keyed GROUP BY key),
+kids AS (SELECT up AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+sums AS (SELECT x.key, sum((y.n_convs - 1) * y.len)::BIGINT AS saved_tokens, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves
+  FROM nodes x JOIN nodes y ON starts_with(y.key, x.key) LEFT JOIN kids k ON k.key = y.key GROUP BY x.key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(l.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.key = n.key LEFT JOIN kids k ON k.key = n.key LEFT JOIN lists l ON l.key = n.key LEFT JOIN nodes p ON n.depth > 0 AND p.key = n.up
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -64,9 +88,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": op8,
         "op9_fingerprints": op9,
         "op10_language_id": op10,
+        "op11_conversation_trie": op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Of the rest, hash order, tokenizers and trained models have no SQL; tests hold them against plain versions."""
-    return {"op1_ngram_jaccard_join": OP1, "op7_substring_dedup": OP7, "op8_exact_topk": OP8}
+    return {"op1_ngram_jaccard_join": OP1, "op7_substring_dedup": OP7, "op8_exact_topk": OP8, "op11_conversation_trie": OP11}
