@@ -17,6 +17,7 @@ from .op8_exact_topk import op8
 from .op9_fingerprints import op9
 from .op10_language_id import op10
 from .op11_conversation_trie import op11
+from .op12_piece_encoding import op12
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
@@ -89,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprints": op9,
         "op10_language_id": op10,
         "op11_conversation_trie": op11,
+        "op12_piece_encoding": op12,
     }
 
 
