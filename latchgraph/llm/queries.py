@@ -18,6 +18,7 @@ from .op9_fingerprints import op9
 from .op10_language_id import op10
 from .op11_conversation_trie import op11
 from .op12_piece_encoding import op12
+from .op13_source_divergence import op13
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
@@ -76,6 +77,27 @@ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n,
 FROM nodes n JOIN sums s ON s.key = n.key LEFT JOIN kids k ON k.key = n.key LEFT JOIN lists l ON l.key = n.key LEFT JOIN nodes p ON n.depth > 0 AND p.key = n.up
 """
 
+OP13 = r"""
+WITH docs AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT i, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, v.v FROM groups g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ps AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM cells),
+qs AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM (SELECT lang, term, v, sum(n) AS n FROM cells GROUP BY ALL)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM ps a JOIN ps b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM ps JOIN qs USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT *, 'term', row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -91,9 +113,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10,
         "op11_conversation_trie": op11,
         "op12_piece_encoding": op12,
+        "op13_source_divergence": op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Of the rest, hash order, tokenizers and trained models have no SQL; tests hold them against plain versions."""
-    return {"op1_ngram_jaccard_join": OP1, "op7_substring_dedup": OP7, "op8_exact_topk": OP8, "op11_conversation_trie": OP11}
+    return {"op1_ngram_jaccard_join": OP1, "op7_substring_dedup": OP7, "op8_exact_topk": OP8, "op11_conversation_trie": OP11, "op13_source_divergence": OP13}
