@@ -13,7 +13,7 @@ from ..names import ANNOTATIONS
 from ..session import cut, sized
 from ..sources.builtin import implementation_aliases, rows
 from ..sources.config import Config
-from . import joins, resolve, sets
+from . import flow, joins, resolve, sets
 from .graph import KNOWN, NEVER, OPEN
 
 NO_THREADS = ("3.7", "3.8")
@@ -65,8 +65,14 @@ def _matching(names: DataFrame, entries: DataFrame, modules: DataFrame, stubs: D
 
 def build(facts: DataFrame, configs: Sequence[Config]) -> CallGraph:
     spark = facts.sparkSession
-    functions = sized(cut(resolve.functions(facts)))
-    targets = sized(cut(resolve.targets(facts)))
+    by = resolve.lookup(facts)
+    functions = sized(cut(by.functions))
+    targets = cut(resolve.located(by.resolved, by))
+    # what values that flow through calls resolve joins the references that one file resolves
+    if more := flow.opened(facts, targets, by):
+        facts = facts.unionByName(more.references)
+        targets = cut(targets.unionByName(more.targets))
+    targets = sized(targets)
     marks = sized(cut(annotations(facts, functions, targets)))
     entries, modules = database(spark, configs)
     stub_marks = marks.filter("is_stub").select("project", F.col("absolute").alias("name"), "annotation")

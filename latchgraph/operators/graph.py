@@ -161,5 +161,31 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level, position): every node after its predecessors; of the nodes that are ready together the least id comes first."""
-    return dense_ids(levels(nodes, edges), ["level", "id"], "position")
+    """(id, position) of an acyclic graph: again and again the least id that is ready, as from a heap.
+
+    A node's label begins with the greatest of its ancestors and itself, then the greatest of those between that one and it, and so on
+    down to itself.  A node is taken after the greatest of its ancestors and, once that is out, before anything greater; within
+    the nodes that wait for it the same holds again.  So labels, compared element by element, stand in the order of the heap.  A label comes from the greatest label of the
+    predecessors: its elements above the node's id, and the id.  Levels are labelled one after another; labels are as
+    long as the longest descent to a node.
+    """
+    rest = cut(edges.select("src", "dst").distinct())
+    left = cut(nodes.select("id").distinct())
+    done, labels = None, None
+    while not _empty(left):
+        ready = cut(left.join(rest.select(F.col("dst").alias("id")), "id", "left_anti"))
+        if _empty(ready):
+            raise ValueError("the graph has a cycle")
+        known = ready.withColumn("best", F.lit(None).cast("array<long>")) if labels is None else ready.join(labels, "id", "left")
+        above = F.coalesce(F.filter("best", lambda x: x > F.col("id")), F.array().cast("array<long>"))
+        fresh = cut(known.select("id", F.concat(above, F.array(F.col("id").cast("long"))).alias("label")))
+        done = fresh if done is None else cut(done.unionByName(fresh))
+        left = cut(left.join(ready, "id", "left_anti"))
+        # the greatest label so far is kept for what is not ready yet
+        sent = rest.join(fresh.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.col("label").alias("best"))
+        sent = sent if labels is None else sent.unionByName(labels.join(left, "id", "left_semi"))
+        labels = cut(sent.groupBy("id").agg(F.max("best").alias("best")))
+        rest = cut(rest.join(ready.withColumnRenamed("id", "src"), "src", "left_anti"))
+    if done is None:
+        return nodes.select("id", F.lit(0).cast("long").alias("position"))
+    return dense_ids(done, ["label"], "position").select("id", F.col("position").cast("long").alias("position"))

@@ -8,23 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dotted_prefixes
+from .windows import running
 
 
 def contained(points: DataFrame, ranges: DataFrame, keys: Sequence[str], point: tuple[str, str], span: tuple[str, str]) -> DataFrame:
     """Adds ``inside``: whether one of the key's ranges holds the point's whole span.
 
-    The equi part shuffles by key; containment is the residual.  Ranges of a key that lie in another
-    range of it add nothing, so only the furthest end per start is kept.
+    A sweep: starts and points stand in one order, and a point lies inside iff the furthest end among the ranges that have
+    begun reaches its end.  The work is linear in both sides, also where one key has very many of both.  Null keys hold nothing.
     """
     a, b = span
-    least = ranges.groupBy(*keys, a).agg(F.max(b).alias(b))
-    named = least.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(a).alias("__a"), F.col(b).alias("__b"))
-    on = (F.col(point[0]) >= F.col("__a")) & (F.col(point[1]) <= F.col("__b"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    held = points.join(named, on, "left_semi").withColumn("inside", F.lit(True))
-    free = points.join(named, on, "left_anti").withColumn("inside", F.lit(False))
-    return held.unionByName(free)
+    known = ranges.dropna(subset=[*keys, a, b]).groupBy(*keys, a).agg(F.max(b).alias(b))
+    whole = F.struct(*points.columns)
+    begun = known.select(*keys, F.col(a).cast("long").alias("__at"), F.lit(0).alias("__turn"), F.col(b).cast("long").alias("__reach"), F.lit(None).cast(points.select(whole.alias("w")).schema["w"].dataType).alias("__row"))
+    asked = points.select(*keys, F.col(point[0]).cast("long").alias("__at"), F.lit(1).alias("__turn"), F.lit(None).cast("long").alias("__reach"), whole.alias("__row"))
+    swept = running(begun.unionByName(asked), keys, ["__at", "__turn"], "__reach", "__furthest").filter("__turn = 1")
+    return swept.select("__row.*", F.coalesce(F.col("__furthest") >= F.col(f"__row.{point[1]}"), F.lit(False)).alias("inside"))
+
+
+def last_before(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, place: str, value: str, name: str, strict: bool = True) -> DataFrame:
+    """The rows of ``left`` with the ``value`` of the key's last ``right`` row whose ``place`` lies before ``at`` (or, not ``strict``, at it).
+
+    An as-of join: both sides stand in one order and the latest value is carried along, so no pairs are made.
+    Rows without such a value, and rows with a null key or place, go.  Of right rows at one place the greatest value counts.
+    """
+    whole = F.struct(*left.columns)
+    known = right.dropna(subset=[*keys, place, value]).groupBy(*keys, F.col(place).alias("__at")).agg(F.max(value).alias("__value"))
+    known = known.withColumn("__turn", F.lit(1 if strict else 0)).withColumn("__row", F.lit(None).cast(left.select(whole.alias("w")).schema["w"].dataType))
+    asked = left.dropna(subset=[*keys, at]).select(*keys, F.col(at).alias("__at"), F.lit(None).cast(known.schema["__value"].dataType).alias("__value"), F.lit(0 if strict else 1).alias("__turn"), whole.alias("__row"))
+    carried = running(known.unionByName(asked), keys, ["__at", "__turn"], "__value", "__last", last=True)
+    return carried.filter("__row is not null and __last is not null").select("__row.*", F.col("__last").alias(name))
 
 
 def module_prefix(names: DataFrame, name: str, prefixes: DataFrame, prefix: str, keys: Sequence[str] = ()) -> DataFrame:

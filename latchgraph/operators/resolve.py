@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import callable_kind, dotted_prefixes, qualify
-from ..session import cut
+from ..session import cut, written
 
 
 def _dotted(module, name):
@@ -72,7 +74,7 @@ def closure(names: DataFrame, links: DataFrame) -> DataFrame:
         best = exploded.groupBy("project", "target").agg(F.max(F.struct(F.length("__prefix").alias("n"), F.col("__to").alias("to"), F.col("__prefix").alias("by"))).alias("b"))
         step = left.join(best, ["project", "target"], "left")
         moved = F.concat(F.col("b.to"), F.substr(F.col("resolved"), F.col("b.n") + 1))
-        step = cut(step.select("project", "target", F.coalesce(moved, "resolved").alias("resolved"), F.when(F.col("b").isNotNull(), F.array_append("__used", F.col("b.by"))).alias("__used")))
+        step = written(step.select("project", "target", F.coalesce(moved, "resolved").alias("resolved"), F.when(F.col("b").isNotNull(), F.array_append("__used", F.col("b.by"))).alias("__used")))
         settled = step.filter("__used is null").drop("__used")
         done = settled if done is None else done.unionByName(settled)
         left = step.filter("__used is not null")
@@ -113,17 +115,26 @@ def decorators(facts: DataFrame) -> DataFrame:
     return used.groupBy("project", "identity").agg(F.array_sort(F.collect_set("d")).alias("decorators"))
 
 
-def targets(facts: DataFrame) -> DataFrame:
-    """(project, target, identity, names): what every referenced name stands for.
+class Lookup(NamedTuple):
+    """What names are resolved with."""
 
-    ``identity`` is a first-party function's; otherwise ``names`` holds the external names that may match.
-    """
+    functions: DataFrame
+    resolved: DataFrame  # project, target, resolved: names of the facts, aliases followed
+    classes: DataFrame  # project, class, bases, is_stub
+    lines: DataFrame  # project, class, ancestor, rank
+    index: DataFrame  # project, absolute, identity, is_stub, owner, name, kind: one definition of each absolute name
+
+
+def lookup(facts: DataFrame) -> Lookup:
     defined = functions(facts)
-    referenced = facts.filter("fact = 'reference' and target is not null").select("project", "target")
-    handed = facts.filter("fact = 'reference' and arguments is not null").select("project", F.explode("arguments.target").alias("target")).filter("target is not null")
+    references = facts.filter("fact = 'reference'")
+    used = references.filter("target is not null").select("project", "target")
+    handed = references.filter("arguments is not null").select("project", F.explode("arguments").alias("a"))
+    handed = handed.select("project", F.explode(F.array_distinct(F.array_compact(F.array("a.target", F.when(F.col("a.holds") != "var", F.col("a.value")))))).alias("target"))
+    flowing = facts.filter("fact = 'flow' and target is not null").select("project", "target")
     based = facts.filter("fact = 'class'").select("project", F.explode("bases").alias("target"))
     links = aliases(facts)
-    resolved = cut(closure(referenced.unionByName(handed).unionByName(based), links))
+    resolved = cut(closure(used.unionByName(handed).unionByName(flowing).unionByName(based), links))
     classes = facts.filter("fact = 'class'").select("project", _dotted(F.col("module"), F.col("qualified_name")).alias("class"), "bases", "is_stub")
     one = Window.partitionBy("project", "class").orderBy("is_stub")
     classes = cut(classes.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n"))
@@ -131,23 +142,36 @@ def targets(facts: DataFrame) -> DataFrame:
     spelled = classes.select("project", "class", F.posexplode_outer("bases").alias("p", "base")).join(known, ["project", "base"], "left")
     based = spelled.groupBy("project", "class").agg(F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("to", "base").alias("b"))))).alias("l"))
     lines = cut(ancestry(based.select("project", "class", F.transform("l", lambda x: x["b"]).alias("bases"))))
-
     # a source definition comes before a stub's, the first in order of qualified name, path and place before others
     order = Window.partitionBy("project", "absolute").orderBy("is_stub", "qualified_name", "path", "start")
-    index = cut(defined.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select("project", "absolute", "identity", "is_stub", "owner", "name"))
-    direct = index.select("project", F.col("absolute").alias("resolved"), "identity", "is_stub", "absolute")
+    index = cut(defined.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select("project", "absolute", "identity", "is_stub", "owner", "name", "kind"))
+    return Lookup(defined, resolved, classes, lines, index)
+
+
+def located(names: DataFrame, by: Lookup) -> DataFrame:
+    """(project, target, resolved, identity, names) of ``names`` (project, target, resolved): what each stands for.
+
+    ``identity`` is a first-party function's; otherwise ``names`` holds the external names that may match.
+    """
+    direct = by.index.select("project", F.col("absolute").alias("resolved"), "identity", "is_stub", "absolute")
     # member lookup: the nearest ancestor that has it; super() starts behind the class itself
-    asked = resolved.select("project", "resolved").distinct().withColumn("__base", F.regexp_extract("resolved", r"^(.*)\.[^.]*$", 1)).withColumn("__member", F.substring_index("resolved", ".", -1))
+    asked = names.select("project", "resolved").distinct().withColumn("__base", F.regexp_extract("resolved", r"^(.*)\.[^.]*$", 1)).withColumn("__member", F.substring_index("resolved", ".", -1))
     asked = asked.withColumn("__above", F.col("__base").endswith(".super()")).withColumn("class", F.regexp_replace("__base", r"\.super\(\)$", ""))
-    near = asked.join(lines, ["project", "class"]).filter("not (__above and ancestor = class)")
-    members = index.filter("owner is not null").select("project", F.col("owner").alias("ancestor"), F.col("name").alias("__member"), "identity", "is_stub", "absolute")
+    near = asked.join(by.lines, ["project", "class"]).filter("not (__above and ancestor = class)")
+    members = by.index.filter("owner is not null").select("project", F.col("owner").alias("ancestor"), F.col("name").alias("__member"), "identity", "is_stub", "absolute")
     by_class = near.join(members, ["project", "ancestor", "__member"]).groupBy("project", "resolved").agg(F.min(F.struct("rank", "identity", "is_stub", "absolute")).alias("m")).select("project", "resolved", "m.identity", "m.is_stub", "m.absolute")
-    outside = near.join(classes.select("project", F.col("class").alias("ancestor")), ["project", "ancestor"], "left_anti")
+    outside = near.join(by.classes.select("project", F.col("class").alias("ancestor")), ["project", "ancestor"], "left_anti")
     outside = outside.groupBy("project", "resolved").agg(F.collect_set(F.concat_ws(".", "ancestor", "__member")).alias("above"))
     found = direct.unionByName(by_class)
     first = Window.partitionBy("project", "resolved").orderBy("is_stub", "identity")
     found = found.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    out = resolved.join(found, ["project", "resolved"], "left").join(outside, ["project", "resolved"], "left")
+    out = names.join(found, ["project", "resolved"], "left").join(outside, ["project", "resolved"], "left")
     source = F.col("identity").isNotNull() & ~F.col("is_stub")
-    names = F.when(source, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(F.array(F.coalesce("absolute", "resolved")), F.coalesce("above", F.array().cast("array<string>"))))))
-    return out.select("project", "target", "resolved", F.when(source, F.col("identity")).alias("identity"), names.alias("names"))
+    every = F.when(source, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(F.array(F.coalesce("absolute", "resolved")), F.coalesce("above", F.array().cast("array<string>"))))))
+    return out.select("project", "target", "resolved", F.when(source, F.col("identity")).alias("identity"), every.alias("names"))
+
+
+def targets(facts: DataFrame) -> DataFrame:
+    """(project, target, resolved, identity, names): what every referenced name stands for (see ``located``)."""
+    by = lookup(facts)
+    return located(by.resolved, by)

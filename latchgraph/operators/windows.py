@@ -32,6 +32,28 @@ def dense_ids(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataFr
     return placed.join(offsets, "__part").withColumn(name, inside - 1 + F.col("__before")).drop("__part", "__before")
 
 
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, last: bool = False) -> DataFrame:
+    """Adds the greatest (``last``: the latest) non-null ``value`` of the key's rows up to and with each row.
+
+    Rows are dealt by range of key and order, so a key with very many rows lies in several ranges; each range then
+    takes over what the key's earlier ranges end with.  Rows that tie in the order see each other or not as they come.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    aggregate = (lambda c: F.last(c, ignorenulls=True)) if last else F.max
+    combined = (lambda a, b: F.coalesce(b, a)) if last else F.greatest
+    placed = cut(rows.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = placed.withColumn("__run", aggregate(F.col(value)).over(inside))
+    # one row per key and range: what the range ends with, and what the ranges before it end with
+    ends = within.groupBy("__part", *keys).agg(F.max_by("__run", F.struct(*order, "__run")).alias("__end") if last else F.max("__run").alias("__end"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__part", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], aggregate(F.col("__end")).over(earlier).alias("__before"))
+    on = within["__part"] == ends["__part"]
+    for i, k in enumerate(keys):
+        on = on & within[k].eqNullSafe(F.col(f"__k{i}"))
+    return within.join(ends, on).select(*[within[c] for c in rows.columns], combined(F.col("__before"), F.col("__run")).alias(name))
+
+
 def transitions(rows: DataFrame, keys: Sequence[str], order: str, flag: Column) -> DataFrame:
     """Rows where ``flag`` holds and does not for the next row of the key."""
     following = F.lead(flag).over(Window.partitionBy(*keys).orderBy(order))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import callgraph, render, report, resolve, windows
+from ..operators import callgraph, flow, render, report, resolve, windows
 from ..session import cut, ship
 from ..sources import files
 from ..sources.config import Config, parse
@@ -352,3 +352,39 @@ def gr08_graph_nodes(spark, d):
 def gr09_graph_edges(spark, d):
     short = lambda c: F.substring_index(c, ":", -1)
     return _graph(spark, d).edges.select(part_of(F.col("path")).alias("id"), short("src").alias("src"), short("dst").alias("dst"), F.col("edge_kind").alias("kind"), F.col("protected").cast("int").alias("protected"), "via")
+
+
+# values that flow through calls
+
+
+@query(
+    """WITH RECURSIVE calls AS (SELECT DISTINCT l_partkey AS a, lead_ AS b FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS lead_ FROM lineitem) t WHERE lead_ IS NOT NULL),
+made AS (SELECT p_partkey AS id, p_partkey % 7 AS kind FROM part WHERE p_size <= 2),
+holds AS (SELECT c.b AS id, m.kind FROM calls c JOIN made m ON m.id = c.a UNION SELECT c.b, h.kind FROM holds h JOIN calls c ON c.a = h.id)
+SELECT h.id, 'main.Box' || h.kind || CASE h.id % 3 WHEN 0 THEN '.data' WHEN 1 THEN '.__str__' ELSE '.run' END AS target, (CASE h.id % 3 WHEN 0 THEN 'attribute' WHEN 1 THEN 'implicit' ELSE 'call' END) AS kind
+FROM holds h"""
+)
+def jn19_receiver_flow(spark, d):
+    """What receivers are in functions that hand their argument on.
+
+    Every part is a function ``f<part>(x)`` that uses its argument in one of three ways and hands it to the functions of the parts that follow
+    it in an order; some hand over an object of one of seven classes as well.
+    """
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    calls = read(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.lead("l_partkey").over(order).alias("next")).filter("next is not null").distinct()
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    number = lambda c: F.col(c).cast("string")
+    uses = F.when(F.col("id") % 3 == 0, F.lit("    x.data\n")).when(F.col("id") % 3 == 1, F.lit("    str(x)\n")).otherwise(F.lit("    x.run(1)\n"))
+    called = F.concat(F.lit("    m"), number("next"), F.lit(".f"), number("next"))
+    made = F.when(F.col("p_size") <= 2, F.concat(called, F.lit("(main.Box"), (F.col("id") % 7).cast("string"), F.lit("())\n"))).otherwise("")
+    handed = part.join(calls, "id").select("id", F.concat(F.lit("    import m"), number("next"), F.lit("\n"), called, F.lit("(x)\n"), made).alias("line"))
+    bodies = handed.groupBy("id").agg(F.concat_ws("", F.array_sort(F.collect_list("line"))).alias("body"))
+    text = F.concat(F.lit("import main\ndef f"), number("id"), F.lit("(x):\n"), uses, F.coalesce("body", F.lit("")))
+    files_ = part.join(bodies, "id", "left").select(F.concat(F.lit("m"), number("id")).alias("module"), text.alias("text"))
+    boxes = "".join(f"class Box{k}:\n    @property\n    def data(self): return 1\n    def __str__(self): return ''\n    def run(self, n): pass\n" for k in range(7))
+    files_ = files_.unionByName(spark.createDataFrame([("main", boxes)], "module string, text string"))
+    program = files_.select(F.lit(ROOT).alias("project"), F.concat("module", F.lit(".py")).alias("path"), "module", F.lit(False).alias("is_package"), F.lit(False).alias("is_stub"), F.lit(True).alias("is_first_party"), F.encode("text", "UTF-8").alias("content"))
+    found = cut(read_facts(program))
+    by = resolve.lookup(found)
+    opened = flow.opened(found, cut(resolve.located(by.resolved, by)), by)
+    return opened.references.select(F.regexp_extract("path", "m([0-9]+)[.]py$", 1).cast("long").alias("id"), "target", "kind").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -68,6 +69,19 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(True)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the checkpoint folder.
+
+    Its size is known from its files.  A checkpointed frame keeps the estimate of its plan, and where a loop joins what it
+    made before, estimates multiply round by round until planning alone takes longer than the jobs.
+    """
+    spark = frame.sparkSession
+    checkpoint_dir(spark)
+    where = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    frame.write.parquet(where)
+    return spark.read.schema(frame.schema).parquet(where)
+
+
 def small(frame: DataFrame, rows: int, most: int = 50_000) -> DataFrame:
     """Marks a frame whose number of rows is known for broadcasting if it has at most ``most``."""
     return F.broadcast(frame) if rows <= most else frame

@@ -22,7 +22,7 @@ from . import files as source_files
 from .config import Config
 from .facts import read_facts
 
-FORMAT = f"2-{VERSION}"
+FORMAT = f"3-{VERSION}"
 _KEYS = ["project", "path", "module", "content_hash"]
 
 

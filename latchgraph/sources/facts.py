@@ -1,9 +1,18 @@
 """Syntax and reference facts of Python files.
 
 Each file is parsed on an executor with the standard ``ast`` module and gives rows of one tagged table:
-functions, classes, imports, module aliases, references and syntax errors.  References are resolved here
+functions, classes, imports, module aliases, references, value flows and syntax errors.  References are resolved here
 as far as one file tells: local names, imports, annotations of parameters, constructor results, ``self`` and
 its attributes become absolute dotted names; what lies in other files is left to joins.
+
+A name whose value one file does not tell is a variable, and what may come into it gives ``flow`` rows, which
+``operators.flow`` closes over all calls.  Variables are written as
+
+    V|scope.name   a local name, parameter, module or instance attribute     R|function   what a function returns
+    E|variable     the elements of what a variable holds                      T|module|n   an expression with several values
+    M|variable|a   attribute a of what it holds (``load`` rows)               C|variable   what calling it gives (``result`` rows)
+
+and references to them have the variable in ``receiver`` and the member's name (none: the value itself is called) in ``name``.
 """
 
 from __future__ import annotations
@@ -23,31 +32,42 @@ BINARY = {"Add": "add", "Sub": "sub", "Mult": "mul", "MatMult": "matmul", "Div":
 COMPARE = {"Lt": "lt", "LtE": "le", "Gt": "gt", "GtE": "ge", "Eq": "eq", "NotEq": "ne"}
 UNARY = {"USub": "neg", "UAdd": "pos", "Invert": "invert", "Not": "bool"}
 FUNCTIONS = {"str": "str", "repr": "repr", "len": "len", "iter": "iter", "next": "next", "bool": "bool", "hash": "hash", "int": "int", "float": "float", "bytes": "bytes", "abs": "abs", "reversed": "reversed", "format": "format", "complex": "complex", "round": "round", "list": "iter", "tuple": "iter", "set": "iter", "sorted": "iter", "sum": "iter", "min": "iter", "max": "iter"}
+CONTAINERS = ("list", "List", "set", "Set", "frozenset", "FrozenSet", "tuple", "Tuple", "deque", "Sequence", "MutableSequence", "Iterable", "Iterator", "Collection", "AsyncIterable", "AsyncIterator", "Generator", "AsyncGenerator", "dict", "Dict", "Mapping", "MutableMapping")
+SAME_ELEMENTS = ("list", "tuple", "set", "frozenset", "sorted", "reversed", "iter")
+ANYTHING = ("typing.Any", "typing.Callable", "collections.abc.Callable", "builtins.object", "builtins.callable")
 LOOPS = ("asyncio.get_running_loop", "asyncio.get_event_loop", "asyncio.new_event_loop", "asyncio.AbstractEventLoop")
 
-ARGUMENT = pa.struct([("position", pa.int32()), ("keyword", pa.string()), ("text", pa.string()), ("target", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+ARGUMENT = pa.struct([("position", pa.int32()), ("keyword", pa.string()), ("text", pa.string()), ("target", pa.string()), ("value", pa.string()), ("holds", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 SCHEMA = pa.schema(
     [
         ("project", pa.string()), ("path", pa.string()), ("fact", pa.string()), ("module", pa.string()), ("is_stub", pa.bool_()), ("name", pa.string()), ("qualified_name", pa.string()),
         ("enclosing", pa.string()), ("expression", pa.string()), ("kind", pa.string()), ("target", pa.string()), ("level", pa.int32()), ("is_async", pa.bool_()), ("decorators", pa.list_(pa.string())),
-        ("bases", pa.list_(pa.string())), ("arguments", pa.list_(ARGUMENT)), ("start", pa.int64()), ("end", pa.int64()), ("line", pa.int32()), ("column", pa.int32()), ("bare_column", pa.int32()),
+        ("bases", pa.list_(pa.string())), ("arguments", pa.list_(ARGUMENT)), ("start", pa.int64()), ("end", pa.int64()), ("line", pa.int32()), ("column", pa.int32()), ("bare_column", pa.int32()), ("receiver", pa.string()),
     ]
 )
 DDL = """project string, path string, fact string, module string, is_stub boolean, name string, qualified_name string, enclosing string, expression string, kind string, target string, level int,
-is_async boolean, decorators array<string>, bases array<string>, arguments array<struct<position int, keyword string, text string, target string, start bigint, end bigint>>,
-start bigint, end bigint, line int, column int, bare_column int"""
+is_async boolean, decorators array<string>, bases array<string>, arguments array<struct<position int, keyword string, text string, target string, value string, holds string, start bigint, end bigint>>,
+start bigint, end bigint, line int, column int, bare_column int, receiver string"""
 
 DEEPEST = 100_000
 _BUILTINS = frozenset(dir(builtins))
 
 
 class Value:
-    """What a name stands for: a dotted name, and whether it is an object of that class or a result of that call."""
+    """What a name stands for: a dotted name, and whether it is an object of that class or a result of that call; or a variable."""
 
-    __slots__ = ("dotted", "made")
+    __slots__ = ("dotted", "made", "var")
 
-    def __init__(self, dotted: str, made: bool = False):
-        self.dotted, self.made = dotted, made
+    def __init__(self, dotted: str, made: bool = False, var: bool = False):
+        self.dotted, self.made, self.var = dotted, made, var
+
+    @property
+    def named(self) -> bool:
+        return not (self.made or self.var)
+
+    @property
+    def holds(self) -> str:
+        return "var" if self.var else "made" if self.made else "named"
 
 
 class Scope:
@@ -55,14 +75,14 @@ class Scope:
         self.parent, self.qualified, self.kind = parent, qualified, kind
         self.names: dict[str, Value | None] = {}
 
-    def find(self, name: str) -> tuple[bool, Value | None]:
+    def find(self, name: str) -> tuple[Scope | None, Value | None]:
         scope: Scope | None = self
         while scope:
             # names of a class body are not seen from the functions inside it
             if name in scope.names and (scope is self or scope.kind != "class"):
-                return True, scope.names[name]
+                return scope, scope.names[name]
             scope = scope.parent
-        return False, None
+        return None, None
 
 
 class Reader:
@@ -75,6 +95,9 @@ class Reader:
         self.star = False
         self.attributes: dict[str, dict[str, Value | None]] = {}
         self.bodies: list[tuple] = []
+        self.comprehended: dict[ast.AST, Scope] = {}
+        self.pending: list[tuple] = []  # what comes into variables, told when all names are known
+        self.told: set[tuple] = set()
 
     # positions
 
@@ -109,6 +132,8 @@ class Reader:
             self.block(tree.body, top, None)
             for body, scope, enclosing in self.bodies:  # grows as functions inside functions are met
                 self.block(body, scope, enclosing)
+            for to, node, scope, each in self.pending:  # grows as expressions with several values are met
+                (self.pour_elements if each else self.pour)(to, node, scope)
             return self.rows
         except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
             return [self.base | {"fact": "syntax_error", "expression": str(error)}]
@@ -130,6 +155,7 @@ class Reader:
     def collect(self, body: list[ast.stmt], scope: Scope) -> None:
         """Names that a scope's statements bind, before anything in it is resolved."""
         for node in body:
+            self.walrus(node, scope)
             match node:
                 case ast.Import():
                     for a in node.names:
@@ -153,15 +179,17 @@ class Reader:
                 case ast.Assign() | ast.AnnAssign():
                     value = node.value
                     named = self.annotation(node.annotation, scope) if isinstance(node, ast.AnnAssign) else None
+                    if isinstance(node, ast.AnnAssign) and not named and isinstance(node.target, ast.Name):
+                        self.holding(self.variable(scope, node.target.id), node.annotation, scope)
                     for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
                         self.bind(t, named or (self.value(value, scope) if value is not None else None), scope, value)
                 case ast.With() | ast.AsyncWith():
                     for item in node.items:
                         if item.optional_vars is not None:
-                            self.bind(item.optional_vars, self.value(item.context_expr, scope), scope, None)
+                            self.bind(item.optional_vars, self.value(item.context_expr, scope), scope, item.context_expr)
                     self.collect(node.body, scope)
                 case ast.For() | ast.AsyncFor():
-                    self.bind(node.target, None, scope, None)
+                    self.each(node.target, node.iter, scope, scope)
                     self.collect(node.body + node.orelse, scope)
                 case ast.If() | ast.While():
                     self.collect(node.body + node.orelse, scope)
@@ -178,11 +206,41 @@ class Reader:
                 case _:
                     pass
 
+    def variable(self, scope: Scope, name: str) -> str:
+        return f"V|{self.own(f'{scope.qualified}.{name}' if scope.qualified else name)}"
+
+    def walrus(self, node: ast.stmt, scope: Scope) -> None:
+        """Names bound inside the expressions of a statement."""
+        todo: list[ast.AST] = [x for x in ast.iter_child_nodes(node) if isinstance(x, ast.expr | ast.withitem)]
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            return
+        while todo:
+            x = todo.pop()
+            if isinstance(x, ast.NamedExpr):
+                self.bind(x.target, self.value(x.value, scope), scope, x.value)
+            if not isinstance(x, ast.Lambda):
+                todo.extend(ast.iter_child_nodes(x))
+
+    def each(self, target: ast.expr, source: ast.expr, scope: Scope, outer: Scope) -> None:
+        """Binds the names of a loop; one name takes the elements of what is looped over."""
+        self.bind(target, None, scope, None)
+        if isinstance(target, ast.Name):
+            self.pending.append((self.variable(scope, target.id), source, outer, True))
+
     def bind(self, target: ast.expr, value: Value | None, scope: Scope, source: ast.expr | None) -> None:
         match target:
             case ast.Name():
                 # "name = None" beside an import (a guarded one, mostly) does not hide it
                 if not (isinstance(source, ast.Constant) and source.value is None and scope.names.get(target.id)):
+                    value = None if value and value.var else value
+                    if value is None:
+                        before = scope.names.get(target.id)
+                        if before and before.made:
+                            self.flow(self.variable(scope, target.id), before)
+                        if source is not None:
+                            self.pending.append((self.variable(scope, target.id), source, scope, False))
+                    elif scope.kind == "module" and value.made:
+                        self.flow(self.variable(scope, target.id), value)  # other modules may import the object
                     scope.names[target.id] = value
             case ast.Tuple() | ast.List():
                 for t in target.elts:
@@ -193,6 +251,9 @@ class Reader:
                 found, owner = scope.find(target.value.id)
                 if found and owner and owner.made and owner.dotted in self.attributes:
                     known = self.attributes[owner.dotted]
+                    if source is not None:
+                        self.pending.append((f"V|{owner.dotted}.{target.attr}", source, scope, False))
+                    value = None if value and value.var else value
                     known[target.attr] = value if target.attr not in known or known[target.attr] is None else known[target.attr]
 
     def annotation(self, node: ast.expr | None, scope: Scope) -> Value | None:
@@ -211,15 +272,96 @@ class Reader:
                 return self.annotation(node.slice, scope)
             case ast.Name() | ast.Attribute():
                 found = self.value(node, scope)
-                return Value(found.dotted, True) if found and not found.made else None
+                return Value(found.dotted, True) if found and found.named and found.dotted not in ANYTHING else None
         return None
 
+    def holding(self, to: str, node: ast.expr | None, scope: Scope) -> None:
+        """The elements that the annotation of a container names."""
+        if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            try:
+                node = ast.parse(node.value, mode="eval").body
+            except SyntaxError:
+                return
+        if isinstance(node, ast.Subscript) and (name := getattr(node.value, "id", getattr(node.value, "attr", None))) in CONTAINERS:
+            inner = node.slice.elts if isinstance(node.slice, ast.Tuple) else [node.slice]
+            value = self.annotation(inner[1 if name in CONTAINERS[-4:] and len(inner) > 1 else 0], scope)
+            if value:
+                self.flow(f"E|{to}", value)
+
+    def tell(self, fact: str, **more) -> None:
+        """A row without a place, once."""
+        key = (fact, *sorted(more.items()))
+        if key not in self.told:
+            self.told.add(key)
+            self.rows.append(self.base | {"fact": fact} | more)
+
+    def flow(self, to: str, value: Value) -> None:
+        self.tell("flow", name=to, kind=value.holds, target=None if value.var else value.dotted, receiver=value.dotted if value.var else None)
+        if value.var:
+            self.tell("flow", name=f"E|{to}", kind="var", receiver=f"E|{value.dotted}")
+
+    def pour(self, to: str, node: ast.expr | None, scope: Scope) -> None:
+        """All that an expression may give flows into a variable."""
+        match node:
+            case None | ast.Constant():
+                pass
+            case ast.BoolOp():
+                for x in node.values:
+                    self.pour(to, x, scope)
+            case ast.IfExp():
+                self.pour(to, node.body, scope)
+                self.pour(to, node.orelse, scope)
+            case ast.NamedExpr() | ast.Await():
+                self.pour(to, node.value, scope)
+            case ast.List() | ast.Tuple() | ast.Set():
+                for x in node.elts:
+                    self.pour(f"E|{to}", x, scope)
+            case ast.Dict():
+                for x in node.values:
+                    self.pour(f"E|{to}", x, scope)
+            case ast.ListComp() | ast.SetComp() | ast.GeneratorExp():
+                self.pour(f"E|{to}", node.elt, self.comprehension(node, scope))
+            case _:
+                if value := self.value(node, scope):
+                    self.flow(to, value)
+
+    def pour_elements(self, to: str, node: ast.expr | None, scope: Scope) -> None:
+        match node:
+            case ast.List() | ast.Tuple() | ast.Set():
+                for x in node.elts:
+                    self.pour(to, x, scope)
+            case ast.ListComp() | ast.SetComp() | ast.GeneratorExp():
+                self.pour(to, node.elt, self.comprehension(node, scope))
+            case ast.Call(func=ast.Attribute(attr="values")) if (value := self.value(node.func.value, scope)) and value.var:
+                self.flow(to, Value(f"E|{value.dotted}", var=True))
+            case _:
+                if (value := self.value(node, scope)) and value.var:
+                    self.flow(to, Value(f"E|{value.dotted}", var=True))
+                elif value and value.made:
+                    self.flow(to, Value(f"E|R|{value.dotted}", var=True))
+
+    def comprehension(self, node: ast.AST, scope: Scope) -> Scope:
+        if node not in self.comprehended:
+            inner = Scope(scope, f"{scope.qualified}.<{self.span(node)[0]}>".lstrip("."), "function")
+            self.comprehended[node] = inner
+            for i, g in enumerate(node.generators):
+                self.each(g.target, g.iter, inner, inner if i else scope)
+        return self.comprehended[node]
+
+    def several(self, node: ast.expr, scope: Scope) -> Value:
+        """A variable for an expression with several values."""
+        to = f"T|{self.module}|{self.span(node)[0]}.{self.span(node)[1]}"
+        if ("several", to) not in self.told:
+            self.told.add(("several", to))
+            self.pending.append((to, node, scope, False))
+        return Value(to, var=True)
+
     def value(self, node: ast.expr | None, scope: Scope) -> Value | None:
         match node:
             case ast.Name():
                 found, value = scope.find(node.id)
                 if found:
-                    return value
+                    return value or Value(self.variable(found, node.id), var=True)
                 if node.id in _BUILTINS:
                     return Value(f"builtins.{node.id}")
                 return Value(self.own(node.id)) if self.star else None
@@ -227,8 +369,12 @@ class Reader:
                 base = self.value(node.value, scope)
                 if not base:
                     return None
+                if base.var:
+                    to = f"M|{base.dotted}|{node.attr}"
+                    self.tell("load", name=to, receiver=base.dotted, expression=node.attr)
+                    return Value(to, var=True)
                 if base.made and base.dotted in self.attributes and node.attr in self.attributes[base.dotted]:
-                    return self.attributes[base.dotted][node.attr]
+                    return self.attributes[base.dotted][node.attr] or Value(f"V|{base.dotted}.{node.attr}", var=True)
                 return Value(f"{base.dotted}.{node.attr}")
             case ast.Call():
                 called = self.value(node.func, scope)
@@ -237,9 +383,22 @@ class Reader:
                     return Value(f"{owner}.super()", True) if owner else None
                 if not called or called.made:
                     return None
+                if called.var:
+                    self.tell("result", name=f"C|{called.dotted}", receiver=called.dotted)
+                    return Value(f"C|{called.dotted}", var=True)
+                if called.dotted == "functools.partial" and node.args:
+                    return self.value(node.args[0], scope)  # calling it calls the function
+                if called.dotted.startswith("builtins.") and called.dotted[9:] in SAME_ELEMENTS and node.args:
+                    inner = self.value(node.args[0], scope)
+                    return inner if inner and inner.var else Value(called.dotted, True)
                 return Value("asyncio.AbstractEventLoop", True) if called.dotted in LOOPS else Value(called.dotted, True)
             case ast.Await() | ast.NamedExpr():
                 return self.value(node.value, scope)
+            case ast.Subscript():
+                base = self.value(node.value, scope)
+                return Value(f"E|{base.dotted}", var=True) if base and base.var else None
+            case ast.BoolOp() | ast.IfExp() | ast.List() | ast.Tuple() | ast.Set() | ast.Dict() | ast.ListComp() | ast.SetComp() | ast.GeneratorExp():
+                return self.several(node, scope)
         return None
 
     def owner(self, scope: Scope | None) -> str | None:
@@ -264,7 +423,7 @@ class Reader:
             decorators.append(self.text(start, end))
             called = d.func if isinstance(d, ast.Call) else d
             value = self.value(called, scope)
-            self.emit("reference", start, end, enclosing=q, expression=decorators[-1], kind="decorator", target=value.dotted if value and not value.made else None, arguments=self.arguments(d, scope) if isinstance(d, ast.Call) else None)
+            self.emit("reference", start, end, enclosing=q, expression=decorators[-1], kind="decorator", target=value.dotted if value and value.named else None, arguments=self.arguments(d, scope) if isinstance(d, ast.Call) else None)
         self.emit("function", at, at + len(node.name.encode()), name=node.name, qualified_name=q, is_async=isinstance(node, ast.AsyncFunctionDef), decorators=decorators, enclosing=scope.qualified if scope.kind == "class" else None)
         for default in [*node.args.defaults, *[x for x in node.args.kw_defaults if x]]:
             self.visit(default, scope, enclosing)
@@ -272,13 +431,41 @@ class Reader:
             return
         inner = Scope(scope, q, "function")
         parameters = [*node.args.posonlyargs, *node.args.args]
+        bound = int(scope.kind == "class" and "staticmethod" not in decorators)
         for p in [*parameters, *node.args.kwonlyargs, *[x for x in (node.args.vararg, node.args.kwarg) if x]]:
             inner.names[p.arg] = self.annotation(p.annotation, scope)
+            if inner.names[p.arg] is None:
+                to = self.variable(inner, p.arg)
+                self.holding(to, p.annotation, scope)
+                if p in parameters[bound:]:
+                    self.tell("parameter", name=to, enclosing=q, expression=p.arg, level=parameters.index(p) - bound)
+                elif p in node.args.kwonlyargs:
+                    self.tell("parameter", name=to, enclosing=q, expression=p.arg)
+                elif p is node.args.vararg:
+                    self.tell("parameter", name=f"E|{to}", enclosing=q, level=-1 - len(parameters) + bound)
         if scope.kind == "class" and parameters and "staticmethod" not in decorators:
             inner.names[parameters[0].arg] = Value(self.own(scope.qualified), "classmethod" not in decorators)
         self.collect(node.body, inner)
+        self.returns(node, inner, scope)
         self.bodies.append((node.body, inner, q))
 
+    def returns(self, node: ast.FunctionDef | ast.AsyncFunctionDef, inner: Scope, scope: Scope) -> None:
+        """What the annotation names, else what the function returns and yields."""
+        to = f"R|{self.own(inner.qualified)}"
+        if value := self.annotation(node.returns, scope):
+            self.flow(to, value)
+            return
+        self.holding(to, node.returns, scope)
+        todo: list[ast.AST] = list(node.body)
+        while todo:
+            x = todo.pop()
+            if isinstance(x, ast.Return):
+                self.pending.append((to, x.value, inner, False))
+            elif isinstance(x, ast.Yield):
+                self.pending.append((f"E|{to}", x.value, inner, False))
+            if not isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef | ast.Lambda):
+                todo.extend(ast.iter_child_nodes(x))
+
     def visit(self, node: ast.AST, scope: Scope, enclosing: str | None) -> None:
         match node:
             case ast.FunctionDef() | ast.AsyncFunctionDef():
@@ -286,7 +473,7 @@ class Reader:
                 return
             case ast.ClassDef():
                 q = f"{scope.qualified}.{node.name}" if scope.qualified else node.name
-                bases = [v.dotted for b in node.bases if (v := self.value(b.value if isinstance(b, ast.Subscript) else b, scope))]
+                bases = [v.dotted for b in node.bases if (v := self.value(b.value if isinstance(b, ast.Subscript) else b, scope)) and not v.var]
                 start, end = self.span(node)
                 self.emit("class", start, end, name=node.name, qualified_name=q, bases=bases, decorators=[self.text(*self.span(d)) for d in node.decorator_list])
                 inner = Scope(scope, q, "class")
@@ -318,7 +505,8 @@ class Reader:
                     start = end - len(node.attr.encode())
                     whole = self.span(node)[0]
                     bare = self.place(whole)[1] if getattr(node, "bare", False) else None
-                    self.emit("reference", start, end, enclosing=enclosing, expression=self.text(whole, end), kind="attribute", target=f"{value.dotted}.{node.attr}", bare_column=bare)
+                    what = {"receiver": value.dotted, "name": node.attr} if value.var else {"target": f"{value.dotted}.{node.attr}"}
+                    self.emit("reference", start, end, enclosing=enclosing, expression=self.text(whole, end), kind="attribute", bare_column=bare, **what)
             case ast.BinOp():
                 name = BINARY[type(node.op).__name__]
                 self.implicit(node, node.left, name, scope, enclosing)
@@ -355,6 +543,8 @@ class Reader:
                 self.implicit(node, node.operand, UNARY[type(node.op).__name__], scope, enclosing)
             case ast.Expr(value=ast.Attribute()):
                 node.value.bare = True
+            case ast.ListComp() | ast.SetComp() | ast.GeneratorExp() | ast.DictComp():
+                scope = self.comprehension(node, scope)
             case _:
                 pass
         if isinstance(node, ast.Call):
@@ -381,9 +571,10 @@ class Reader:
 
     def implicit(self, node: ast.AST, receiver: ast.expr, method: str, scope: Scope, enclosing: str | None) -> None:
         value = self.value(receiver, scope)
-        if value and value.made:
+        if value and not value.named:
             start, end = self.span(node)
-            self.emit("reference", start, end, enclosing=enclosing, expression=self.text(start, end), kind="implicit", target=f"{value.dotted}.__{method}__")
+            what = {"receiver": value.dotted, "name": f"__{method}__"} if value.var else {"target": f"{value.dotted}.__{method}__"}
+            self.emit("reference", start, end, enclosing=enclosing, expression=self.text(start, end), kind="implicit", **what)
 
     def arguments(self, node: ast.Call, scope: Scope) -> list[dict]:
         out = []
@@ -400,7 +591,9 @@ class Reader:
         if isinstance(node, ast.Call) and (v := self.value(node.func, scope)) and v.dotted == "functools.partial" and node.args:
             named = node.args[0]
         value = self.value(named, scope) if isinstance(named, ast.Name | ast.Attribute) else None
-        return {"position": position, "keyword": keyword, "text": self.text(start, end), "target": value.dotted if value and not value.made else None, "start": start, "end": end}
+        target = value.dotted if value and value.named else None
+        value = value or self.value(node, scope)
+        return {"position": position, "keyword": keyword, "text": self.text(start, end), "target": target, "value": value.dotted if value else None, "holds": value.holds if value else None, "start": start, "end": end}
 
     def call(self, node: ast.Call, scope: Scope, enclosing: str | None) -> None:
         start, end = self.span(node)
@@ -408,9 +601,15 @@ class Reader:
         value = self.value(node.func, scope)
         arguments = self.arguments(node, scope)
         if value and value.made:
-            self.emit("reference", start, end, enclosing=enclosing, expression=text, kind="implicit", target=f"{value.dotted}.__call__")
+            self.emit("reference", start, end, enclosing=enclosing, expression=text, kind="implicit", target=f"{value.dotted}.__call__", arguments=arguments)
+            return
+        if value and value.var:
+            member = isinstance(node.func, ast.Attribute)
+            receiver = self.value(node.func.value, scope).dotted if member else value.dotted
+            self.emit("reference", start, end, enclosing=enclosing, expression=text, kind="call", receiver=receiver, name=node.func.attr if member else None, arguments=arguments)
             return
-        self.emit("reference", start, end, enclosing=enclosing, expression=text, kind="call", target=value.dotted if value else None, arguments=arguments)
+        made = isinstance(node.func, ast.Attribute) and (base := self.value(node.func.value, scope)) is not None and base.made
+        self.emit("reference", start, end, enclosing=enclosing, expression=text, kind="call", target=value.dotted if value else None, arguments=arguments, level=int(made))
         if value and value.dotted.startswith("builtins.") and node.args and (method := FUNCTIONS.get(value.dotted[9:])):
             self.implicit(node, node.args[0], method, scope, enclosing)
 

@@ -467,3 +467,167 @@ project("non_ascii", "== main.py\nimport os\nasync def f():\n    straße, 名 =
 project("boundary", "== main.py\nimport os\ndef low():\n    os.stat('x')\ndef mid():\n    return low()\nasync def f():\n    return mid()  #~ 002@12 f > mid > low > os.stat\n", config='intervention_strategy = "async-boundary"\nseverity = "warning"\n')
 project("bad_strategy", "== main.py\nx = 1\n", config='intervention_strategy = "shallowest"\n', code=2)
 project("no_sources", "== src/gone.py\nx = 1\n", config='src_roots = ["src"]\nexclude = ["src/**"]\n', code=3)
+
+project(
+    "handed_over",  # receivers that only the callers' arguments tell
+    """
+== main.py
+import functools
+import shutil
+import socket
+
+class Shelf:
+    @property
+    def books(self):
+        return listing()
+
+    def __str__(self):
+        return listing()
+
+    def __len__(self):
+        return 3
+
+def listing():
+    return shutil.rmtree("/")
+
+def count(shelf):
+    return shelf.books  #~ 003@18 evening > count > Shelf.books > listing > shutil.rmtree
+
+def label(shelf):
+    return str(shelf)  #~ 004@12 morning > label > Shelf.__str__ > listing > shutil.rmtree
+
+async def evening():
+    mine = Shelf()
+    count(mine)
+
+async def morning():
+    mine = Shelf()
+    label(mine)
+""",
+)
+project(
+    "passed_on",  # through several calls, results, attributes, elements, alternatives and other modules
+    """
+== gear.py
+import os
+
+class Wheel:
+    def __init__(self, hub=None):
+        self.hub = hub
+
+    @property
+    def spokes(self):
+        return os.listdir("/spokes")
+
+    def turn(self):
+        os.system("turn")  #~ 002@9 other_module > gear.Wheel.turn > os.system | 002@9 results > gear.Wheel.turn > os.system | 002@9 through_calls > outer > inner > gear.Wheel.turn > os.system
+
+def spare() -> Wheel:
+    return Wheel()
+
+def either(flag):
+    if flag:
+        return Wheel()
+    return None
+
+shared = Wheel()
+
+class Hub:
+    def grease(self):
+        os.system("grease")  #~ 002@9 attribute > greased > gear.Hub.grease > os.system
+
+== main.py
+import functools
+import time
+import gear
+
+def inner(thing):
+    thing.turn()
+
+def outer(thing):
+    inner(thing)
+
+def call(job, *more):
+    job()
+    for one in more:
+        one(2)  #~ 002@9 functions > call > time.sleep
+
+def greased(wheel):
+    wheel.hub.grease()
+
+async def through_calls():
+    outer(gear.spare())
+
+async def chooses(x):
+    y = x or gear.Wheel()
+    return [y.spokes]  #~ 003@15 chooses > gear.Wheel.spokes > os.listdir
+
+async def elements():
+    wheels = [gear.Wheel(), gear.Wheel()]
+    [w.spokes for w in wheels]  #~ 003@8 elements > gear.Wheel.spokes > os.listdir
+
+async def results():
+    gear.either(1).turn()
+    gear.spare().turn()
+
+async def other_module():
+    gear.shared.turn()
+
+async def functions():
+    call(nap, time.sleep)
+
+async def bound():
+    if (doze := nap):
+        doze()
+    functools.partial(nap)()
+
+async def attribute():
+    greased(gear.Wheel(hub=gear.Hub()))
+
+def nap():
+    time.sleep(1)  #~ 002@5 bound > nap > time.sleep | 002@5 functions > call > nap > time.sleep
+""",
+)
+project(
+    "nothing_known",  # values that nobody hands over, and members that their classes lack, give nothing
+    """
+== main.py
+import os
+
+class Loud:
+    def shout(self):
+        os.system("shout")
+
+    @property
+    def volume(self):
+        return os.stat("/volume").st_size
+
+class Quiet:
+    def shout(self):
+        return ""
+
+    volume = 3
+
+def tell(speaker):
+    speaker.shout()
+    return speaker.volume
+
+def never(speaker):
+    speaker.shout()
+
+def swap(first, second):
+    return second
+
+async def hush(unknown):
+    tell(Quiet())
+    unknown.shout()
+    unknown.volume
+    swap(Loud(), Quiet()).shout()
+    tell(unknown.other())
+
+async def loud():
+    keep = Loud()
+    keep = len("x")
+    return keep
+""",
+)

@@ -1,3 +1,4 @@
+import heapq
 import random
 
 import pytest
@@ -112,3 +113,61 @@ def test_text_functions(spark):
     assert value(T.relative_path(F.lit("/a/b\\c.py"), F.lit("/a/"))) == "b/c.py"
     assert value(T.storage_key(F.lit("a/b"))) != value(T.storage_key(F.lit("a_b")))
     assert value(T.stem(F.lit("a/b.c.py"))) == "b.c"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_topological_order_is_that_of_a_heap(spark, seed):
+    r = random.Random(seed)
+    n = 40
+    rank = list(range(n))
+    r.shuffle(rank)
+    edges = {(a, b) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(60)) if rank[a] < rank[b]}
+    waits = {v: sum(b == v for _, b in edges) for v in range(n)}
+    heap, want = [v for v in waits if not waits[v]], []
+    heapq.heapify(heap)
+    while heap:
+        want.append(heapq.heappop(heap))
+        for b in (b for a, b in edges if a == want[-1]):
+            waits[b] -= 1
+            if not waits[b]:
+                heapq.heappush(heap, b)
+    frame = spark.createDataFrame(sorted(edges), "src long, dst long")
+    got = {x["position"]: x["id"] for x in graph.topological_order(spark.range(n), frame).collect()}
+    assert [got[i] for i in range(n)] == want
+
+
+def test_topological_order_of_a_falling_chain_and_a_cycle(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(12, 0, -1)], "src long, dst long")
+    assert {x["id"]: x["position"] for x in graph.topological_order(spark.range(13), chain).collect()} == {12 - i: i for i in range(13)}
+    assert graph.topological_order(spark.range(0), chain.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        graph.topological_order(spark.range(13), chain.union(spark.createDataFrame([(0, 12)], "src long, dst long"))).collect()
+
+
+def test_contained_sweep(spark):
+    """Against all pairs, with one hot key, ties and null keys."""
+    r = random.Random(4)
+    ranges = [(r.choice(("hot", "hot", "hot", "x", None)), a := r.randrange(300), a + r.randrange(40)) for _ in range(200)]
+    points = [(i, r.choice(("hot", "hot", "hot", "x", "y", None)), a := r.randrange(300), a + r.randrange(20)) for i in range(300)]
+    got = joins.contained(spark.createDataFrame(points, "i int, k string, p int, q int"), spark.createDataFrame(ranges, "k string, a int, b int"), ["k"], ("p", "q"), ("a", "b"))
+    assert {(x["i"], x["inside"]) for x in got.collect()} == {(i, k is not None and any(k == m and a <= p and q <= b for m, a, b in ranges)) for i, k, p, q in points}
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_last_before(spark, strict):
+    r = random.Random(6)
+    right = [(r.choice(("hot", "hot", "x", None)), r.randrange(200), r.randrange(9)) for _ in range(150)]
+    left = [(i, r.choice(("hot", "hot", "x", "y", None)), r.randrange(200)) for i in range(200)]
+    got = joins.last_before(spark.createDataFrame(left, "i int, k string, p int"), spark.createDataFrame(right, "k string, a int, v int"), ["k"], "p", "a", "v", "last", strict)
+    want = set()
+    for i, k, p in left:
+        fits = [(a, v) for m, a, v in right if k is not None and m == k and (a < p or (a == p and not strict))]
+        if fits:
+            want.add((i, max(fits)[1]))
+    assert {(x["i"], x["last"]) for x in got.collect()} == want
+
+
+def test_running_values_cross_ranges(spark):
+    rows = spark.createDataFrame([("k", i, i if i % 50 == 0 else None) for i in range(1000)], "k string, o int, v int")
+    got = windows.running(rows, ["k"], ["o"], "v", "last", last=True)
+    assert all(x["last"] == x["o"] // 50 * 50 for x in got.collect())
