@@ -117,8 +117,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    planned = plan(docs, [F.col("doc_id")], F.col("source"), F.col("size"))
+    # the text's hash tells rows without an id, or with a repeated one, apart: they spread over the buckets
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")))
+    planned = plan(docs, [F.col("doc_id"), F.col("text_hash")], F.col("source"), F.col("size"))
     return planned.select(
         "doc_id",
         "size",

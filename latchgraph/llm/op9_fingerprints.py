@@ -5,8 +5,8 @@ shingles (words lower-cased A-Z; fewer than five words make one shingle), writte
 Fingerprints of parts merge into that of the whole, and estimate resemblance, containment and the
 number of distinct shingles; with up to ``SIZE`` shingles all three are exact.
 
-The query needs each document's successor by doc_id.  Documents go to id ranges cut at quantiles of
-doc_id; the first document of each range is sent to the range before as well, so texts are shuffled
+The query needs each document's successor by doc_id.  Documents go to ranges of (doc_id, text hash): ids are cut at
+quantiles, and ids with very many rows, or rows without an id, are split by the hash (only rows equal in both stay together).  The first document of each range is sent to the range before as well, so texts are shuffled
 once and every pair of neighbours meets in one sorted partition.
 
 Defined cases: a null or empty text has the empty fingerprint; two empty fingerprints are alike (1),
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,13 +100,22 @@ def fingerprint(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def _ranged(docs: DataFrame, ranges: int) -> DataFrame:
     """Adds __range and __ahead (true for a copy of the next range's first row); the order of keys wraps around."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__h", F.xxhash64("text"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
+    found = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges), F.count("*"), F.count("doc_id")).first()
+    # an id that is several quantiles at once has as many ranges, and so have rows without an id: they are split by their text's hash
+    cuts = sorted(Counter(found[0] or []).items())
+    limits = [c for c, _ in cuts]
+    widths = [1, *(m for _, m in cuts)]
+    bases = [sum(widths[:i]) for i in range(len(widths))]
+    nulls = max(1, math.ceil((found[1] - found[2]) * ranges / max(1, found[1])))
+    part = F.col("__h") / float(1 << 64) + 0.5  # where the hash lies between the least and the greatest
+    split = lambda m: F.least(F.floor(part * m), m - 1)
     # the number of cuts at or below an id, by a search over a literal of at most `ranges` numbers
-    limits = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    number = F.when(F.col("doc_id").isNull(), len(cuts) + 1)
-    number = number.otherwise(F.size(F.filter(limits, lambda x: x <= F.col("doc_id"))) if cuts else 0)
-    rows = rows.withColumn("__range", number)
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in limits]), lambda x: x <= F.col("doc_id"))) if limits else F.lit(0)
+    rows = rows.withColumn("__at", at)
+    width = F.get(F.array(*[F.lit(m) for m in widths]), F.col("__at"))
+    inner = F.when(F.get(F.array(*[F.lit(c) for c in limits]), F.col("__at") - 1) == F.col("doc_id"), split(width)).otherwise(width - 1) if limits else F.lit(0)
+    number = F.when(F.col("doc_id").isNull(), sum(widths) + split(F.lit(nulls))).otherwise(F.get(F.array(*[F.lit(b) for b in bases]), F.col("__at")) + inner).cast("int")
+    rows = rows.withColumn("__range", number).drop("__at")
     key = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__h")
     heads = rows.groupBy("__range").agg(F.min(key).alias("k")).orderBy("__range").collect()
     if not heads:

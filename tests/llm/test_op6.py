@@ -100,3 +100,14 @@ def test_mix_documents(docs, empty):
 def test_no_python_in_plan(docs, capsys):
     mixed(docs).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_rows_without_ids_spread(spark, tmp_path):
+    """A third of all rows has no id: the query's keys tell them apart, and the source's target is met."""
+    rows = [(None if i % 3 else i, f"word{i} " * (1 + i % 7), "src0") for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op.op6(spark, str(tmp_path)).collect()
+    assert len(got) == 900
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 7
+    hashes = spark.createDataFrame(rows, "doc_id long, text string, source string").select(F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text")), 59).alias("b"))
+    assert hashes.groupBy("b").count().agg({"count": "max"}).first()[0] < 90

@@ -4,6 +4,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from latchgraph.llm import op9_fingerprints as op
 
@@ -63,3 +64,17 @@ def test_one_row_and_empty(spark, empty):
     [r] = op.compare_with_edits(one).collect()
     assert r["near_next"] == 1.0
     assert op.compare_with_edits(empty).count() == 0
+
+
+def test_rows_without_ids_and_hot_ids(spark):
+    """A third has no id and a third has one id: they spread over ranges, and everyone still meets its successor."""
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"text number {i} has some words of its own {i * i}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    placed = op._ranged(frame, 16).filter("not __ahead")
+    assert placed.groupBy("__range").count().agg({"count": "max"}).first()[0] < 120
+    order = [r["text"] for r in frame.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy(F.col("doc_id").asc_nulls_last(), "h").collect()]
+    want = []
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        m = len(a) // 4
+        want.append(hashlib.sha256((a[: len(a) - m] + b[:m]).encode()).hexdigest())
+    assert sorted(r["edited_sha256"] for r in op.compare_with_edits(frame).collect()) == sorted(want)
