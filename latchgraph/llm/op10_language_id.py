@@ -2,8 +2,8 @@
 
 Character 1- to 3-grams of the lower-cased text (everything that is not a letter is one separator) are
 hashed into ``DIMENSIONS`` features.  Document frequencies come from every training document.  The
-regression itself is fitted on a bounded sample - at most ``per_lang`` distinct documents of each language,
-the first in hash order of id, language and text - by follow-the-regularised-leader with L1 and L2 penalties; a fifth of the sample
+regression itself is fitted on a bounded sample - at most ``per_lang`` distinct documents of each of the ``max_langs`` commonest
+languages, the first in hash order of id, language and text - by follow-the-regularised-leader with L1 and L2 penalties; a fifth of the sample
 is kept for the temperature that calibrates the probabilities.
 
 Defined cases: a null text or one without letters gives ``und`` with score 0, as does every text when
@@ -30,6 +30,7 @@ from ._words import U, mix, pieces
 BITS = 14
 DIMENSIONS = 1 << BITS
 PER_LANG = 500
+MAX_LANGS = 256
 UNDETERMINED = "und"
 _PIECE = 1 << 18
 
@@ -154,10 +155,13 @@ def _document_frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def fit(training: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """``training`` has doc_id, text and lang (not null); None if no text of it has letters."""
+def fit(training: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model | None:
+    """``training`` has doc_id, text and lang (not null); None if no text of it has letters.
+
+    The ``max_langs`` commonest languages are learned, each from at most ``per_lang`` documents.
+    """
     order = F.xxhash64("doc_id", "lang", "text")
-    counts = training.groupBy("lang").agg(F.approx_count_distinct(order, 0.02).alias("n")).collect()
+    counts = training.groupBy("lang").agg(F.approx_count_distinct(order, 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     if not counts:
         return None
     # hashes spread evenly, so a limit on them bounds the distinct rows that it leaves, wherever they are

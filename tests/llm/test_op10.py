@@ -110,3 +110,11 @@ def test_temperature_is_the_best_of_a_grid():
 
     assert loss(t) <= min(loss(x) for x in np.exp(np.linspace(-2.5, 2.5, 200))) + 2e-3
     assert op._temperature(np.zeros((0, 3)), np.zeros(0, int)) == pytest.approx(1.0)
+
+
+def test_only_the_commonest_languages_are_learned(spark):
+    """Hundreds of values that stand in few rows each leave the sample bounded."""
+    rows = [(i, "the of and", "en") for i in range(30)] + [(100 + i, "der und ein", "de") for i in range(20)] + [(1000 + i, f"junk {i}", f"x{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op.fit(docs, max_langs=2)
+    assert model.langs == ["de", "en"]
