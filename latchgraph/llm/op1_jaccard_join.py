@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ..session import sized
 from ._components import components
-from ._exchange import bucket_of, firsts, layout, pack, pack_rising, spans, unpack, unpack_rising
-from ._tables import cut, drop_shuffles, partitions, table
+from ._exchange import BUCKET_BYTES, CHUNK_BYTES, bucket_of, firsts, layout, pack, pack_rising, spans, unpack, unpack_rising
+from ._tables import cut, partitions, table
 from ._words import U, Words, mix, pieces
 
 SHINGLE = 3
@@ -353,10 +353,14 @@ def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(held: DataFrame, labels: DataFrame, tested: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs of sets in different components that may link: lists of single shingles, rarest first."""
+    """Pairs of sets in different components that may link: lists of single shingles, rarest first.
+
+    Chunks of sets and buckets of shingles grow in number with the shingles of the sets, so what one task holds does not.
+    """
     n = partitions(held.sparkSession)
-    dealt = held.select("key", "n", "value").withColumn("__chunk", F.pmod(F.xxhash64("key"), F.lit(2 * n)).cast("int")).repartition(n, "__chunk")
-    buckets = n
+    size = 8 * (held.agg(F.sum("n")).first()[0] or 0)
+    chunks, buckets = max(2 * n, math.ceil(size / CHUNK_BYTES)), max(n, math.ceil(size / BUCKET_BYTES[0]))
+    dealt = held.select("key", "n", "value").withColumn("__chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int")).repartition(n, "__chunk")
 
     def values_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         parts = [np.frombuffer(x, np.uint64) for x in rows.column("value").to_pylist()]
@@ -426,7 +430,6 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tup
     sizes = {r["n"]: r["c"] for r in sets.filter(f"n > 0 and n <= {most}").groupBy("n").agg(F.count("*").alias("c")).collect()}
     scheme = scheme.choose(sizes)
     found = cut(_stars(docs, sets, shingle, scheme))
-    drop_shuffles(docs.sparkSession)
     ends = lambda frame: frame.select(F.col("x").alias("key")).union(frame.select(F.col("y").alias("key"))).distinct()
     near = found.filter("near").select("x", "y")
     counts = cut(_picked(docs, ends(near), shingle, False))
@@ -434,12 +437,9 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tup
     # all pairs of short lists are among ``near``; those of long lists are left to single shingles
     crowd = cut(ends(found.filter("long")))
     held = cut(_picked(docs, ends(near).union(crowd).distinct(), shingle, True))
-    drop_shuffles(docs.sparkSession)
     links = cut(verify(sized(near, 200_000), held, percent))
-    drop_shuffles(docs.sparkSession)
     labels = components(links)
     across = cut(_across(held.join(sized(crowd, 200_000), "key", "left_semi"), labels, near, scheme))
-    drop_shuffles(docs.sparkSession)
     more = cut(verify(sized(across, 200_000), held, percent))
     if more.limit(1).count():
         labels = components(links.union(more))
