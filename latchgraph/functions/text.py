@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_LEADING = r"^(?U)\s+"
+_TRIMMED = r"(?U)^\s+|\s+$"
+
 
 def qualify(scope: Column, name: Column) -> Column:
     """``scope.name``, or ``name`` where there is no scope."""
@@ -138,3 +141,43 @@ def error_number(chain: Column) -> Column:
     """1 direct, 2 transitive, 3 property, 4 implicit call: the first special edge of a chain decides."""
     special = F.get(F.filter(chain, lambda x: x["edge_kind"].isin("PropertyAccess", "ImplicitDunder")), F.lit(0))
     return F.when(special["edge_kind"] == "PropertyAccess", 3).when(special["edge_kind"] == "ImplicitDunder", 4).when(F.size(chain) == 1, 1).otherwise(2)
+
+
+def split_arguments(args: Column) -> Column:
+    """The parts of an argument list as structs of text, start and end (bytes, trimmed; nothing follows a comma at the very end).
+
+    Commas outside all brackets part; brackets of the three kinds count alike, a closing one too many counts for nothing, and
+    quotes have no meaning: a comma inside a string parts as well.  One pass over the characters with the depth and the beginning of the part.
+    """
+    characters = F.split(args, "")
+    size = F.length(args)
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("cuts"))
+
+    def step(s: Column, c: Column) -> Column:
+        parts = (c == ",") & (s["depth"] == 0)
+        depth = F.when(c.isin("(", "[", "{"), s["depth"] + 1).when(c.isin(")", "]", "}"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        cuts = F.when(parts, F.array_append(s["cuts"], F.struct(s["begin"].alias("begin"), s["at"].alias("end")))).otherwise(s["cuts"])
+        return F.struct(depth.alias("depth"), F.when(parts, s["at"] + 1).otherwise(s["begin"]).alias("begin"), (s["at"] + 1).alias("at"), cuts.alias("cuts"))
+
+    def finish(s: Column) -> Column:
+        rest = F.array_append(s["cuts"], F.struct(s["begin"].alias("begin"), s["at"].alias("end")))
+        return F.when(s["begin"] < s["at"], rest).otherwise(s["cuts"])
+
+    def placed(x: Column) -> Column:
+        raw = F.substr(args, x["begin"] + 1, x["end"] - x["begin"])
+        text = F.regexp_replace(raw, _TRIMMED, "")
+        before = F.octet_length(F.substr(args, F.lit(1), x["begin"])) + F.octet_length(raw) - F.octet_length(F.regexp_replace(raw, _LEADING, ""))
+        return F.struct(text.alias("text"), before.alias("start"), (before + F.octet_length(text)).alias("end"))
+
+    return F.transform(F.aggregate(F.when(size > 0, characters).otherwise(F.array().cast("array<string>")), state, step, finish), placed)
+
+
+def argument_ranges(expression: Column, start: Column) -> Column:
+    """The arguments of a call expression as structs of text, start and end in the file, where the expression begins at ``start``; empty ones go.
+
+    The list lies between the first opening bracket and the end, without a closing bracket there."""
+    opening = F.instr(expression, "(")
+    inner = F.regexp_replace(F.substr(expression, opening + 1), "[)]$", "")
+    base = start + F.octet_length(F.substr(expression, F.lit(1), opening))
+    moved = F.transform(F.filter(split_arguments(inner), lambda x: x["text"] != ""), lambda x: F.struct(x["text"].alias("text"), (base + x["start"]).cast("long").alias("start"), (base + x["end"]).cast("long").alias("end")))
+    return F.when(opening > 0, moved).otherwise(F.filter(moved, lambda x: F.lit(False)))

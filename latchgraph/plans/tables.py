@@ -547,3 +547,37 @@ def so08_topological_order(spark, d):
     """Again and again the least part that is ready."""
     up = surrogate.edges(spark, d).filter(F.expr(_MIXED.replace("id", "src")) < F.expr(_MIXED.replace("id", "dst")))
     return graph.topological_order(surrogate.nodes(spark, d), up)
+
+
+#: An argument list for every part: brackets, commas and quotes stand where the part's columns say.
+_ARGUMENTS_SQL = """SELECT p_partkey, p_size, substr('([{', (p_size % 3 + 1)::INT, 1) || p_name || CASE WHEN p_size % 4 = 0 THEN ', ' ELSE substr(')]}', (p_partkey % 3 + 1)::INT, 1) || ' ,  ' END || 'f(' || p_type || ',' || p_brand || ')' ||
+  CASE p_partkey % 5 WHEN 0 THEN ', "a,' || p_size || '"' WHEN 1 THEN ',,é=' || p_size WHEN 2 THEN ')' || ',x ' ELSE '' END AS args FROM part"""
+_SCANNED_SQL = f"""lists AS ({_ARGUMENTS_SQL}),
+characters AS (SELECT p_partkey, p_size, args, unnest(string_split(args, '')) AS c, generate_subscripts(string_split(args, ''), 1) AS i FROM lists),
+steps AS (SELECT *, sum(CASE WHEN c IN ('(', '[', '{{') THEN 1 WHEN c IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) AS s FROM characters),
+depths AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY p_partkey ORDER BY i)) AS depth FROM steps),
+parts AS (SELECT *, count(*) FILTER (WHERE c = ',' AND depth = 0) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part, c = ',' AND depth = 0 AS cut FROM depths),
+raws AS (SELECT p_partkey, p_size, part, string_agg(c, '' ORDER BY i) FILTER (WHERE NOT cut) AS raw, min(i) AS first, any_value(args) AS args FROM parts GROUP BY 1, 2, 3),
+found AS (SELECT p_partkey, p_size, trim(raw) AS text, (strlen(left(args, (first - 1)::INT)) + strlen(raw) - strlen(ltrim(raw)))::BIGINT AS start FROM raws WHERE trim(coalesce(raw, '')) <> '')"""
+
+
+def _argument_lists(spark, d):
+    pick = lambda signs, n: F.substr(F.lit(signs), (n % 3 + 1).cast("int"), F.lit(1))
+    size = F.col("p_size").cast("string")
+    tail = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(', "a,'), size, F.lit('"'))).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit(",,é="), size)).when(F.col("p_partkey") % 5 == 2, F.lit("),x ")).otherwise("")
+    middle = F.when(F.col("p_size") % 4 == 0, F.lit(", ")).otherwise(F.concat(pick(")]}", F.col("p_partkey")), F.lit(" ,  ")))
+    args = F.concat(pick("([{", F.col("p_size")), "p_name", middle, F.lit("f("), "p_type", F.lit(","), "p_brand", F.lit(")"), tail)
+    return read(spark, d, "part").select("p_partkey", "p_size", args.alias("args"))
+
+
+@query(f"WITH {_SCANNED_SQL} SELECT p_partkey, trim(coalesce(raw, '')) AS text, part AS position FROM raws")
+def sc06_split_arguments(spark, d):
+    return _argument_lists(spark, d).select("p_partkey", F.posexplode(T.split_arguments(F.col("args"))).alias("position", "a")).select("p_partkey", F.col("a.text").alias("text"), F.col("position").cast("long").alias("position"))
+
+
+@query(f"WITH {_SCANNED_SQL} SELECT p_partkey, text, start + p_size + 7 AS first, start + p_size + 7 + strlen(text) AS last FROM found")
+def sc07_argument_ranges(spark, d):
+    """Of calls that stand ``p_size`` and one bytes into their files."""
+    calls = _argument_lists(spark, d).withColumn("call", F.concat(F.lit("rsult("), "args", F.lit(")")))
+    ranges = T.argument_ranges(F.col("call"), F.col("p_size") + 1)
+    return calls.select("p_partkey", F.explode(ranges).alias("a")).select("p_partkey", F.col("a.text").alias("text"), F.col("a.start").alias("first"), F.col("a.end").alias("last"))

@@ -30,7 +30,7 @@ def _remote(where: str) -> bool:
     return "://" in where
 
 
-def _delete(spark: SparkSession, where: str) -> None:
+def delete(spark: SparkSession, where: str) -> None:
     if _remote(where):
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -67,7 +67,7 @@ def _load(spark: SparkSession, where: str, name: str) -> DataFrame | None:
 
 
 def clear(where: str) -> None:
-    _delete(SparkSession.active(), where)
+    delete(SparkSession.active(), where)
 
 
 def digests(files: DataFrame) -> DataFrame:
@@ -114,4 +114,4 @@ def store(where: str, wanted: str, files: DataFrame, found: DataFrame, diagnosti
         frame.write.mode("overwrite").parquet(f"{where}/{wanted}/{name}")
     _switch(spark, where, wanted)
     if before not in (None, wanted):
-        _delete(spark, f"{where}/{before}")
+        delete(spark, f"{where}/{before}")

@@ -171,3 +171,34 @@ def test_running_values_cross_ranges(spark):
     rows = spark.createDataFrame([("k", i, i if i % 50 == 0 else None) for i in range(1000)], "k string, o int, v int")
     got = windows.running(rows, ["k"], ["o"], "v", "last", last=True)
     assert all(x["last"] == x["o"] // 50 * 50 for x in got.collect())
+
+
+def scanned(args):
+    """Parts of an argument list in a loop over its characters."""
+    parts, depth, begin = [], 0, 0
+    for i, c in enumerate(args):
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth = max(0, depth - 1)
+        elif c == "," and not depth:
+            parts.append((begin, i))
+            begin = i + 1
+    if begin < len(args):
+        parts.append((begin, len(args)))
+    out = []
+    for a, b in parts:
+        raw = args[a:b]
+        start = len(args[:a].encode()) + len(raw.encode()) - len(raw.lstrip().encode())
+        out.append((raw.strip(), start, start + len(raw.strip().encode())))
+    return out
+
+
+def test_argument_scanner(spark):
+    r = random.Random(2)
+    texts = ["", ",", " a , (b, c", "x),y", '"a,b",[1,{2,3}]', "é , ü,"] + ["".join(r.choice("ab,,()[]{} \"é\t") for _ in range(r.randint(1, 30))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, args string")
+    got = frame.select("i", T.split_arguments(F.col("args")).alias("a"), T.argument_ranges(F.concat(F.lit("é("), "args", F.lit(")")), F.lit(10)).alias("b")).collect()
+    for x in got:
+        assert [tuple(a) for a in x["a"]] == scanned(texts[x["i"]])
+        assert [tuple(b) for b in x["b"]] == [(t, a + 13, b + 13) for t, a, b in scanned(texts[x["i"]]) if t]

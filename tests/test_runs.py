@@ -64,4 +64,9 @@ def test_watch(spark, tmp_path):
     watch(spark, str(arriving), [config], str(tmp_path / "state"), note).awaitTermination()
     (arriving / "2.json").write_text(json.dumps({"project": "p", "path": "main.py", "text": "async def job():\n    pass\n"}) + "\n")
     watch(spark, str(arriving), [config], str(tmp_path / "state"), note).awaitTermination()
-    assert seen == [1, 0]
+    # of two versions in one batch the last one counts, and older states go
+    lines = [{"project": "p", "path": "main.py", "text": t} for t in ("async def job():\n    pass\n", BLOCKING, "x = 1\n", BLOCKING)]
+    (arriving / "3.json").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    watch(spark, str(arriving), [config], str(tmp_path / "state"), note).awaitTermination()
+    assert seen == [1, 0, 1]
+    assert sorted(x.name for x in (tmp_path / "state").iterdir() if x.name.isdigit()) == ["000000000001", "000000000002"]
