@@ -11,7 +11,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 from .windows import dense_ids
 
 FEW, STEPS = 50_000, 4
@@ -69,6 +69,28 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, link: Column, name: Column,
     return found
 
 
+def shortest_paths(nodes: DataFrame, edges: DataFrame, link: Column, keys: list[str] | None = None) -> DataFrame:
+    """(keys.., node, root, chain): of each node that blocks the first of its blocking paths by length, root and chain.
+
+    Nodes are reached in rounds of equal length, and the first path of a node is a link in front of the first path of a node of the round before; it
+    never repeats a node.  A node keeps one path, so the work is linear in the edges however many paths there are.  ``nodes``,
+    ``edges`` and ``link`` are as for ``simple_paths``; seeds have empty chains.
+    """
+    keys = keys or []
+    never = nodes.filter(F.col("status") == NEVER).select(*keys, F.col("id").alias("src"))
+    usable = cut(edges.filter(~F.col("protected")).join(never, [*keys, "src"], "left_anti").select(*keys, "src", F.col("dst").alias("node"), link.alias("__link")).distinct())
+    kind = usable.select(F.array("__link").alias("chain")).schema["chain"].dataType
+    found = last = written(nodes.filter(F.col("status") == KNOWN).select(*keys, F.col("id").alias("node"), F.col("id").alias("root"), F.array().cast(kind).alias("chain")))
+    while True:
+        step = usable.join(last, [*keys, "node"]).select(*keys, F.col("src").alias("node"), "root", F.concat(F.array("__link"), F.col("chain")).alias("chain"))
+        new = step.join(found.select(*keys, "node"), [*keys, "node"], "left_anti")
+        best = new.groupBy(*keys, "node").agg(F.min(F.struct("root", "chain")).alias("__best"))
+        last = written(best.select(*keys, "node", "__best.root", "__best.chain"))
+        if _empty(last):
+            return found
+        found = found.unionByName(last)
+
+
 def reachable(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys.., id, status) with statuses spread backwards along unprotected edges; linear in the edges per round."""
     keys = keys or []

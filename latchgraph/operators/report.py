@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EDGE_KINDS, callee, display_name, error_number
@@ -14,7 +14,7 @@ from ..session import cut, small
 from ..sources.builtin import rows
 from ..sources.config import Config
 from .callgraph import NO_THREADS, CallGraph
-from .graph import NEVER, simple_paths, strongly_connected
+from .graph import NEVER, shortest_paths, simple_paths, strongly_connected
 
 # fixed values: texts of diagnostics
 DIRECT = "Direct blocking call to '%s' in async function '%s'"
@@ -30,8 +30,8 @@ HELP = (
 NO_THREAD = "asyncio.to_thread is unavailable for configured python_version %s; executor protection was not applied"
 
 
-def reasons(graph: CallGraph, max_length: int | None = None, max_paths: int | None = None) -> DataFrame:
-    """(project, node, root, chain) of all blocking paths; links carry what a report shows of them."""
+def _linked(graph: CallGraph) -> tuple[DataFrame, Column]:
+    """Edges with what a report shows of them, and the link made of it."""
     shown = graph.nodes.filter("is_first_party").select("project", F.col("id").alias("src"), F.col("display").alias("f_display"), F.col("path").alias("f_path"), F.col("line").alias("f_line"), F.col("column").alias("f_column"), "is_async")
     edges = graph.edges.join(shown, ["project", "src"])
     order = F.array_position(F.array(*[F.lit(k) for k in EDGE_KINDS]), F.col("edge_kind")).cast("int")
@@ -40,9 +40,21 @@ def reasons(graph: CallGraph, max_length: int | None = None, max_paths: int | No
         F.col("f_display").alias("display"), F.col("f_path").alias("path"), F.col("f_line").alias("line"), F.col("f_column").alias("column"),
         F.col("path").alias("call_path"), F.col("line").alias("call_line"), F.col("column").alias("call_column"), "bare_column",
     )
+    return edges, link
+
+
+def reasons(graph: CallGraph, max_length: int | None = None, max_paths: int | None = None) -> DataFrame:
+    """(project, node, root, chain) of all blocking paths; links carry what a report shows of them."""
+    edges, link = _linked(graph)
     return simple_paths(graph.nodes.select("project", "id", "status"), edges, link, F.col("src"), ["project"], max_length, max_paths)
 
 
+def shortest(graph: CallGraph) -> DataFrame:
+    """The first of each node's reasons."""
+    edges, link = _linked(graph)
+    return shortest_paths(graph.nodes.select("project", "id", "status"), edges, link, ["project"])
+
+
 def ranked(found: DataFrame) -> DataFrame:
     """Distinct reasons with their rank at each node: by chain length, root, chain."""
     rank = F.row_number().over(Window.partitionBy("project", "node").orderBy(F.size("chain"), "root", "chain"))

@@ -52,6 +52,14 @@ class Outcome:
         """Nodes with their statuses after propagation."""
         return reachable(self.graph.nodes, self.graph.edges, ["project"])
 
+    def ranked(self) -> DataFrame:
+        """The distinct reasons of each node with their rank: by chain length, root and chain."""
+        return report.ranked(self.reasons)
+
+    def shortest(self) -> DataFrame:
+        """The first reason of each node, in work linear in the edges."""
+        return report.shortest(self.graph)
+
     def components(self) -> DataFrame:
         return strongly_connected(self.graph.nodes, self.graph.edges, ["project"])
 

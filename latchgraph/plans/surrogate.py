@@ -23,11 +23,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    band = read(spark, sf_dir, "part").count() / 100
+def edges(spark: SparkSession, sf_dir: str, banded: bool = True) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
     steps = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), F.col("l_returnflag").alias("flag"))
-    near = steps.filter((F.col("src") != F.col("dst")) & (F.abs(F.col("dst") - F.col("src")) <= band))
+    near = steps.filter(F.col("src") != F.col("dst"))
+    if banded:
+        near = near.filter(F.abs(F.col("dst") - F.col("src")) <= read(spark, sf_dir, "part").count() / 100)
     return near.groupBy("src", "dst").agg(F.bool_and(F.col("flag") == "A").alias("protected"))
 
 

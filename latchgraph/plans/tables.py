@@ -549,6 +549,26 @@ def so08_topological_order(spark, d):
     return graph.topological_order(surrogate.nodes(spark, d), up)
 
 
+@query(
+    f"""WITH RECURSIVE {NODES_SQL},
+steps AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS dst, l_returnflag AS flag FROM lineitem),
+edges AS (SELECT src, dst, bool_and(flag = 'A') AS protected FROM steps WHERE src <> dst GROUP BY src, dst),
+usable AS (SELECT e.src, e.dst FROM edges e JOIN nodes n ON n.id = e.src WHERE NOT e.protected AND n.status <> 'KnownNonBlocking'),
+away AS (SELECT id, 0 AS d FROM nodes WHERE status = 'KnownBlocking' UNION SELECT u.src, a.d + 1 FROM away a JOIN usable u ON u.dst = a.id WHERE a.d < 30),
+near AS (SELECT id, min(d) AS d FROM away GROUP BY id),
+best AS (SELECT id AS node, id AS root, []::BIGINT[] AS chain, 0 AS d FROM near WHERE d = 0 UNION ALL
+  SELECT node, root, chain, d FROM (SELECT u.src AS node, b.root, list_prepend(u.src, b.chain) AS chain, n.d, row_number() OVER (PARTITION BY u.src ORDER BY b.root, list_prepend(u.src, b.chain)) AS r
+    FROM best b JOIN usable u ON u.dst = b.node JOIN near n ON n.id = u.src AND n.d = b.d + 1) t WHERE r = 1)
+SELECT node, root, d::BIGINT AS depth, array_to_string(list_append(chain, root), '>') AS path FROM best"""
+)
+def gr06_shortest_reasons(spark, d):
+    """The first reason of every part, on all edges whatever their numbers."""
+    edges = surrogate.edges(spark, d, banded=False)
+    best = graph.shortest_paths(surrogate.nodes(spark, d), edges, F.struct(F.col("src").alias("id")))
+    shown = F.concat_ws(">", F.transform("chain", lambda x: x["id"].cast("string")), F.col("root").cast("string"))
+    return best.select("node", "root", F.size("chain").cast("long").alias("depth"), shown.alias("path"))
+
+
 #: An argument list for every part: brackets, commas and quotes stand where the part's columns say.
 _ARGUMENTS_SQL = """SELECT p_partkey, p_size, substr('([{', (p_size % 3 + 1)::INT, 1) || p_name || CASE WHEN p_size % 4 = 0 THEN ', ' ELSE substr(')]}', (p_partkey % 3 + 1)::INT, 1) || ' ,  ' END || 'f(' || p_type || ',' || p_brand || ')' ||
   CASE p_partkey % 5 WHEN 0 THEN ', "a,' || p_size || '"' WHEN 1 THEN ',,é=' || p_size WHEN 2 THEN ')' || ',x ' ELSE '' END AS args FROM part"""

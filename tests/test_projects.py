@@ -103,3 +103,12 @@ def test_tables(outcome):
     assert (paths["safe_and_unsafe"], "main.py:matches", True) in [tuple(r) for r in handed]
     members = {r["id"]: r["scc"] for r in out.components().filter(f"project = '{paths['calm_in_cycle']}'").collect()}
     assert members["main.py:calm"] == members["main.py:loud"] == "main.py:calm"
+
+
+def test_ranked_and_shortest_reasons(outcome):
+    """Every node's first reason by rank is the one that the linear loop finds."""
+    out, _ = outcome
+    ranked = out.ranked().filter("rank = 1")
+    key = lambda r: (r["project"], r["node"], r["root"], [tuple(x) for x in r["chain"]])
+    first = sorted((key(r) for r in ranked.collect()), key=str)
+    assert first and first == sorted((key(r) for r in out.shortest().collect()), key=str)
