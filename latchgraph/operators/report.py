@@ -27,6 +27,9 @@ HELP = (
     "Avoid blocking I/O in property getters used from async code",
     "Avoid blocking I/O in dunder methods invoked from async code",
 )
+ASYNC_HERE, FUNCTION_HERE, GETTER_HERE, DUNDER_HERE = "async function %s defined here", "%s defined here", "property getter defined here", "dunder method defined here"
+CALL_HERE, STUB_HERE, ROOT_HERE = "blocking call: %s", "%s marked blocking with @blocking in stub", "blocking function %s defined here"
+LOST_IMPORT, BROKEN = "Unresolvable import: %s", "Syntax error in %s"
 NO_THREAD = "asyncio.to_thread is unavailable for configured python_version %s; executor protection was not applied"
 
 
@@ -96,12 +99,12 @@ def diagnostics(graph: CallGraph, found: DataFrame, configs: Sequence[Config]) -
     message = F.when(F.col("number") == 1, F.format_string(DIRECT, subject, display_name(head["function_name"]))).when(F.col("number") == 2, F.lit(TRANSITIVE)).when(F.col("number") == 3, F.format_string(PROPERTY, display_name(head["function_name"]), subject)).otherwise(F.format_string(DUNDER, display_name(head["function_name"]), subject))
     related = lambda p, l, c, m: F.struct(p.alias("file"), l.alias("line"), c.alias("column"), m.alias("message"))  # noqa: E731, E741
     none = F.filter(F.array(related(head["path"], head["line"], head["column"], F.lit(""))), lambda x: F.lit(False))
-    on_the_way = F.transform(F.slice(chain, F.lit(2), F.size(chain)), lambda x: related(x["path"], x["line"], F.lit(1), F.concat(x["display"], F.lit(" defined here"))))
-    call = F.array(related(link["call_path"], link["call_line"], column, F.concat(F.lit("blocking call: "), shown_root)))
+    on_the_way = F.transform(F.slice(chain, F.lit(2), F.size(chain)), lambda x: related(x["path"], x["line"], F.lit(1), F.format_string(FUNCTION_HERE, x["display"])))
+    call = F.array(related(link["call_path"], link["call_line"], column, F.format_string(CALL_HERE, shown_root)))
     getter = lambda text: F.when(after.isNotNull(), F.array(related(after["path"], after["line"], after["column"], F.lit(text)))).when(r["is_first_party"], F.array(related(r["path"], r["line"], r["column"], F.lit(text)))).otherwise(none)
-    middle = F.when(F.col("number") == 2, F.concat(on_the_way, call)).when(F.col("number") == 3, getter("property getter defined here")).when(F.col("number") == 4, getter("dunder method defined here")).otherwise(none)
-    end = F.when(r["is_stub"], F.array(related(r["path"], r["line"], r["column"], F.concat(F.col("root"), F.lit(" marked blocking with @blocking in stub"))))).when(r["is_first_party"], F.array(related(r["path"], r["line"], r["column"], F.concat(F.lit("blocking function "), display_name(F.col("root")), F.lit(" defined here"))))).otherwise(none)
-    start = F.array(related(head["path"], head["line"], head["column"], F.concat(F.lit("async function "), head["display"], F.lit(" defined here"))))
+    middle = F.when(F.col("number") == 2, F.concat(on_the_way, call)).when(F.col("number") == 3, getter(GETTER_HERE)).when(F.col("number") == 4, getter(DUNDER_HERE)).otherwise(none)
+    end = F.when(r["is_stub"], F.array(related(r["path"], r["line"], r["column"], F.format_string(STUB_HERE, F.col("root"))))).when(r["is_first_party"], F.array(related(r["path"], r["line"], r["column"], F.format_string(ROOT_HERE, display_name(F.col("root")))))).otherwise(none)
+    start = F.array(related(head["path"], head["line"], head["column"], F.format_string(ASYNC_HERE, head["display"])))
     entry = lambda n, f, l, a, p: F.struct(n.alias("function"), f.alias("file"), l.alias("line"), a.alias("is_async"), p.alias("is_first_party"))  # noqa: E731, E741
     links = F.transform(chain, lambda x: entry(x["display"], x["path"], x["line"], x["is_async"], F.lit(True)))
     ours = r["is_first_party"]
@@ -131,7 +134,7 @@ def ordered_warnings(told: DataFrame) -> DataFrame:
 def warnings(facts: DataFrame, graph: CallGraph, configs: Sequence[Config]) -> DataFrame:
     """(project, file, message): syntax errors, imports that lead nowhere, threads a Python version lacks."""
     spark = facts.sparkSession
-    broken = facts.filter("fact = 'syntax_error'").select("project", F.col("path").alias("file"), F.concat(F.lit("Syntax error in "), "path").alias("message"))
+    broken = facts.filter("fact = 'syntax_error'").select("project", F.col("path").alias("file"), F.format_string(BROKEN, "path").alias("message"))
     old = spark.createDataFrame([(c.root, c.python_version) for c in configs if c.python_version in NO_THREADS], "project string, version string")
     refs = facts.filter("fact = 'reference' and kind = 'call'").select("project", "path", "target", callee(F.col("expression")).alias("local")).distinct()
     threads = refs.join(graph.targets.filter(F.array_contains("names", "asyncio.to_thread")), ["project", "target"]).join(small(old, len(configs)), "project")
@@ -145,5 +148,5 @@ def warnings(facts: DataFrame, graph: CallGraph, configs: Sequence[Config]) -> D
     imports = facts.filter("fact = 'import' and kind = 'name' and level = 0 and name != '*'").select("project", "path", F.col("target").alias("base"), F.coalesce("expression", "name").alias("local"), F.substring_index("target", ".", 1).alias("first"))
     lost = imports.join(small(general, len(top)), "first", "left_anti").join(modules, ["project", "first"], "left_anti").join(named_frame, ["project", "first"], "left_anti")
     used = lost.join(refs.select("project", "path", "local").distinct(), ["project", "path", "local"], "left_semi")
-    lost = used.select("project", F.col("path").alias("file"), F.concat(F.lit("Unresolvable import: "), "base").alias("message"))
+    lost = used.select("project", F.col("path").alias("file"), F.format_string(LOST_IMPORT, "base").alias("message"))
     return cut(broken.unionByName(threads).unionByName(lost))

@@ -22,6 +22,7 @@ def build(app: str = "latchgraph", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # files of rounds that nothing refers to any more
     } | conf
     return builder.config(map=settings).getOrCreate()
 
