@@ -1,10 +1,12 @@
 """Queries over Python source made from ``part``: the readers and resolvers of the analysis against SQL.
 
-Every part gives one file of the same shape, with its number in all names, so SQL can say what must be found.
+Every part gives one file.  Its columns choose what stands in it, so SQL computes from them what must be found.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,43 +21,70 @@ from .surrogate import read
 from .tables import query
 
 ROOT = "tables"
-#: ``#`` stands for the part's number.
-TEXT = """import time, os as sys#
+#: ``#`` stands for the part's number, a tab for a step of indentation, words in ``<>`` for what the part's columns choose.
+TEXT = """<import>
 from asyncio import to_thread as away#
 from latchgraph import blocking, unblocker
 
-class Box#(dict):
-    @property
-    def size#(self):
-        return time.sleep(#)
-    async def run#(self, other: "Box#"):
-        self.size#
-        total = self + other
-        test = self < other
-        text = f"{self}{other!r}"
-        item = other[#]
-        with other: pass
-        for _ in other: pass
-        flip = -other
-        held = Box#()
-        await away#(time.sleep, #)
-        return sys#.stat(len(held))
-
-@blocking
+class Box#<base>:
+\t@property
+\tdef size#(self):
+\t\treturn <sleep>(#)
+\tasync def run#(self, other: "Box#"):
+\t\tself.size#
+\t\ttotal = self <binary> other
+\t\ttest = self <compare> other
+\t\ttext = f"{self}{other<shown>}"
+\t\t<item>
+\t\t<with> other: pass
+\t\t<for> _ in other: pass
+\t\tflip = <unary>other
+\t\theld = <held>
+\t\tawait away#(<sleep>, #)
+\t\treturn sys#.stat(len(held))
+
+<mark>
 def free#(x, y=#):
-    return x
+\treturn x
 
 @unblocker(callable_param="job")
-async def last#(job):
-    free#(job)
+<def> last#(job):
+\tfree#(job)
 """
+#: What stands at a place: by the remainder of a column's value, the text and what SQL says of it.
+CHOICES = {
+    "import": ("p_partkey", ["import time, os as sys#", "from time import sleep as nap#; import os as sys#"]),
+    "sleep": ("p_partkey", ["time.sleep", "nap#"]),
+    "base": ("p_size", ["(dict)", "(list)", ""]),
+    "binary": ("p_partkey", ["+", "-", "*", "@", "/", "//", "%", "**", "<<", ">>", "|", "^", "&"]),
+    "compare": ("p_size", ["<", "<=", ">", ">=", "==", "!="]),
+    "shown": ("p_partkey", ["", "!s", "!r", "!a"]),
+    "item": ("p_size", ["item = other[#]", "other[#] = 1", "del other[#]"]),
+    "with": ("p_partkey", ["async with", "with", "with"]),
+    "for": ("p_size", ["async for", "for"]),
+    "unary": ("p_partkey", ["-", "+", "~", "not "]),
+    "held": ("p_partkey", ["other", "Box#()", "Box#()", "Box#()", "Box#()"]),
+    "mark": ("p_partkey", ["pass", "@blocking", "@blocking"]),
+    "def": ("p_size", ["def", "async def", "async def", "async def"]),
+}
+BLANK, STEPS = 7, (4, 2)  # lines above the source, by size; widths of an indentation, by number
+
+
+def _chosen(column: str, values: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(column) % len(values) + 1).cast("int"))
 
 
 def source_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file of every part.  Operators, imports, bases, decorators, kinds of functions, indentation and lines differ by its columns."""
     number = F.col("p_partkey").cast("string")
+    text = F.lit(TEXT)
+    for name, (column, values) in CHOICES.items():
+        text = F.replace(text, F.lit(f"<{name}>"), _chosen(column, values))
+    text = F.replace(text, F.lit("\t"), _chosen("p_partkey", [" " * n for n in STEPS]))
+    text = F.concat(F.repeat(F.lit("\n"), F.col("p_size") % BLANK), F.replace(text, F.lit("#"), number))
     return read(spark, d, "part").select(
         F.lit(ROOT).alias("project"), F.concat(F.lit("pkg/m"), number, F.lit(".py")).alias("path"), F.concat(F.lit("pkg.m"), number).alias("module"), F.lit(False).alias("is_package"), F.lit(False).alias("is_stub"), F.lit(True).alias("is_first_party"),
-        F.encode(F.replace(F.lit(TEXT), F.lit("#"), number), "UTF-8").alias("content"),
+        F.encode(text, "UTF-8").alias("content"),
     )
 
 
@@ -67,15 +96,40 @@ def part_of(path: Column) -> Column:
     return F.regexp_extract(path, "m([0-9]+)[.]pyi?$", 1).cast("long")
 
 
+def case(column: str, values: list[str]) -> str:
+    """SQL of one of some texts by a column's remainder."""
+    return f"CASE {column} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+def text(sql: str) -> str:
+    """A cell that is SQL for a text."""
+    return f"~{sql}"
+
+
+def only(condition: str, *row: object) -> tuple:
+    """A row of the parts for which the condition holds."""
+    return (*row, only, condition)
+
+
 def made(*rows: tuple, names: tuple[str, ...]) -> str:
-    """SQL with these rows for every part; ``#`` in a text is the part's number, and L in a number the length of it."""
+    """SQL with these rows for every part.  ``#`` in a text is the part's number; in numbers L is its length, P the lines above the source, W the
+    width of an indentation."""
+
+    named = {"L": "length(p_partkey::VARCHAR)", "P": f"p_size % {BLANK}", "W": f"CASE p_partkey % 2 WHEN 0 THEN {STEPS[0]} ELSE {STEPS[1]} END"}
 
     def cell(x: object) -> str:
         if x is None:
             return "NULL::VARCHAR"
-        return f"replace('{x[1:]}', '#', p_partkey::VARCHAR)" if str(x).startswith("=") else f"({str(x).replace('L', 'length(p_partkey::VARCHAR)')})::INT"
+        x = str(x)
+        if x[0] in "=~":
+            return f"replace({x[1:]}, '#', p_partkey::VARCHAR)" if x[0] == "~" else f"replace('{x[1:]}', '#', p_partkey::VARCHAR)"
+        return "(" + re.sub(r"\b[LPW]\b", lambda m: named[m[0]], x) + ")::INT"
+
+    def select(row: tuple) -> str:
+        row, where = (row[:-2], f" WHERE {row[-1]}") if only in row else (row, "")
+        return "SELECT p_partkey AS id, " + ", ".join(f"{cell(x)} AS {n}" for x, n in zip(row, names, strict=True)) + f" FROM part{where}"
 
-    return " UNION ALL ".join("SELECT p_partkey AS id, " + ", ".join(f"{cell(x)} AS {n}" for x, n in zip(r, names, strict=True)) + " FROM part" for r in rows)
+    return " UNION ALL ".join(select(r) for r in rows)
 
 
 PLACED = ("kind", "target", "enclosing", "line", "col")
@@ -85,81 +139,111 @@ def _references(spark, d, condition: str) -> DataFrame:
     return facts(spark, d).filter(f"fact = 'reference' and ({condition})").select(part_of(F.col("path")).alias("id"), "kind", "target", "enclosing", "line", F.col("column").alias("col"))
 
 
+def _implicit(spark, d, methods: list[str]) -> DataFrame:
+    """What operators call, by the methods that one kind of operator may call."""
+    return _references(spark, d, "kind = 'implicit'").filter(F.substring_index("target", ".", -1).isin([f"__{m}__" for m in methods]))
+
+
+def _method(column: str, methods: list[str], line: int, col: str) -> tuple:
+    """A row of a method of the class that is called by an operator."""
+    return ("=implicit", text(f"'pkg.m#.Box#.__' || {case(column, methods)} || '__'"), _RUN, f"{line} + P", col)
+
+
 _M, _RUN = "=pkg.m#.Box#", "=Box#.run#"
+_PLAIN, _ALIASED = "p_partkey % 2 = 0", "p_partkey % 2 = 1"
+_MARKED, _BUILT, _ASYNC = "p_partkey % 3 <> 0", "p_partkey % 5 <> 0", "p_size % 4 <> 0"
+_ARITHMETIC = ["add", "sub", "mul", "matmul", "truediv", "floordiv", "mod", "pow", "lshift", "rshift", "or", "xor", "and"]
+_REFLECTED = [f"r{m}" for m in _ARITHMETIC]
+_ORDER, _SHOWN, _ITEM, _SIGN = ["lt", "le", "gt", "ge", "eq", "ne"], ["format", "str", "repr", "repr"], ["getitem", "setitem", "delitem"], ["neg", "pos", "invert", "bool"]
+_ENTER, _EXIT, _ITER, _NEXT = ["aenter", "enter", "enter"], ["aexit", "exit", "exit"], ["aiter", "iter"], ["anext", "next"]
 
 
-@query(made(("=call", "=time.sleep", "=Box#.size#", 8, 16), ("=call", _M, _RUN, 18, 16), ("=call", "=asyncio.to_thread", _RUN, 19, 15), ("=call", "=os.stat", _RUN, 20, 16), ("=call", "=builtins.len", _RUN, 20, "25 + L"), ("=call", "=pkg.m#.free#", "=last#", 28, 5), names=PLACED))
+@query(
+    made(
+        ("=call", "=time.sleep", "=Box#.size#", "8 + P", "8 + 2 * W"), only(_BUILT, "=call", _M, _RUN, "18 + P", "8 + 2 * W"), ("=call", "=asyncio.to_thread", _RUN, "19 + P", "7 + 2 * W"), ("=call", "=os.stat", _RUN, "20 + P", "8 + 2 * W"),
+        ("=call", "=builtins.len", _RUN, "20 + P", "17 + L + 2 * W"), ("=call", "=pkg.m#.free#", "=last#", "28 + P", "1 + W"), names=PLACED,
+    )
+)
 def tf01_call(spark, d):
     return _references(spark, d, "kind = 'call'")
 
 
-@query(made(("=attribute", "=pkg.m#.Box#.size#", _RUN, 10, 14), ("=attribute", "=time.sleep", _RUN, 19, "25 + L"), names=PLACED))
+@query(made(("=attribute", "=pkg.m#.Box#.size#", _RUN, "10 + P", "6 + 2 * W"), only(_PLAIN, "=attribute", "=time.sleep", _RUN, "19 + P", "17 + L + 2 * W"), names=PLACED))
 def tf02_attribute(spark, d):
     return _references(spark, d, "kind = 'attribute'")
 
 
-@query(made(("=implicit", f"{_M}.__add__", _RUN, 11, 17), ("=implicit", f"{_M}.__radd__", _RUN, 11, 17), names=PLACED))
+@query(made(_method("p_partkey", _ARITHMETIC, 11, "9 + 2 * W"), _method("p_partkey", _REFLECTED, 11, "9 + 2 * W"), names=PLACED))
 def tf03_binary(spark, d):
-    return _references(spark, d, "line = 11")
+    return _implicit(spark, d, _ARITHMETIC + _REFLECTED)
 
 
-@query(made(("=implicit", f"{_M}.__lt__", _RUN, 12, 16), names=PLACED))
+@query(made(_method("p_size", _ORDER, 12, "8 + 2 * W"), names=PLACED))
 def tf04_comparison(spark, d):
-    return _references(spark, d, "line = 12")
+    return _implicit(spark, d, _ORDER)
 
 
-@query(made(("=implicit", f"{_M}.__format__", _RUN, 13, 16), ("=implicit", f"{_M}.__repr__", _RUN, 13, 16), names=PLACED))
+@query(made(_method("p_partkey", ["format"], 13, "8 + 2 * W"), _method("p_partkey", _SHOWN, 13, "8 + 2 * W"), names=PLACED))
 def tf05_format(spark, d):
-    return _references(spark, d, "line = 13")
+    return _implicit(spark, d, _SHOWN)
 
 
-@query(made(("=implicit", f"{_M}.__getitem__", _RUN, 14, 16), names=PLACED))
+@query(made(_method("p_size", _ITEM, 14, "1 + 2 * W + CASE p_size % 3 WHEN 0 THEN 7 WHEN 1 THEN 0 ELSE 4 END"), names=PLACED))
 def tf06_subscript(spark, d):
-    return _references(spark, d, "line = 14")
+    return _implicit(spark, d, _ITEM)
 
 
-@query(made(("=implicit", f"{_M}.__enter__", _RUN, 15, 9), ("=implicit", f"{_M}.__exit__", _RUN, 15, 9), names=PLACED))
+@query(made(_method("p_partkey", _ENTER, 15, "1 + 2 * W"), _method("p_partkey", _EXIT, 15, "1 + 2 * W"), names=PLACED))
 def tf07_with(spark, d):
-    return _references(spark, d, "line = 15")
+    return _implicit(spark, d, _ENTER + _EXIT)
 
 
-@query(made(("=implicit", f"{_M}.__iter__", _RUN, 16, 9), ("=implicit", f"{_M}.__next__", _RUN, 16, 9), names=PLACED))
+@query(made(_method("p_size", _ITER, 16, "1 + 2 * W"), _method("p_size", _NEXT, 16, "1 + 2 * W"), names=PLACED))
 def tf08_for(spark, d):
-    return _references(spark, d, "line = 16")
+    return _implicit(spark, d, _ITER + _NEXT)
 
 
-@query(made(("=implicit", f"{_M}.__neg__", _RUN, 17, 16), names=PLACED))
+@query(made(_method("p_partkey", _SIGN, 17, "8 + 2 * W"), names=PLACED))
 def tf09_unary(spark, d):
-    return _references(spark, d, "line = 17")
+    return _implicit(spark, d, _SIGN)
 
 
-@query(made(("=decorator", "=builtins.property", "=Box#.size#", 6, 6), ("=decorator", "=latchgraph.blocking", "=free#", 22, 2), ("=decorator", "=latchgraph.unblocker", "=last#", 26, 2), names=PLACED))
+@query(made(("=decorator", "=builtins.property", "=Box#.size#", "6 + P", "2 + W"), only(_MARKED, "=decorator", "=latchgraph.blocking", "=free#", "22 + P", 2), ("=decorator", "=latchgraph.unblocker", "=last#", "26 + P", 2), names=PLACED))
 def tf10_decorator(spark, d):
     return _references(spark, d, "kind = 'decorator'")
 
 
-@query(made(("=module", "=time", "=time", None, 1), ("=module", "=os", "=os", "=sys#", 1), ("=name", "=asyncio", "=to_thread", "=away#", 2), ("=name", "=latchgraph", "=blocking", None, 3), ("=name", "=latchgraph", "=unblocker", None, 3), names=("kind", "target", "name", "alias", "line")))
+@query(
+    made(
+        only(_PLAIN, "=module", "=time", "=time", None, "1 + P"), only(_ALIASED, "=name", "=time", "=sleep", "=nap#", "1 + P"), ("=module", "=os", "=os", "=sys#", "1 + P"),
+        ("=name", "=asyncio", "=to_thread", "=away#", "2 + P"), ("=name", "=latchgraph", "=blocking", None, "3 + P"), ("=name", "=latchgraph", "=unblocker", None, "3 + P"), names=("kind", "target", "name", "alias", "line"),
+    )
+)
 def tf11_import(spark, d):
     return facts(spark, d).filter("fact = 'import'").select(part_of(F.col("path")).alias("id"), "kind", "target", "name", F.col("expression").alias("alias"), "line")
 
 
-@query(made(("=__len__",), names=("method",)))
+@query(made(("=__len__", "20 + P"), names=("method", "line")))
 def tf12_assignment(spark, d):
-    """``held`` stands for what was assigned to it, so ``len(held)`` calls the class's method."""
-    return _references(spark, d, "line = 20 and kind = 'implicit'").select("id", F.substring_index("target", ".", -1).alias("method"))
+    """``held`` stands for what was assigned to it, an object made there or a parameter, so ``len(held)`` calls the class's method."""
+    return _implicit(spark, d, ["len"]).select("id", F.substring_index("target", ".", -1).alias("method"), "line")
 
 
-@query(made(("=Box#.size#", 0, "=Box#", 7, 9), ("=Box#.run#", 1, "=Box#", 9, 15), ("=free#", 0, None, 23, 5), ("=last#", 1, None, 27, 11), names=("name", "is_async", "owner", "line", "col")))
+@query(made(("=Box#.size#", 0, "=Box#", "7 + P", "5 + W"), ("=Box#.run#", 1, "=Box#", "9 + P", "11 + W"), ("=free#", 0, None, "23 + P", 5), ("=last#", f"CASE WHEN {_ASYNC} THEN 1 ELSE 0 END", None, "27 + P", f"CASE WHEN {_ASYNC} THEN 11 ELSE 5 END"), names=("name", "is_async", "owner", "line", "col")))
 def tf13_function(spark, d):
     return facts(spark, d).filter("fact = 'function'").select(part_of(F.col("path")).alias("id"), F.col("qualified_name").alias("name"), F.col("is_async").cast("int").alias("is_async"), F.col("enclosing").alias("owner"), "line", F.col("column").alias("col"))
 
 
-@query(made(("=Box#", "=builtins.dict", 5, 1), names=("name", "bases", "line", "col")))
+@query(made(("=Box#", text(case("p_size", ["builtins.dict", "builtins.list", ""])), "5 + P", 1), names=("name", "bases", "line", "col")))
 def tf14_class(spark, d):
     return facts(spark, d).filter("fact = 'class'").select(part_of(F.col("path")).alias("id"), "name", F.concat_ws(",", "bases").alias("bases"), "line", F.col("column").alias("col"))
 
 
-@query(made(("=alias", 4), ("=class", 1), ("=function", 4), ("=import", 5), ("=reference", 23), names=("fact", "n")))
+def _if(condition: str, yes: int, no: int = 0) -> str:
+    return f"CASE WHEN {condition} THEN {yes} ELSE {no} END"
+
+
+@query(made(("=alias", f"4 + {_if(_ALIASED, 1)}"), ("=class", 1), ("=function", 4), ("=import", 5), ("=reference", f"20 + {_if(_PLAIN, 1)} + {_if(_MARKED, 1)} + {_if(_BUILT, 1)}"), names=("fact", "n")))
 def src06_syntax_scan(spark, d):
     """Syntax facts by kind; rows on the flow of values are a scan of their own."""
     return facts(spark, d).filter("fact not in ('flow', 'load', 'result', 'parameter')").groupBy(part_of(F.col("path")).alias("id"), "fact").agg(F.count("*").cast("int").alias("n"))
@@ -172,10 +256,15 @@ def src08_parse_errors(spark, d):
     return read_facts(some.withColumn("content", F.encode(text, "UTF-8"))).select(part_of(F.col("path")).alias("id"), "fact")
 
 
-@query(made(("=time.sleep(#)", 8, 16), ("=Box#()", 18, 16), ("=sys#.stat(len(held))", 20, 16), names=("expression", "line", "col")))
+@query(
+    made(
+        only(_PLAIN, "=time.sleep(#)", "8 + P", "8 + 2 * W"), only(_ALIASED, "=nap#(#)", "8 + P", "8 + 2 * W"), only(_BUILT, "=Box#()", "18 + P", "8 + 2 * W"), ("=sys#.stat(len(held))", "20 + P", "8 + 2 * W"), ("=len(held)", "20 + P", "17 + L + 2 * W"),
+        (text(f"'away#(' || {case('p_partkey', ['time.sleep', 'nap#'])} || ', #)'"), "19 + P", "7 + 2 * W"), ("=free#(job)", "28 + P", "1 + W"), names=("expression", "line", "col"),
+    )
+)
 def src10_source_text(spark, d):
     whole = source_files(ship(spark), d).select("path", "content")
-    calls = facts(spark, d).filter("kind = 'call' and line in (8, 18, 20) and target != 'builtins.len'").select("path", "start", "end").join(whole, "path")
+    calls = facts(spark, d).filter("kind = 'call'").select("path", "start", "end").join(whole, "path")
     start = F.col("start")
     return calls.select(part_of(F.col("path")).alias("id"), T.snippet(F.col("content"), start, F.col("end")).alias("expression"), T.line_of(F.col("content"), start).alias("line"), T.column_of(F.col("content"), start).alias("col"))
 
@@ -261,19 +350,19 @@ def so07_syntax_order(spark, d):
     return shown.select(part_of(F.col("path")).alias("id"), F.col("qualified_name").alias("name"), "fact", "ordinal")
 
 
-@query(made(("=time.sleep", 0), (_M, 1), ("=asyncio.to_thread", 2), ("=os.stat", 3), ("=builtins.len", 4), ("=pkg.m#.free#", 5), names=("target", "rank")))
+@query(made(("=time.sleep", 0), only(_BUILT, _M, 1), *[(t, f"{i} + {_if(_BUILT, 1)}") for i, t in enumerate(("=asyncio.to_thread", "=os.stat", "=builtins.len", "=pkg.m#.free#"), 1)], names=("target", "rank")))
 def so05_call_order(spark, d):
     calls = resolve.ordered_syntax(facts(spark, d)).filter("kind = 'call' and fact = 'reference'")
     rank = F.row_number().over(Window.partitionBy("path").orderBy("ordinal")) - 1
     return calls.select(part_of(F.col("path")).alias("id"), "target", rank.alias("rank"))
 
 
-@query(made(("=Box#.size#", "=property"), ("=free#", "=blocking"), ("=last#", "=unblocker(callable_param=\"job\")"), names=("name", "decorators")))
+@query(made(("=Box#.size#", "=property"), only(_MARKED, "=free#", "=blocking"), ("=last#", "=unblocker(callable_param=\"job\")"), names=("name", "decorators")))
 def ag07_decorators(spark, d):
     return resolve.decorators(facts(spark, d)).select(F.regexp_extract("identity", "m([0-9]+)[.]py:", 1).cast("long").alias("id"), F.substring_index("identity", ":", -1).alias("name"), F.concat_ws(",", "decorators").alias("decorators"))
 
 
-@query(made(("=Box#.run#", "=AsyncMethod", "=pkg.m#.Box#.run#"), ("=Box#.size#", "=Property", "=pkg.m#.Box#.size#"), ("=free#", "=Function", "=pkg.m#.free#"), ("=last#", "=AsyncFunction", "=pkg.m#.last#"), names=("name", "kind", "absolute")))
+@query(made(("=Box#.run#", "=AsyncMethod", "=pkg.m#.Box#.run#"), ("=Box#.size#", "=Property", "=pkg.m#.Box#.size#"), ("=free#", "=Function", "=pkg.m#.free#"), ("=last#", text(case("p_size", ["Function", *["AsyncFunction"] * 3])), "=pkg.m#.last#"), names=("name", "kind", "absolute")))
 def so04_functions(spark, d):
     return resolve.functions(facts(spark, d)).select(part_of(F.col("path")).alias("id"), F.col("qualified_name").alias("name"), "kind", "absolute")
 
@@ -319,11 +408,11 @@ def snk07_exit_code(spark, d):
     return render.exit_codes(orders.filter("o_totalprice > 300000"), projects)
 
 
-#: Every part's report: the property below the coroutine, the call in it and the marked function.
+#: Every part's report: the property below the coroutine, the call in it and the marked function where a coroutine calls it.
 _REPORT = [
-    ("=LATCH003", "=Async function ''Box#.run#'' accesses blocking property ''Box#.size#''", "=pkg/m#.py", 10, 9, "=Box#.run# > pkg.m#.Box#.size# > time.sleep", "=Avoid blocking I/O in property getters used from async code", "=sleep", "=async function Box#.run# defined here|property getter defined here"),
-    ("=LATCH001", "=Direct blocking call to ''os.stat'' in async function ''Box#.run#''", "=pkg/m#.py", 20, 16, "=Box#.run# > os.stat", "=Wrap in `await asyncio.to_thread(...)` or use async alternative", "=file-io", "=async function Box#.run# defined here"),
-    ("=LATCH001", "=Direct blocking call to ''free#'' in async function ''last#''", "=pkg/m#.py", 28, 5, "=last# > pkg.m#.free#", "=Wrap in `await asyncio.to_thread(...)` or use async alternative", None, "=async function last# defined here|blocking function free# defined here"),
+    ("=LATCH003", "=Async function ''Box#.run#'' accesses blocking property ''Box#.size#''", "=pkg/m#.py", "10 + P", "1 + 2 * W", "=Box#.run# > pkg.m#.Box#.size# > time.sleep", "=Avoid blocking I/O in property getters used from async code", "=sleep", "=async function Box#.run# defined here|property getter defined here"),
+    ("=LATCH001", "=Direct blocking call to ''os.stat'' in async function ''Box#.run#''", "=pkg/m#.py", "20 + P", "8 + 2 * W", "=Box#.run# > os.stat", "=Wrap in `await asyncio.to_thread(...)` or use async alternative", "=file-io", "=async function Box#.run# defined here"),
+    only(f"{_MARKED} AND {_ASYNC}", "=LATCH001", "=Direct blocking call to ''free#'' in async function ''last#''", "=pkg/m#.py", "28 + P", "1 + W", "=last# > pkg.m#.free#", "=Wrap in `await asyncio.to_thread(...)` or use async alternative", None, "=async function last# defined here|blocking function free# defined here"),
 ]
 _FIELDS = ("code", "message", "file", "line", "col", "chain", "help", "category", "related")
 
@@ -343,13 +432,13 @@ def _graph(spark, d) -> callgraph.CallGraph:
     return callgraph.build(cut(facts(spark, d)), [Config(root=ROOT)])
 
 
-@query(made(("=Box#.run#", "=Unknown", 1, "=AsyncMethod"), ("=Box#.size#", "=Unknown", 0, "=Property"), ("=free#", "=KnownBlocking", 0, "=Function"), ("=last#", "=Unknown", 1, "=AsyncFunction"), names=("name", "status", "is_async", "kind")))
+@query(made(("=Box#.run#", "=Unknown", 1, "=AsyncMethod"), ("=Box#.size#", "=Unknown", 0, "=Property"), ("=free#", text(case("p_partkey", ["Unknown", *["KnownBlocking"] * 2])), 0, "=Function"), ("=last#", "=Unknown", _if(_ASYNC, 1), text(case("p_size", ["Function", *["AsyncFunction"] * 3]))), names=("name", "status", "is_async", "kind")))
 def gr08_graph_nodes(spark, d):
     nodes = _graph(spark, d).nodes.filter("is_first_party")
     return nodes.select(part_of(F.col("path")).alias("id"), F.substring_index(F.col("id"), ":", -1).alias("name"), "status", F.col("is_async").cast("int").alias("is_async"), "kind")
 
 
-@query(made(("=Box#.size#", "=time.sleep", "=MethodCall", 0, None), ("=Box#.run#", "=Box#.size#", "=PropertyAccess", 0, None), ("=Box#.run#", "=time.sleep", "=DirectCall", 1, "=asyncio.to_thread"), ("=Box#.run#", "=os.stat", "=MethodCall", 0, None), ("=last#", "=free#", "=DirectCall", 0, None), names=("src", "dst", "kind", "protected", "via")))
+@query(made(("=Box#.size#", "=time.sleep", text(case("p_partkey", ["MethodCall", "DirectCall"])), 0, None), ("=Box#.run#", "=Box#.size#", "=PropertyAccess", 0, None), ("=Box#.run#", "=time.sleep", "=DirectCall", 1, "=asyncio.to_thread"), ("=Box#.run#", "=os.stat", "=MethodCall", 0, None), ("=last#", "=free#", "=DirectCall", 0, None), names=("src", "dst", "kind", "protected", "via")))
 def gr09_graph_edges(spark, d):
     short = lambda c: F.substring_index(c, ":", -1)
     return _graph(spark, d).edges.select(part_of(F.col("path")).alias("id"), short("src").alias("src"), short("dst").alias("dst"), F.col("edge_kind").alias("kind"), F.col("protected").cast("int").alias("protected"), "via")
