@@ -6,7 +6,7 @@ import argparse
 import sys
 
 from .names import TOOL
-from .operators.render import FORMATS
+from .operators.render import FORMATS, ordered_pieces
 from .plans.analyze import Options, analyze
 from .session import build
 from .sources.config import SEVERITIES, STRATEGIES
@@ -29,11 +29,6 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def merged(reports: list[dict]) -> dict:
-    """Reports of several paths one after the other, each in its own order."""
-    return {"version": reports[0]["version"], "diagnostics": [d for r in reports for d in r["diagnostics"]], "warnings": [w for r in reports for w in r["warnings"]]}
-
-
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
     spark = build(master=None)
@@ -43,11 +38,12 @@ def main(arguments: list[str] | None = None) -> int:
     out = analyze(spark, a.paths, options)
     for error in out.errors.values():
         print(f"error: {error}", file=sys.stderr)
-    if out.reports:
+    if out.formats:
         kind = a.output or next(iter(out.formats.values()))
-        document = merged(list(out.reports.values()))
-        if not (a.quiet and kind == "text" and not document["diagnostics"]):
-            print(FORMATS[kind](document), end="")
+        if not (a.quiet and kind == "text" and not any(out.exit_codes[root] for root in out.formats)):
+            # reports of several paths one after the other, each in its own order
+            for r in ordered_pieces(out.pieces(kind, together=True)).toLocalIterator():
+                print(r["text"])
     return out.exit_code
 
 

@@ -34,20 +34,41 @@ class Options:
 
 @dataclass
 class Outcome:
-    """Of each project an exit code and, unless it failed, a report document; the tables hold all projects.
+    """Of each project an exit code; the tables hold all projects.
 
     ``graph`` and ``reasons`` are of the projects that were analysed anew; unchanged ones come whole from the cache.
+    ``pieces`` and ``write`` make documents of any size on executors; ``reports`` brings them to the driver.
     """
 
     exit_codes: dict[str, int] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
-    reports: dict[str, dict] = field(default_factory=dict)
     formats: dict[str, str] = field(default_factory=dict)
     graph: callgraph.CallGraph | None = None
     reasons: DataFrame | None = None
     diagnostics: DataFrame | None = None
     warnings: DataFrame | None = None
 
+    @functools.cached_property
+    def reports(self) -> dict[str, dict]:
+        """The report of each project that has one, in memory."""
+        told: dict[str, list] = {root: [] for root in self.formats}
+        warned: dict[str, list] = {root: [] for root in self.formats}
+        if self.formats:
+            for r in report.ordered(self.diagnostics).toLocalIterator():
+                told[r["project"]].append(r.asDict(recursive=True))
+            for r in report.ordered_warnings(self.warnings).toLocalIterator():
+                warned[r["project"]].append(r.asDict())
+        return {root: render.report(told[root], warned[root]) for root in self.formats}
+
+    def pieces(self, kind: str, together: bool = False) -> DataFrame:
+        """(document, section, place, text) of each project's report, or of one of all projects in the order of their paths."""
+        rows = [(root, "" if together else root, i if together else 0) for i, root in enumerate(self.formats)]
+        documents = self.diagnostics.sparkSession.createDataFrame(rows, "project string, document string, position int")
+        return render.pieces(self.diagnostics, self.warnings, documents, kind)
+
+    def write(self, kind: str, where: str) -> None:
+        render.write(self.pieces(kind), where)
+
     def statuses(self) -> DataFrame:
         """Nodes with their statuses after propagation."""
         return reachable(self.graph.nodes, self.graph.edges, ["project"])
@@ -127,14 +148,7 @@ def analyze(spark: SparkSession, paths: Sequence[str], options: Options = Option
     done.exit_codes, done.errors = out.exit_codes, out.errors
     if not configs:
         return done
-    told: dict[str, list] = {c.root: [] for c in configs}
-    warned: dict[str, list] = {c.root: [] for c in configs}
-    for r in report.ordered(done.diagnostics).toLocalIterator():
-        told[r["project"]].append(r.asDict(recursive=True))
-    for r in report.ordered_warnings(done.warnings).toLocalIterator():
-        warned[r["project"]].append(r.asDict())
-    for c in configs:
-        done.reports[c.root] = render.report(told[c.root], warned[c.root])
-        done.exit_codes[c.root] = render.exit_code(len(told[c.root]))
-        done.formats[c.root] = c.output_format
+    projects = spark.createDataFrame([(c.root,) for c in configs], "project string")
+    done.exit_codes |= {r["project"]: r["exit_code"] for r in render.exit_codes(done.diagnostics, projects).collect()}  # one row per path
+    done.formats = {c.root: c.output_format for c in configs}
     return done

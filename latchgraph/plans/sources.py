@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..names import TOOL, VERSION
 from ..operators import callgraph, flow, render, report, resolve, windows
 from ..session import cut, ship
 from ..sources import files
@@ -401,6 +402,67 @@ def snk01_json_lines(spark, d):
     return render.json_lines(_from_orders(spark, d)).select("value")
 
 
+#: Orders as diagnostics of three projects, some as warnings of one of them; the others have none.
+_FOUND = "(SELECT o_orderkey, o_orderstatus AS document, o_orderpriority AS file, (o_custkey % 50)::INT AS line, dayofyear(o_orderdate)::INT AS col, 'X00' || (o_orderkey % 4 + 1) AS code, 'm' || o_orderkey AS message FROM orders) t"
+_WARNED = "(SELECT o_orderstatus AS document, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS file, 'w' || o_orderkey AS message FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 2 = 0) t"
+
+
+def _pieces(spark, d, kind: str) -> DataFrame:
+    orders = read(spark, d, "orders")
+    told = orders.filter("o_orderstatus = 'P' and o_custkey % 2 = 0").select(F.col("o_orderstatus").alias("project"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("file"), F.concat(F.lit("w"), F.col("o_orderkey").cast("string")).alias("message"))
+    found = _from_orders(spark, d).drop("project").join(orders.select("o_orderkey", F.col("o_orderstatus").alias("project")), "o_orderkey")
+    # one row per project; no project tells of nothing
+    documents = spark.createDataFrame([(p, p, 0) for p in ("F", "O", "P", "none")], "project string, document string, position int")
+    return render.pieces(found, told, documents, kind)
+
+
+def _documents(spark, d, kind: str) -> DataFrame:
+    """The pieces of documents without their indentation."""
+    lines = _pieces(spark, d, kind)
+    bare = F.regexp_replace(F.ltrim("text"), r"\n *", "")
+    return lines.select("document", "section", "place", F.replace(bare, F.lit('": '), F.lit('":')).alias("text"))
+
+
+def _members(rows: str, section: int, order: str, text: str) -> str:
+    place = f"row_number() OVER (ORDER BY document, {order}) - 1"
+    last = f"lead(document) OVER (PARTITION BY document ORDER BY {order}) IS NULL"
+    return f"SELECT document, {section} AS section, {place} AS place, {text} || CASE WHEN {last} THEN '' ELSE ',' END AS text FROM {rows}"
+
+
+_RULES = '{"id":"LATCH001","name":"DirectBlockingInAsync","shortDescription":{"text":"Direct blocking call in async function"}},{"id":"LATCH002","name":"TransitiveBlockingInAsync","shortDescription":{"text":"Transitive blocking call reachable from async context"}},{"id":"LATCH003","name":"BlockingPropertyInAsync","shortDescription":{"text":"Blocking @property getter accessed in async context"}},{"id":"LATCH004","name":"BlockingDunderInAsync","shortDescription":{"text":"Blocking dunder invocation in async context"}}'
+_SARIF = f'{{"$schema":"{render.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL}","version":"{VERSION}","rules":[{_RULES}]}}}},"results":['
+
+
+@query(
+    _members(_FOUND, 1, "file, line, col, code, message", """'{"ruleId":"' || code || '","level":"error","message":{"text":"' || message || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || file || '"},"region":{"startLine":' || line || ',"startColumn":' || col || '}}}]}'""")
+    + f" UNION ALL SELECT document, section, 0, CASE section WHEN 0 THEN '{_SARIF}' || CASE document WHEN 'none' THEN ']' ELSE '' END ELSE CASE document WHEN 'none' THEN '' ELSE ']' END || '}}]}}' END FROM (VALUES ('F'), ('O'), ('P'), ('none')) v(document), (VALUES (0), (4)) s(section)"
+)
+def snk03_sarif_document(spark, d):
+    """The lines of whole SARIF documents, which executors write."""
+    return _documents(spark, d, "sarif")
+
+
+@query(
+    _members(_FOUND, 1, "file, line, col, code, message", """'{"code":"' || code || '","severity":"error","message":"' || message || '","primary_location":{"file":"' || file || '","line":' || line || ',"column":' || col || '},"related_locations":[],"chain":[],"help":"h","intervention_strategy":"s"}'""")
+    + " UNION ALL "
+    + _members(_WARNED, 3, "file NULLS FIRST, message", """'{"message":"' || message || '"' || CASE WHEN file IS NULL THEN '' ELSE ',"file":"' || file || '"' END || '}'""")
+    + """ UNION ALL SELECT * FROM (VALUES ('none', 0, 0, '{"version":"1.0","diagnostics":[],"warnings":[]'), ('none', 4, 0, '}'), ('F', 0, 0, '{"version":"1.0","diagnostics":['), ('F', 2, 0, '],"warnings":[]'), ('F', 4, 0, '}'),
+('O', 0, 0, '{"version":"1.0","diagnostics":['), ('O', 2, 0, '],"warnings":[]'), ('O', 4, 0, '}'), ('P', 0, 0, '{"version":"1.0","diagnostics":['), ('P', 2, 0, '],"warnings":['), ('P', 4, 0, ']}')) v"""
+)
+def snk01_json_document(spark, d):
+    """The lines of whole JSON reports, which executors write."""
+    return _documents(spark, d, "json")
+
+
+@query(
+    "SELECT document, 1 AS section, file || ':' || line || ':' || col || ': error ' || code || ': ' || message || '  help: h' AS text FROM " + _FOUND
+    + " UNION ALL SELECT document, 3, 'warning: ' || coalesce(file || ': ', '') || message FROM " + _WARNED + " UNION ALL SELECT 'none', 0, 'No blocking issues found'"
+)
+def sc26_text_document(spark, d):
+    """The lines of text reports with their warnings; both lines of a diagnostic are one piece."""
+    return _pieces(spark, d, "text").select("document", "section", F.replace("text", F.lit("\n"), F.lit("")).alias("text"))
+
+
 @query("SELECT o_orderstatus AS project, (CASE WHEN count(*) FILTER (WHERE o_totalprice > 300000) > 0 THEN 1 ELSE 0 END)::INT AS exit_code FROM orders GROUP BY 1 UNION ALL SELECT 'none', 0::INT")
 def snk07_exit_code(spark, d):
     orders = read(spark, d, "orders").select(F.col("o_orderstatus").alias("project"), "o_totalprice")

@@ -112,3 +112,19 @@ def test_ranked_and_shortest_reasons(outcome):
     key = lambda r: (r["project"], r["node"], r["root"], [tuple(x) for x in r["chain"]])
     first = sorted((key(r) for r in ranked.collect()), key=str)
     assert first and first == sorted((key(r) for r in out.shortest().collect()), key=str)
+
+
+def test_documents_of_any_size(outcome, tmp_path):
+    """What executors write is what is made in memory, for each project and for all together."""
+    out, paths = outcome
+    for kind, whole in render.FORMATS.items():
+        lines = {}
+        for r in render.ordered_pieces(out.pieces(kind)).collect():
+            lines.setdefault(r["document"], []).append(r["text"] + "\n")
+        assert {k: "".join(v) for k, v in lines.items()} == {root: whole(r) for root, r in out.reports.items()}
+    every = list(out.reports.values())
+    merged = {"version": every[0]["version"], "diagnostics": [d for r in every for d in r["diagnostics"]], "warnings": [w for r in every for w in r["warnings"]]}
+    assert "".join(r["text"] + "\n" for r in render.ordered_pieces(out.pieces("json", together=True)).collect()) == render.as_json(merged)
+    out.write("sarif", str(tmp_path / "out"))
+    folders = {f.name: "".join(p.read_text() for p in sorted(f.glob("part-*"))) for f in (tmp_path / "out").iterdir() if f.is_dir()}
+    assert sorted(folders.values()) == sorted(render.as_sarif(r) for r in out.reports.values())
