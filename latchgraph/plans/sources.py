@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..names import TOOL, VERSION
-from ..operators import callgraph, flow, render, report, resolve, windows
+from ..operators import callgraph, flow, graph, questions, render, report, resolve, windows
 from ..session import cut, ship
 from ..sources import files
 from ..sources.config import Config, parse
@@ -540,3 +540,132 @@ def jn19_receiver_flow(spark, d):
     by = resolve.lookup(found)
     opened = flow.opened(found, cut(resolve.located(by.resolved, by)), by)
     return opened.references.select(F.regexp_extract("path", "m([0-9]+)[.]py$", 1).cast("long").alias("id"), "target", "kind").distinct()
+
+
+# questions on single places
+
+
+def _asked(spark, d, question: str, line: int, column: Column) -> DataFrame:
+    """What is at a place of every part's source; each tenth part asks about a file that is not there."""
+    number = F.col("p_partkey").cast("string")
+    wide = F.when(F.col("p_partkey") % 2 == 0, STEPS[0]).otherwise(STEPS[1])
+    parts = read(spark, d, "part").withColumns({"W": wide, "L": F.length(number)})
+    path = F.concat(F.when(F.col("p_partkey") % 10 == 0, "gone/m").otherwise("pkg/m"), number, F.lit(".py"))
+    asked = parts.select(F.lit(ROOT).alias("project"), path.alias("path"), (line + F.col("p_size") % BLANK).cast("int").alias("line"), column.cast("int").alias("column"), F.lit(question).alias("question"))
+    found = cut(facts(spark, d))
+    told = questions.answers(questions.index(found, source_files(ship(spark), d).select("project", "path")), asked)
+    return told.select(part_of(F.col("path")).alias("id"), F.col("known").cast("int").alias("known"), F.concat_ws(",", "answer").alias("answer"), F.size("answer").alias("n"))
+
+
+def _answers(answer: str, n: str = "1") -> str:
+    """SQL of what is answered, a text of ``#`` for the number, and the number of targets."""
+    return f"SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE 1 END AS known, CASE WHEN p_partkey % 10 = 0 OR ({n}) = 0 THEN '' ELSE replace({answer}, '#', p_partkey::VARCHAR) END AS answer, CASE WHEN p_partkey % 10 <> 0 THEN {n} END AS n FROM part"
+
+
+@query(_answers("'time.sleep'"))
+def ux11_call_target(spark, d):
+    return _asked(spark, d, "call", 8, 8 + 2 * F.col("W"))
+
+
+@query(_answers("'latchgraph.blocking'", _if(_MARKED, 1)))
+def ux11_callable_reference(spark, d):
+    return _asked(spark, d, "callable", 22, F.lit(2))
+
+
+@query(_answers("'time.sleep'", _if(_PLAIN, 1)))
+def ux11_attribute_target(spark, d):
+    return _asked(spark, d, "attribute", 19, 17 + F.col("L") + 2 * F.col("W"))
+
+
+@query(_answers("'pkg/m#.py:Box#.size#'"))
+def ux11_property_getter(spark, d):
+    return _asked(spark, d, "property", 10, 6 + 2 * F.col("W"))
+
+
+_OWNER = case("p_size", ["builtins.dict", "builtins.list", ""])
+
+
+_BOTH = ", ".join(f"{_OWNER} || '.__' || {case('p_partkey', m)} || '__'" for m in (_ARITHMETIC, _REFLECTED))
+
+
+@query(_answers(f"array_to_string(list_sort([{_BOTH}]), ',')", _if("p_size % 3 < 2", 2)))
+def ux11_dunder_targets(spark, d):
+    """The class has no such methods; they are looked for in the class that it inherits from."""
+    return _asked(spark, d, "dunder", 11, 9 + 2 * F.col("W"))
+
+
+@query(_answers("''", "0"))
+def ux11_event_loop_executor(spark, d):
+    return _asked(spark, d, "executor", 19, 7 + 2 * F.col("W"))
+
+
+# reports of made call graphs
+
+#: Two projects that differ in the strategy for the primary place.
+_STRATEGIES = {"deep": "first-party-deepest", "edge": "async-boundary"}
+_KINDS = ["DirectCall", "DirectCall", "PropertyAccess", "ImplicitDunder"]  # of the first link, by number
+
+
+def _reported(spark, d) -> DataFrame:
+    """Diagnostics of a graph in which every part has an entry ``a#`` that calls a blocking function, by itself or through ``b#``.
+
+    The number says how the entry reaches it; each fifth entry is no coroutine.
+    """
+    n, size, number = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey").cast("string")
+    parts = cut(read(spark, d, "part").select("p_partkey", "p_size", F.when(size % 2 == 0, "deep").otherwise("edge").alias("project"), F.concat(F.lit("m"), number, F.lit(".py")).alias("path")))
+    ident = lambda name: F.concat("path", F.lit(f":{name}"), number)
+    none = F.lit(None)
+    first, root, direct = ident("a"), F.lit("time.sleep"), n % 4 == 0
+    kinds = F.when(n % 4 == 2, "Property").otherwise("Function")
+
+    def node(name: str, kind: Column, is_async: Column, line: int) -> DataFrame:
+        return parts.select("project", ident(name).alias("id"), F.lit(graph.OPEN).alias("status"), kind.alias("kind"), is_async.alias("is_async"), F.lit(True).alias("is_first_party"), F.concat(F.lit(name), number).alias("display"), "path", F.lit(line).alias("line"), F.lit(5).alias("column"), F.lit(False).alias("is_stub"))
+
+    outside = parts.select("project", root.alias("id"), F.lit(graph.KNOWN).alias("status"), F.lit("Function").alias("kind"), F.lit(False).alias("is_async"), F.lit(False).alias("is_first_party"), root.alias("display"), none.cast("string").alias("path"), none.cast("int").alias("line"), none.cast("int").alias("column"), F.lit(False).alias("is_stub")).distinct()
+    nodes = node("a", F.lit("AsyncFunction"), n % 5 != 0, 1).unionByName(node("b", kinds, F.lit(False), 11)).unionByName(outside)
+
+    def edge(src: Column, dst: Column, kind: Column, line: Column) -> DataFrame:
+        bare = F.when((n % 4 == 2) & (size % 3 == 0), F.lit(2)).cast("int")
+        return parts.select("project", src.alias("src"), dst.alias("dst"), kind.alias("edge_kind"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"), "path", line.cast("int").alias("line"), F.lit(9).alias("column"), bare.alias("bare_column"), F.lit(False).alias("protected"), F.lit(False).alias("in_executor"), none.cast("string").alias("via"), "p_partkey")
+
+    through = edge(first, ident("b"), _chosen("p_partkey", _KINDS), 2 + size).filter(~direct).unionByName(edge(ident("b"), root, F.lit("MethodCall"), 100 + size).filter(~direct))
+    edges = cut(edge(first, root, F.lit("MethodCall"), 2 + size).filter(direct).unionByName(through).drop("p_partkey"))
+    made = callgraph.CallGraph(None, cut(nodes), edges, None)
+    configs = [Config(root=r, intervention_strategy=s) for r, s in _STRATEGIES.items()]
+    return report.diagnostics(made, report.reasons(made), configs).withColumn("id", part_of(F.col("primary_location")["file"]))
+
+
+_CODE, _SEEN = case("p_partkey", ["1", "2", "3", "4"]), "FROM part WHERE p_partkey % 5 <> 0"
+
+
+@query(f"""SELECT p_partkey AS id, 'LATCH00' || {_CODE} AS code, CASE p_partkey % 4 WHEN 0 THEN 'Direct blocking call to ''time.sleep'' in async function ''a' || p_partkey || '''' WHEN 1 THEN 'Transitive blocking call reachable from async context'
+WHEN 2 THEN 'Async function ''a' || p_partkey || ''' accesses blocking property ''b' || p_partkey || '''' ELSE 'Async function ''a' || p_partkey || ''' calls blocking dunder method ''b' || p_partkey || '''' END AS message {_SEEN}""")
+def sc17_messages(spark, d):
+    return _reported(spark, d).select("id", "code", "message")
+
+
+@query(f"""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Wrap in `await asyncio.to_thread(...)` or use async alternative' WHEN 1 THEN 'Wrap the blocking call in `await asyncio.to_thread(...)` or use async alternative'
+WHEN 2 THEN 'Avoid blocking I/O in property getters used from async code' ELSE 'Avoid blocking I/O in dunder methods invoked from async code' END AS help, 'sleep' AS category {_SEEN}""")
+def sc18_help(spark, d):
+    return _reported(spark, d).select("id", "help", "category")
+
+
+@query(f"SELECT p_partkey AS id, (CASE WHEN p_partkey % 4 = 1 AND p_size % 2 = 0 THEN 100 ELSE 2 END + p_size)::INT AS line, CASE WHEN p_partkey % 4 = 2 AND p_size % 3 = 0 THEN 2 ELSE 9 END AS col {_SEEN}")
+def sc28_primary_location(spark, d):
+    """By strategy the last link or the first from a coroutine to another function; accesses and operators before either."""
+    at = F.col("primary_location")
+    return _reported(spark, d).select("id", at["line"].alias("line"), at["column"].alias("col"))
+
+
+@query(f"""SELECT id, message, line FROM (SELECT p_partkey AS id, 'async function a' || p_partkey || ' defined here' AS message, 1 AS line {_SEEN}
+UNION ALL SELECT p_partkey, 'b' || p_partkey || ' defined here', 11 {_SEEN} AND p_partkey % 4 = 1 UNION ALL SELECT p_partkey, 'blocking call: time.sleep', CASE WHEN p_size % 2 = 0 THEN 100 ELSE 2 END + p_size {_SEEN} AND p_partkey % 4 = 1
+UNION ALL SELECT p_partkey, 'property getter defined here', 11 {_SEEN} AND p_partkey % 4 = 2 UNION ALL SELECT p_partkey, 'dunder method defined here', 11 {_SEEN} AND p_partkey % 4 = 3) t""")
+def sc27_related_locations(spark, d):
+    return _reported(spark, d).select("id", F.explode("related_locations").alias("x")).select("id", "x.message", "x.line")
+
+
+@query(f"SELECT p_partkey AS id, 'a' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '' ELSE ' b' || p_partkey END || ' time.sleep' AS chain, 1 AS entry_async {_SEEN}")
+def pf13_qualified_chains(spark, d):
+    """Only chains that begin in a coroutine are reported."""
+    chain = F.col("chain")
+    return _reported(spark, d).select("id", F.concat_ws(" ", F.transform(chain, lambda x: x["function"])).alias("chain"), chain[0]["is_async"].cast("int").alias("entry_async"))

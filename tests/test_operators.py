@@ -202,3 +202,25 @@ def test_argument_scanner(spark):
     for x in got:
         assert [tuple(a) for a in x["a"]] == scanned(texts[x["i"]])
         assert [tuple(b) for b in x["b"]] == [(t, a + 13, b + 13) for t, a, b in scanned(texts[x["i"]]) if t]
+
+
+def test_questions(spark, tmp_path):
+    from latchgraph.operators import questions
+    from latchgraph.sources import files
+    from latchgraph.sources.facts import read_facts
+
+    text = "import time\nclass A:\n    @property\n    def slow(self):\n        time.sleep(1)\n    def use(self):\n        self.slow\n        return self + self\n"
+    source = files.from_texts(spark, [("p", "a.py", text), ("p", "empty.py", "")])
+    made = questions.index(read_facts(source), source)
+    questions.save(made, str(tmp_path / "index"))
+    kept = questions.load(spark, str(tmp_path / "index"))
+    asks = [("call", 5, 9), ("callable", 5, 9), ("property", 7, 14), ("attribute", 7, 14), ("dunder", 8, 16), ("call", 1, 1), ("executor", 5, 9)]
+    want = [["time.sleep"], ["time.sleep"], ["a.py:A.slow"], ["a.py:A.slow"], [], [], []]
+    assert [questions.answer(kept, "p", "a.py", *a) for a in asks] == want
+    assert questions.answer(kept, "p", "gone.py", "call", 1, 1) is None and questions.answer(kept, "p", "empty.py", "call", 1, 1) == []
+    rows = [("p", path, line, column, q) for path in ("a.py", "gone.py") for q, line, column in asks]
+    asked = spark.createDataFrame(rows + rows[:1], "project string, path string, line int, column int, question string")
+    for table in (made, kept):
+        got = [(r["path"], r["question"], r["line"], r["column"], r["known"], r["answer"]) for r in questions.answers(table, asked).collect()]
+        expected = [("a.py", *a, True, w) for a, w in zip(asks + asks[:1], want + want[:1])] + [("gone.py", *a, False, None) for a in asks]
+        assert sorted(got, key=repr) == sorted(expected, key=repr)
