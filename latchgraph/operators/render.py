@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..names import PREFIX, REPORT_VERSION, TOOL, VERSION
-from ..session import cut, ship
+from ..session import cut, ship, sized
 from .windows import dense_ids
 
 # fixed values: rule names and descriptions, and the SARIF schema's address
@@ -150,9 +150,9 @@ def _written(rows: DataFrame, kind: str, section: int) -> DataFrame:
 def _placed(rows: DataFrame, documents: DataFrame, order: list) -> tuple[DataFrame, DataFrame]:
     """Rows with their ``place`` in the order of all documents and the ``last`` place of their document, and (document, last)."""
     keys = [c.alias(f"__{i}") for i, c in enumerate(order)]
-    keyed = rows.join(documents, "project").select("*", *keys)
+    keyed = rows.join(sized(documents), "project").select("*", *keys)
     placed = cut(dense_ids(keyed, ["document", "position", *[f"__{i}" for i in range(len(order))]], "place"))
-    last = cut(placed.groupBy("document").agg(F.max("place").alias("last")))
+    last = sized(cut(placed.groupBy("document").agg(F.max("place").alias("last"))))
     return placed.join(last, "document").drop("position", *[f"__{i}" for i in range(len(order))]), last
 
 
