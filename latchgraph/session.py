@@ -83,6 +83,11 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(where)
 
 
+def dealt(frame: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over all tasks.  Rows that are small to read and dear to work on otherwise stay in the few tasks that read them."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def small(frame: DataFrame, rows: int, most: int = 50_000) -> DataFrame:
     """Marks a frame whose number of rows is known for broadcasting if it has at most ``most``."""
     return F.broadcast(frame) if rows <= most else frame
