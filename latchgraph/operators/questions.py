@@ -15,6 +15,8 @@ from . import resolve
 QUESTIONS = {"call": ("call",), "callable": ("call", "attribute", "decorator"), "attribute": ("attribute",), "property": ("attribute",), "dunder": ("implicit",), "executor": ()}
 PLACE = ["project", "path", "line", "column"]
 TARGETS = "array<string>"
+#: Columns of the syntax facts that an index is made from.
+FACTS = "project path fact module is_stub name qualified_name enclosing kind target is_async decorators bases start end line column"
 
 
 def index(facts: DataFrame, files: DataFrame, by: resolve.Lookup | None = None) -> DataFrame:
@@ -23,7 +25,7 @@ def index(facts: DataFrame, files: DataFrame, by: resolve.Lookup | None = None)
     An answer is the identity of a function of the project, else the outside names that may be meant.  A member that
     no class of the project has is looked for in the outside classes that they inherit from.
     """
-    by = by or resolve.lookup(facts)
+    by = by or resolve.lookup(facts, handed=False)
     located = resolve.located(by.resolved, by)
     owned = by.classes.select("project", F.col("class").alias("__class"), F.lit(True).alias("__owned"))
     located = located.withColumn("__class", F.regexp_extract("resolved", r"^(.*)\.[^.]*$", 1)).join(owned, ["project", "__class"], "left")

@@ -125,16 +125,18 @@ class Lookup(NamedTuple):
     index: DataFrame  # project, absolute, identity, is_stub, owner, name, kind: one definition of each absolute name
 
 
-def lookup(facts: DataFrame) -> Lookup:
+def lookup(facts: DataFrame, handed: bool = True) -> Lookup:
+    """Without ``handed`` the names that references and bases have are resolved, and not those that calls and flows hand over."""
     defined = functions(facts)
     references = facts.filter("fact = 'reference'")
-    used = references.filter("target is not null").select("project", "target")
-    handed = references.filter("arguments is not null").select("project", F.explode("arguments").alias("a"))
-    handed = handed.select("project", F.explode(F.array_distinct(F.array_compact(F.array("a.target", F.when(F.col("a.holds") != "var", F.col("a.value")))))).alias("target"))
-    flowing = facts.filter("fact = 'flow' and target is not null").select("project", "target")
-    based = facts.filter("fact = 'class'").select("project", F.explode("bases").alias("target"))
+    names = references.filter("target is not null").select("project", "target")
+    names = names.unionByName(facts.filter("fact = 'class'").select("project", F.explode("bases").alias("target")))
+    if handed:
+        given = references.filter("arguments is not null").select("project", F.explode("arguments").alias("a"))
+        given = given.select("project", F.explode(F.array_distinct(F.array_compact(F.array("a.target", F.when(F.col("a.holds") != "var", F.col("a.value")))))).alias("target"))
+        names = names.unionByName(given).unionByName(facts.filter("fact = 'flow' and target is not null").select("project", "target"))
     links = aliases(facts)
-    resolved = cut(closure(used.unionByName(handed).unionByName(flowing).unionByName(based), links))
+    resolved = cut(closure(names, links))
     classes = facts.filter("fact = 'class'").select("project", _dotted(F.col("module"), F.col("qualified_name")).alias("class"), "bases", "is_stub")
     one = Window.partitionBy("project", "class").orderBy("is_stub")
     classes = cut(classes.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n"))

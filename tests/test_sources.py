@@ -4,9 +4,10 @@ import os
 
 import pytest
 
+from latchgraph.operators import questions, resolve
 from latchgraph.plans import sources
 from latchgraph.sources import files
-from latchgraph.sources.facts import SYNTAX, read_facts
+from latchgraph.sources.facts import SYNTAX, Reader, read_facts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -24,3 +25,38 @@ def test_facts_of_some_kinds(spark, kinds):
     found = files.from_texts(spark, texts)
     wanted = sorted(map(str, read_facts(found).filter(f"fact in {kinds!r}" if len(kinds) > 1 else f"fact = '{kinds[0]}'").collect()))
     assert wanted and wanted == sorted(map(str, read_facts(found, kinds).collect()))
+
+
+TEXTS = [
+    ("p", "a.py", "import os\nclass A(dict):\n    x: int = 1\n    def f(self, é, g=lambda y: [z for z in y]):\n        self.o = open('o')\n        return os.stat('é')(self.f(é)) + é\n"),
+    ("p", "b.py", "if (n := len('x')): pass\ntype T = list[int]\nmatch n:\n    case 1 | None: n\n    case {'k': str(), **r}: r[0]\n"),
+]
+
+
+@pytest.mark.parametrize("kinds", [None, ("reference",), SYNTAX, ("class",)])
+def test_facts_of_some_columns(spark, kinds):
+    found, kept = files.from_texts(spark, TEXTS), ["path", "fact", "kind", "target", "line", "bases"]
+    some = read_facts(found, kinds, kept)
+    assert set(some.columns) == set(kept)
+    assert sorted(map(str, some.select(kept).collect())) == sorted(map(str, read_facts(found, kinds).select(kept).collect()))
+
+
+def test_what_is_not_asked_for_is_not_made():
+    """Arguments are not looked at without their column, nor expressions without references."""
+    read = lambda facts, columns: Reader("p", "a.py", "a", False, False, TEXTS[0][2].encode(), facts, columns)
+    calls = [r for r in read(frozenset(["reference"]), frozenset(["kind"])).read() if r["kind"] == "call"]
+    assert calls and not any(r["arguments"] for r in calls)
+    reader = read(frozenset(["class"]), None)
+    reader.call = reader.implicit = None  # would fail when called
+    assert [r["bases"] for r in reader.read()] == [["builtins.dict"]]
+
+
+def test_index_resolves_what_references_and_bases_name(spark):
+    facts = read_facts(files.from_texts(spark, TEXTS))
+    kept = questions.FACTS.split()
+    names = lambda by: {r["target"] for r in by.resolved.collect()}
+    few = names(resolve.lookup(facts, handed=False))
+    assert few == {r["target"] for r in facts.filter("fact = 'reference' and target is not null").collect()} | {"builtins.dict"}
+    where = facts.select("project", "path").distinct()
+    pruned = read_facts(files.from_texts(spark, TEXTS), SYNTAX, kept)
+    assert sorted(map(str, questions.index(pruned, where).collect())) == sorted(map(str, questions.index(facts, where, resolve.lookup(facts)).collect()))
