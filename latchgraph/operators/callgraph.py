@@ -23,7 +23,7 @@ ANNOTATION_NAMES = ("blocking", "non_blocking", "unblocker")
 class CallGraph(NamedTuple):
     functions: DataFrame
     nodes: DataFrame  # project, id, status, kind, is_async, is_first_party, display, path, line, column, is_stub
-    edges: DataFrame  # project, src, dst, kind, protected, in_executor, via and the call's place
+    edges: DataFrame | None  # project, src, dst, kind, protected, in_executor, via and the call's place
     targets: DataFrame
 
 
@@ -63,7 +63,8 @@ def _matching(names: DataFrame, entries: DataFrame, modules: DataFrame, stubs: D
     return exact.union(under).union(marked).distinct().join(calm, ["project", "name"], "left_anti")
 
 
-def build(facts: DataFrame, configs: Sequence[Config]) -> CallGraph:
+def build(facts: DataFrame, configs: Sequence[Config], edges: bool = True) -> CallGraph:
+    """The call graph; without ``edges`` all nodes alone, and None for the edges."""
     spark = facts.sparkSession
     by = resolve.lookup(facts)
     functions = sized(cut(by.functions))
@@ -104,7 +105,10 @@ def build(facts: DataFrame, configs: Sequence[Config]) -> CallGraph:
     outside = node_of.filter("dst is not null and not ours").select("project", F.col("dst").alias("id")).distinct().join(stub_places, ["project", "id"], "left").select(
         "project", "id", F.lit(KNOWN).alias("status"), F.lit("Function").alias("kind"), F.lit(False).alias("is_async"), F.lit(False).alias("is_first_party"), F.col("id").alias("display"), "path", "line", "column", F.col("path").isNotNull().alias("is_stub"),
     )
-    nodes = sized(cut(first.unionByName(outside)))
+    nodes = first.unionByName(outside)
+    if not edges:
+        return CallGraph(functions, nodes, None, targets)
+    nodes = sized(cut(nodes))
 
     # references inside known functions
     refs = facts.filter("fact = 'reference' and enclosing is not null and not is_stub").withColumn("src", F.concat_ws(":", "path", "enclosing"))
@@ -131,10 +135,10 @@ def build(facts: DataFrame, configs: Sequence[Config]) -> CallGraph:
     plain = plain.filter("ours or exact or use = 'call'").withColumn("edge_kind", kind).filter("edge_kind is not null")
     plain = joins.contained(plain, ranges, ["project", "src"], ("start", "end"), ("r_start", "r_end"))
     place = ["project", "src", "dst", "edge_kind", "start", "end", "path", "line", "column", "bare_column"]
-    edges = plain.select(*place, F.col("inside").alias("protected"), F.lit(False).alias("in_executor"), F.lit(None).cast("string").alias("via"))
+    made = plain.select(*place, F.col("inside").alias("protected"), F.lit(False).alias("in_executor"), F.lit(None).cast("string").alias("via"))
     given = handing.select("project", "path", "src", "start", "end", "line", "column", "wrapper", F.col("argument.target").alias("target")).join(node_of.filter("dst is not null"), ["project", "target"])
     handed = given.withColumn("edge_kind", F.lit("DirectCall")).withColumn("bare_column", F.lit(None).cast("int")).select(*place, F.lit(True).alias("protected"), F.lit(True).alias("in_executor"), F.col("wrapper").alias("via"))
-    return CallGraph(functions, nodes, cut(edges.unionByName(handed).distinct()), targets)
+    return CallGraph(functions, nodes, cut(made.unionByName(handed).distinct()), targets)
 
 
 def snapshot(graph: CallGraph) -> DataFrame:

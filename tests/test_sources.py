@@ -4,9 +4,10 @@ import os
 
 import pytest
 
-from latchgraph.operators import questions, resolve
+from latchgraph.operators import callgraph, questions, resolve
 from latchgraph.plans import sources
 from latchgraph.sources import files
+from latchgraph.sources.config import Config
 from latchgraph.sources.facts import SYNTAX, Reader, read_facts
 
 DATA = "/root/testdata/sf0.001"
@@ -60,3 +61,12 @@ def test_index_resolves_what_references_and_bases_name(spark):
     where = facts.select("project", "path").distinct()
     pruned = read_facts(files.from_texts(spark, TEXTS), SYNTAX, kept)
     assert sorted(map(str, questions.index(pruned, where).collect())) == sorted(map(str, questions.index(facts, where, resolve.lookup(facts)).collect()))
+
+
+def test_nodes_without_edges(spark):
+    facts = read_facts(files.from_texts(spark, TEXTS))
+    config = [Config(root="p")]
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    alone, whole = callgraph.build(facts, config, edges=False), callgraph.build(facts, config)
+    assert alone.edges is None and whole.edges is not None
+    assert rows(alone.nodes) == rows(whole.nodes) and any("open" in r for r in rows(alone.nodes))
