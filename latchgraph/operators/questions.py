@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import resolve
 
 #: Of each question the kinds of references that it is about.
@@ -19,12 +20,24 @@ TARGETS = "array<string>"
 FACTS = "project path fact module is_stub name qualified_name enclosing kind target is_async decorators bases start end line column"
 
 
-def index(facts: DataFrame, files: DataFrame, by: resolve.Lookup | None = None) -> DataFrame:
+def listed(files: DataFrame) -> DataFrame:
+    """The rows of an index that tell which files (project, path) there are."""
+    none = [F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast(TARGETS).alias("answer")]
+    return files.select("project", "path", *none)
+
+
+def index(facts: DataFrame, files: DataFrame, by: resolve.Lookup | None = None, asked: DataFrame | None = None) -> DataFrame:
     """(project, path, line, column, kind, answer) of all references and, without a kind, of each of ``files`` (project, path).
 
     An answer is the identity of a function of the project, else the outside names that may be meant.  A member that
     no class of the project has is looked for in the outside classes that they inherit from.
+
+    With ``asked`` (project, path, line, column) the index has the references at these places alone, and only what they name is
+    resolved.
     """
+    if asked is not None:
+        here = cut(facts.filter("fact = 'reference' and target is not null").join(asked.select(*PLACE).distinct(), PLACE, "left_semi"))
+        facts = facts.filter("fact != 'reference'").unionByName(here)
     by = by or resolve.lookup(facts, handed=False)
     located = resolve.located(by.resolved, by)
     owned = by.classes.select("project", F.col("class").alias("__class"), F.lit(True).alias("__owned"))
@@ -33,8 +46,7 @@ def index(facts: DataFrame, files: DataFrame, by: resolve.Lookup | None = None)
     answer = F.when(F.col("identity").isNotNull(), F.array("identity")).otherwise(outside)
     meant = located.select("project", "target", answer.alias("answer"))
     places = facts.filter("fact = 'reference' and target is not null").select(*PLACE, "kind", "target").join(meant, ["project", "target"]).select(*PLACE, "kind", "answer")
-    none = [F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast(TARGETS).alias("answer")]
-    return places.unionByName(files.select("project", "path", *none))
+    return places.unionByName(listed(files))
 
 
 def save(rows: DataFrame, where: str) -> None:

@@ -101,6 +101,22 @@ def test_expressions_are_passed_by_where_only_statements_are_asked_for():
     assert "BinOp" not in seen[0] and "ListComp" in seen[1]
 
 
+def test_index_of_asked_places(spark):
+    facts, where = read_facts(files.from_texts(spark, TEXTS)), files.from_texts(spark, TEXTS).select("project", "path")
+    asked = spark.createDataFrame([("p", "/p/a.py" if where.first()["path"].startswith("/") else "a.py", 6, 16, "call")], "project string, path string, line int, column int, question string")
+    whole = questions.index(facts, where)
+    some = questions.index(facts, where, asked=asked)
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    assert rows(some.filter("kind is not null")) == rows(whole.filter("kind is not null and path like '%a.py' and line = 6 and column = 16")) and some.filter("kind is not null").count()
+    assert rows(questions.answers(some, asked)) == rows(questions.answers(whole, asked))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_a_question_without_references_parses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(sources, "facts", None)  # would fail when called
+    assert sources.ux11_event_loop_executor(spark, DATA).count() == spark.read.parquet(f"{DATA}/part.parquet").count()
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_source_is_the_template_with_its_places_filled(spark):
     made = {r["path"]: bytes(r["content"]).decode() for r in sources.source_files(spark, DATA).collect()}
