@@ -6,12 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..names import PREFIX, REPORT_VERSION, TOOL, VERSION
 from ..session import cut, ship, sized
-from .windows import dense_ids
+from .windows import numbered, ranged
 
 # fixed values: rule names and descriptions, and the SARIF schema's address
 RULES = (
@@ -151,9 +151,13 @@ def _placed(rows: DataFrame, documents: DataFrame, order: list) -> tuple[DataFra
     """Rows with their ``place`` in the order of all documents and the ``last`` place of their document, and (document, last)."""
     keys = [c.alias(f"__{i}") for i, c in enumerate(order)]
     keyed = rows.join(sized(documents), "project").select("*", *keys)
-    placed = cut(dense_ids(keyed, ["document", "position", *[f"__{i}" for i in range(len(order))]], "place"))
-    last = sized(cut(placed.groupBy("document").agg(F.max("place").alias("last"))))
-    return placed.join(last, "document").drop("position", *[f"__{i}" for i in range(len(order))]), last
+    names = ["document", "position", *[f"__{i}" for i in range(len(order))]]
+    stored, offsets = ranged(keyed, names)
+    # a range has its rows by document, so the last place of a document follows from counts, without sorting the rows once more
+    upto = F.sum("__n").over(Window.partitionBy("__part").orderBy("document"))
+    ends = stored.groupBy("__part", "document").agg(F.count("*").alias("__n")).withColumn("__upto", upto).join(offsets, "__part")
+    last = sized(cut(ends.groupBy("document").agg(F.max(F.col("__before") + F.col("__upto") - 1).alias("last"))))
+    return numbered(stored, offsets, names, "place").join(last, "document").drop(*names[1:]), last
 
 
 def pieces(diagnostics: DataFrame, warnings: DataFrame, documents: DataFrame, kind: str) -> DataFrame:

@@ -22,12 +22,19 @@ def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 
 def dense_ids(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
     """0-based ids in total order without gathering all rows in one task: range partitions, then offsets."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return numbered(*ranged(rows, order), order, name)
+
+
+def ranged(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows stored by ranges of the order with their ``__part``, and (__part, __before): the number of rows in the ranges before."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed, counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+
+
+def numbered(placed: DataFrame, offsets: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return placed.join(offsets, "__part").withColumn(name, inside - 1 + F.col("__before")).drop("__part", "__before")
 

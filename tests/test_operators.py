@@ -224,3 +224,20 @@ def test_questions(spark, tmp_path):
         got = [(r["path"], r["question"], r["line"], r["column"], r["known"], r["answer"]) for r in questions.answers(table, asked).collect()]
         expected = [("a.py", *a, True, w) for a, w in zip(asks + asks[:1], want + want[:1])] + [("gone.py", *a, False, None) for a in asks]
         assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_reports_store_their_rows_once_and_know_the_last_place(spark, monkeypatch):
+    """Documents over several ranges, and orders with one key twice, which are two diagnostics."""
+    from latchgraph.operators import render, windows
+
+    stored = []
+    for module in (windows, render):
+        monkeypatch.setattr(module, "cut", lambda frame, cut=module.cut: (stored.append("primary_location" in frame.columns), cut(frame))[1])
+    n = 50
+    found = spark.range(n).selectExpr("if(id % 7 = 0, 'p', 'q') project", "'LATCH001' code", "'error' severity", "concat('m', id) message", "struct(concat('f', id % 3) file, int(id) line, 1 column) primary_location", "cast(array() as array<struct<file string, line int, column int, message string>>) related_locations", "cast(array() as array<struct<function string, file string, line int, is_async boolean, is_first_party boolean>>) chain", "'h' help", "'s' intervention_strategy")
+    documents = spark.createDataFrame([("p", "p", 0), ("q", "q", 0)], "project string, document string, position int")
+    warnings = spark.createDataFrame([], "project string, file string, message string")
+    made = [r for r in render.ordered_pieces(render.pieces(found, warnings, documents, "sarif")).collect() if r["section"] == 1]
+    assert stored.count(True) == 1
+    assert [r["place"] for r in made] == list(range(n))
+    assert [i for i, r in enumerate(made) if not r["text"].endswith(",")] == [7, n - 1]
