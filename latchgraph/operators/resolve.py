@@ -64,10 +64,10 @@ def closure(names: DataFrame, links: DataFrame) -> DataFrame:
     imports a function of a module named alike) is meant for that name alone.
     """
     grows = F.startswith("target", F.concat("name", F.lit(".")))
-    links = cut(links.select("project", F.col("name").alias("__prefix"), F.col("target").alias("__to"), grows.alias("__grows")))
+    links = written(links.select("project", F.col("name").alias("__prefix"), F.col("target").alias("__to"), grows.alias("__grows")))
     done = None
     start = names.select("project", "target").distinct()
-    left = cut(start.withColumns({"resolved": F.col("target"), "__used": F.array().cast("array<string>")}))
+    left = written(start.withColumns({"resolved": F.col("target"), "__used": F.array().cast("array<string>")}))
     while True:
         exploded = left.withColumn("__prefix", F.explode(dotted_prefixes(F.col("resolved")))).join(links, ["project", "__prefix"])
         exploded = exploded.filter("not array_contains(__used, __prefix) and (not __grows or __prefix = resolved)")
@@ -87,12 +87,12 @@ def ancestry(classes: DataFrame) -> DataFrame:
 
     ``classes`` has project, class and bases (resolved).
     """
-    parents = cut(classes.select("project", "class", F.posexplode("bases").alias("p", "base")))
-    found = delta = cut(classes.select("project", "class", F.col("class").alias("ancestor"), F.array(F.lit(0)).alias("rank")))
+    parents = written(classes.select("project", "class", F.posexplode("bases").alias("p", "base")))
+    found = delta = written(classes.select("project", "class", F.col("class").alias("ancestor"), F.array(F.lit(0)).alias("rank")))
     while True:
         step = delta.join(parents.select("project", F.col("class").alias("ancestor"), "p", "base"), ["project", "ancestor"])
         step = step.select("project", "class", F.col("base").alias("ancestor"), F.concat(F.array(F.size("rank")), F.slice("rank", F.lit(2), F.size("rank")), F.array("p")).alias("rank"))
-        delta = cut(step.join(found, ["project", "class", "ancestor"], "left_anti"))
+        delta = written(step.join(found, ["project", "class", "ancestor"], "left_anti"))
         if not delta.limit(1).count():
             break
         found = found.unionByName(delta)
@@ -127,7 +127,7 @@ class Lookup(NamedTuple):
 
 def lookup(facts: DataFrame, handed: bool = True) -> Lookup:
     """Without ``handed`` the names that references and bases have are resolved, and not those that calls and flows hand over."""
-    defined = functions(facts)
+    defined = written(functions(facts))
     references = facts.filter("fact = 'reference'")
     names = references.filter("target is not null").select("project", "target")
     names = names.unionByName(facts.filter("fact = 'class'").select("project", F.explode("bases").alias("target")))
@@ -136,32 +136,33 @@ def lookup(facts: DataFrame, handed: bool = True) -> Lookup:
         given = given.select("project", F.explode(F.array_distinct(F.array_compact(F.array("a.target", F.when(F.col("a.holds") != "var", F.col("a.value")))))).alias("target"))
         names = names.unionByName(given).unionByName(facts.filter("fact = 'flow' and target is not null").select("project", "target"))
     links = aliases(facts)
-    resolved = cut(closure(names, links))
+    resolved = closure(names, links)
     classes = facts.filter("fact = 'class'").select("project", _dotted(F.col("module"), F.col("qualified_name")).alias("class"), "bases", "is_stub")
     one = Window.partitionBy("project", "class").orderBy("is_stub")
-    classes = cut(classes.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n"))
+    classes = written(classes.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n"))
     known = resolved.select("project", F.col("target").alias("base"), F.col("resolved").alias("to"))
     spelled = classes.select("project", "class", F.posexplode_outer("bases").alias("p", "base")).join(known, ["project", "base"], "left")
     based = spelled.groupBy("project", "class").agg(F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("to", "base").alias("b"))))).alias("l"))
-    lines = cut(ancestry(based.select("project", "class", F.transform("l", lambda x: x["b"]).alias("bases"))))
+    lines = written(ancestry(based.select("project", "class", F.transform("l", lambda x: x["b"]).alias("bases"))))
     # a source definition comes before a stub's, the first in order of qualified name, path and place before others
     order = Window.partitionBy("project", "absolute").orderBy("is_stub", "qualified_name", "path", "start")
-    index = cut(defined.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select("project", "absolute", "identity", "is_stub", "owner", "name", "kind"))
+    index = written(defined.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select("project", "absolute", "identity", "is_stub", "owner", "name", "kind"))
     return Lookup(defined, resolved, classes, lines, index)
 
 
 def located(names: DataFrame, by: Lookup) -> DataFrame:
-    """(project, target, resolved, identity, names) of ``names`` (project, target, resolved): what each stands for.
+    """(project, target, resolved, identity, absolute, how, owner, names) of ``names`` (project, target, resolved): what each stands for.
 
-    ``identity`` is a first-party function's; otherwise ``names`` holds the external names that may match.
+    ``identity`` is a first-party function's, with its absolute name, kind (``how``) and class (``owner``); otherwise ``names`` holds the external
+    names that may match.
     """
-    direct = by.index.select("project", F.col("absolute").alias("resolved"), "identity", "is_stub", "absolute")
+    direct = by.index.select("project", F.col("absolute").alias("resolved"), "identity", "is_stub", "absolute", F.col("kind").alias("how"), "owner")
     # member lookup: the nearest ancestor that has it; super() starts behind the class itself
     asked = names.select("project", "resolved").distinct().withColumn("__base", F.regexp_extract("resolved", r"^(.*)\.[^.]*$", 1)).withColumn("__member", F.substring_index("resolved", ".", -1))
     asked = asked.withColumn("__above", F.col("__base").endswith(".super()")).withColumn("class", F.regexp_replace("__base", r"\.super\(\)$", ""))
     near = asked.join(by.lines, ["project", "class"]).filter("not (__above and ancestor = class)")
-    members = by.index.filter("owner is not null").select("project", F.col("owner").alias("ancestor"), F.col("name").alias("__member"), "identity", "is_stub", "absolute")
-    by_class = near.join(members, ["project", "ancestor", "__member"]).groupBy("project", "resolved").agg(F.min(F.struct("rank", "identity", "is_stub", "absolute")).alias("m")).select("project", "resolved", "m.identity", "m.is_stub", "m.absolute")
+    members = by.index.filter("owner is not null").select("project", F.col("owner").alias("ancestor"), F.col("name").alias("__member"), "identity", "is_stub", "absolute", F.col("kind").alias("how"), "owner")
+    by_class = near.join(members, ["project", "ancestor", "__member"]).groupBy("project", "resolved").agg(F.min(F.struct("rank", "identity", "is_stub", "absolute", "how", "owner")).alias("m")).select("project", "resolved", "m.identity", "m.is_stub", "m.absolute", "m.how", "m.owner")
     outside = near.join(by.classes.select("project", F.col("class").alias("ancestor")), ["project", "ancestor"], "left_anti")
     outside = outside.groupBy("project", "resolved").agg(F.collect_set(F.concat_ws(".", "ancestor", "__member")).alias("above"))
     found = direct.unionByName(by_class)
@@ -170,10 +171,11 @@ def located(names: DataFrame, by: Lookup) -> DataFrame:
     out = names.join(found, ["project", "resolved"], "left").join(outside, ["project", "resolved"], "left")
     source = F.col("identity").isNotNull() & ~F.col("is_stub")
     every = F.when(source, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(F.array(F.coalesce("absolute", "resolved")), F.coalesce("above", F.array().cast("array<string>"))))))
-    return out.select("project", "target", "resolved", F.when(source, F.col("identity")).alias("identity"), every.alias("names"))
+    ours = [F.when(source, F.col(c)).alias(c) for c in ("identity", "absolute", "how", "owner")]
+    return out.select("project", "target", "resolved", *ours, every.alias("names"))
 
 
 def targets(facts: DataFrame) -> DataFrame:
-    """(project, target, resolved, identity, names): what every referenced name stands for (see ``located``)."""
+    """What every referenced name stands for (see ``located``)."""
     by = lookup(facts)
     return located(by.resolved, by)
