@@ -126,3 +126,40 @@ def test_source_is_the_template_with_its_places_filled(spark):
             text = text.replace(f"<{name}>", values[part[column] % len(values)])
         text = text.replace("\t", " " * sources.STEPS[part["p_partkey"] % 2]).replace("#", str(part["p_partkey"]))
         assert made[f"pkg/m{part['p_partkey']}.py"] == "\n" * (part["p_size"] % sources.BLANK) + text
+
+
+DECORATED = [
+    ("p", "m.py", "import latchgraph\nfrom latchgraph import blocking, non_blocking as calm\nclass A:\n    @blocking\n    def f(self): pass\n    @property\n    def g(self): return 1\n@calm\nasync def h(): pass\n@latchgraph.unblocker(1)\ndef k(a, b): pass\n"),
+    ("p", "time.py", "def sleep(): pass\n"),
+]
+
+
+def test_own_nodes_need_no_flows(spark):
+    found, config = files.from_texts(spark, DECORATED), [Config(root="p")]
+    kinds, columns, of = callgraph.OWN
+    some = read_facts(found, [*kinds, "reference"], columns.split(), of)
+    assert not some.filter("fact in ('flow', 'parameter', 'load', 'result') or kind = 'call'").count()
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    whole = rows(callgraph.build(read_facts(found), config).nodes.filter("is_first_party"))
+    assert rows(callgraph.own_nodes(some, config)) == whole and sum("KnownBlocking" in r for r in whole) == 2
+    # what a variable of a module stands for is told by flows
+    kept = files.from_texts(spark, DECORATED + [("p", "n.py", "import m\n@m.mine\ndef f(): pass\n")])
+    assert callgraph.own_nodes(read_facts(kept, [*kinds, "reference"], columns.split(), of), config) is None
+
+
+def test_operators_whose_methods_stand_nowhere_give_no_edge(spark):
+    config = [Config(root="p")]
+    text = "import socket\nclass A:\n    def __len__(self): return 1\n    def __add__(self, x): return x\nclass B(A): pass\nasync def f(x: A, y: 'B'):\n    x + 1; x < 2; -y; len(y); x(); x[0]\n    with y: pass\n"
+    found = files.from_texts(spark, [("p", "a.py", text)])
+    special = callgraph.methods(found, config)
+    assert {"__add__", "__len__"} <= set(special) and not {"__lt__", "__neg__", "__call__", "__getitem__"} & set(special)
+    rows = lambda **more: sorted(map(str, callgraph.build(read_facts(found, **more), config).edges.collect()))
+    assert rows(methods=special) == rows() and len(rows()) == 2
+    assert callgraph.methods(files.from_texts(spark, [("p", "a.py", "é = 1\n")]), config) is None
+    assert callgraph.methods(found, [Config(root="p", blocking_modules=("socket",))]) is None
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_a_report_of_diagnostics_makes_no_warnings(spark, monkeypatch):
+    monkeypatch.setattr(sources.report, "warnings", None)  # would fail when called
+    assert sources.ana_source_report(spark, DATA).count()
