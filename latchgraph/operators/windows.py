@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 
 
 def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -48,7 +48,7 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     aggregate = (lambda c: F.last(c, ignorenulls=True)) if last else F.max
     combined = (lambda a, b: F.coalesce(b, a)) if last else F.greatest
-    placed = cut(rows.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
+    placed = written(rows.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
     inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = placed.withColumn("__run", aggregate(F.col(value)).over(inside))
     # one row per key and range: what the range ends with, and what the ranges before it end with
