@@ -37,7 +37,7 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, link: Column, name: Column,
     """
     keys = keys or []
     never = nodes.filter(F.col("status") == NEVER).select(*keys, F.col("id").alias("src"))
-    usable = cut(edges.filter(~F.col("protected")).join(never, [*keys, "src"], "left_anti").select(*keys, "src", F.col("dst").alias("node"), link.alias("__link"), name.alias("__name")).distinct())
+    usable = written(edges.filter(~F.col("protected")).join(never, [*keys, "src"], "left_anti").select(*keys, "src", F.col("dst").alias("node"), link.alias("__link"), name.alias("__name")).distinct())
     few = usable.limit(FEW + 1).count() <= FEW
     usable = F.broadcast(usable) if few else usable
     kind = usable.select(F.array("__link").alias("chain")).schema["chain"].dataType
@@ -62,7 +62,7 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, link: Column, name: Column,
                 grown.append(longer(grown[-1]))
             made = cut(functools.reduce(DataFrame.unionByName, grown).coalesce(n))
         else:
-            made, steps = cut(longer(delta)), 1
+            made, steps = written(longer(delta)), 1
         found = found.unionByName(made)
         length += steps
         delta = made.filter(F.size("chain") == length)
